@@ -88,7 +88,7 @@ def rules() -> dict[str, F.Column]:
     return {
         "short": n < 20,
         "repeats": 100 * F.col("n_repeat_words") > 30 * n,
-        "symbols": 100 * F.col("n_symbols") > 10 * chars,
+        "symbols": 100 * F.col("n_symbols") > 10 * n,
         "dup_lines": F.col("n_dup_lines") * 100 > 10 * n,
         "word_length": (chars < 2 * n) | (chars > 12 * n),
     }
@@ -108,9 +108,8 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 def quality(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, reject_rate: float = 0.5) -> DataFrame:
     """docs with COUNTS, base_failed, n_failed (rules), host_rate (shrunk share of failing documents), host_kept, kept.
 
-    A document is kept if it fails neither a base rule nor more than one other rule and its host is kept; a host is
-    kept while its shrunk failure rate is at most reject_rate. In a host that is worse than the mean of all hosts by
-    half, one failed rule is enough to reject a document.
+    A document is kept if its host is kept and it fails no rule; in a host whose rate is below half the mean, one failed
+    rule that isn't a base rule is forgiven. A host is kept while its shrunk failure rate is at most reject_rate.
     """
     keep = list(dict.fromkeys([*(docs.columns if keep is None else keep), host]))
     failed = rules()
@@ -120,7 +119,7 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", keep: lis
     hosts = written(scored.groupBy(F.col(f"`{host}`").alias("__host")).agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("n_failed") > 0).cast("long")).alias("failed")))
     a, b = beta_prior(hosts)
     verdicts = hosts.select("__host", ((F.col("failed") + a) / (F.col("docs") + a + b)).alias("host_rate")).withColumn("host_kept", F.col("host_rate") <= reject_rate)
-    allowed = F.when(F.col("host_rate") > 1.5 * a / (a + b), 0).otherwise(1)
+    allowed = F.when(F.col("host_rate") < 0.5 * a / (a + b), 1).otherwise(0)
     return (
         scored.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left").drop("__host")
         .withColumn("kept", ~F.col("base_failed") & F.col("host_kept") & (F.col("n_failed") <= allowed))
@@ -148,7 +147,7 @@ c AS (
   FROM w LEFT JOIN r USING (doc_id) LEFT JOIN dl USING (doc_id)),
 f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    (n_words < 20)::INT + (100 * n_repeat_words > 30 * n_words)::INT + (100 * n_symbols > 10 * word_chars)::INT
+    (n_words < 20)::INT + (100 * n_repeat_words > 30 * n_words)::INT + (100 * n_symbols > 10 * n_words)::INT
     + (100 * n_dup_lines > 10 * n_words)::INT + (word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT AS n_failed
   FROM c),
 s AS (SELECT source, count(*) AS docs, sum((n_failed > 0)::INT) AS failed FROM f GROUP BY source),
@@ -159,7 +158,7 @@ q AS (
     CASE WHEN m > 0 AND m < 1 THEN least(greatest(m * (1 - m) / greatest(v - noise, 1e-6) - 1, 2.0), 1000.0) ELSE 2.0 END AS k FROM p),
 hv AS (SELECT source, (failed + m * k) / (docs + k) AS host_rate, m FROM s, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND host_rate <= 0.5 AND n_failed <= CASE WHEN host_rate > 1.5 * m THEN 0 ELSE 1 END AS kept, n_failed, host_rate <= 0.5 AS host_kept
+  NOT base_failed AND host_rate <= 0.5 AND n_failed <= CASE WHEN host_rate < 0.5 * m THEN 1 ELSE 0 END AS kept, n_failed, host_rate <= 0.5 AS host_kept
 FROM f JOIN hv ON f.source IS NOT DISTINCT FROM hv.source"""
 }
 QUERIES = {"op7_quality_rules": op7_quality_rules}
