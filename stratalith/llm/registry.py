@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stratalith.llm import mixing, quality
+from stratalith.llm import jaccard, mixing, quality
 
-_MODULES = (quality, mixing)
+_MODULES = (jaccard, quality, mixing)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
