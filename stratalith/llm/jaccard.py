@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,19 +226,37 @@ def across(members: DataFrame, num: int, den: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = blocks.select("*", other.alias("other")).select("sig", "node", "label", "sketch", "n", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = frame.lo.iloc[0], frame.hi.iloc[0]
-        sides = [frame[frame.block == i] for i in (lo, hi)]
-        node, label, size = ([s[c].to_numpy() for s in sides] for c in ("node", "label", "n"))
-        bits = [np.frombuffer(b"".join(s.sketch), np.uint64).reshape(len(s), -1) for s in sides]
-        found = []
-        for i in range(len(node[0])):
-            least = np.bitwise_count(bits[1] ^ bits[0][i]).sum(1).astype(np.int64)
-            ok = (label[1] != label[0][i]) & _may_link(size[0][i], size[1], least, num, den) & ((node[1] > node[0][i]) | (lo != hi))
-            found.append(pd.DataFrame({"a": node[0][i], "b": node[1][ok]}))
-        return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []})
-
-    pairs = units.groupBy("sig", "lo", "hi").applyInPandas(search, "a long, b long")
+    def found(node: np.ndarray, label: np.ndarray, bits: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one unit; first: in the unit's first block."""
+        i, j = (np.nonzero(x)[0] for x in (first, ~first)) if not first.all() else (np.arange(len(node)),) * 2
+        least = np.bitwise_count(bits[i][:, None, :] ^ bits[j][None, :, :]).sum(2).astype(np.int64)
+        x, y = np.nonzero((label[i][:, None] != label[j]) & _may_link(size[i][:, None], size[j], least, num, den))
+        return node[i[x]], node[j[y]]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            yield from within(table, unit_ends(table)[:-1])
+            rest = table.slice(([0, *unit_ends(table)[:-1]])[-1])
+        if rest is not None:
+            yield from within(rest, unit_ends(rest))
+
+    def unit_ends(table: pa.Table) -> list[int]:
+        sig, lo, hi = (table[c].to_numpy() for c in ("sig", "lo", "hi"))
+        return [*(np.nonzero((sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[0] + 1).tolist(), *[len(sig)] * (len(sig) > 0)]
+
+    def within(table: pa.Table, ends: list[int]) -> Iterator[pa.RecordBatch]:
+        node, label, size, block, lo = (table[c].to_numpy() for c in ("node", "label", "n", "block", "lo"))
+        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(node), SKETCH_BITS // 64)
+        for begin, end in zip([0, *ends], ends, strict=False):
+            part = slice(begin, end)
+            a, b = found(node[part], label[part], bits[part], size[part], block[part] == lo[part])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    columns = ["sig", "lo", "hi", "node", "label", "sketch", "n", "block"]
+    pairs = units.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi").select(columns).mapInArrow(search, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
