@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stratalith.llm import jaccard, language, mixing, quality, substrings, toxicity
+from stratalith.llm import jaccard, language, mixing, pii, quality, substrings, toxicity
 
-_MODULES = (jaccard, language, toxicity, substrings, quality, mixing)
+_MODULES = (jaccard, language, toxicity, substrings, pii, quality, mixing)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
