@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stratalith.llm import jaccard, language, mixing, pii, quality, substrings, templates, toxicity
+from stratalith.llm import html, jaccard, language, mixing, pii, quality, substrings, templates, toxicity
 
-_MODULES = (jaccard, language, toxicity, substrings, pii, quality, templates, mixing)
+_MODULES = (html, jaccard, language, toxicity, substrings, pii, quality, templates, mixing)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
