@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from stratalith.llm import html, jaccard, language, mixing, pii, quality, substrings, templates, toxicity
+import corpus_pipeline
+from stratalith.llm import html, jaccard, language, masked_lm, mixing, pii, quality, substrings, templates, toxicity
 
-_MODULES = (html, jaccard, language, toxicity, substrings, pii, quality, templates, mixing)
-QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+_MODULES = (jaccard, language, toxicity, masked_lm, substrings, pii, quality, templates, html, mixing)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
