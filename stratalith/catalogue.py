@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalith.plans import q_files
+
 
 def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("bytes"))
 
 
-QUERIES = {"language_summary": language_summary}
-SQL = {"language_summary": "SELECT source, lang, count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source, lang"}
+_MODULES = (q_files,)
+QUERIES = {"language_summary": language_summary} | {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+SQL = {"language_summary": "SELECT source, lang, count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source, lang"} | {name: sql for m in _MODULES for name, sql in m.SQL.items()}
