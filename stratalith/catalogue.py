@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.plans import q_files
+from stratalith.plans import q_files, q_graph, q_history, q_requests, q_search, register  # noqa: F401  the modules register their queries
 
 
 def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,5 @@ def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("bytes"))
 
 
-_MODULES = (q_files,)
-QUERIES = {"language_summary": language_summary} | {name: query for m in _MODULES for name, query in m.QUERIES.items()}
-SQL = {"language_summary": "SELECT source, lang, count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source, lang"} | {name: sql for m in _MODULES for name, sql in m.SQL.items()}
+QUERIES = {"language_summary": language_summary} | register.QUERIES
+SQL = {"language_summary": "SELECT source, lang, count(*) AS files, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source, lang"} | register.SQL

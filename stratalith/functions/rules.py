@@ -107,3 +107,15 @@ ASSERTIVE = ("implements", "uses", "calls", "depends", "stores", "exposes", "aut
 FILE_REFERENCE = r"`?([A-Za-z0-9_./-]+\.(?:py|ts|tsx|js|jsx|json|ya?ml|toml|md|go|rs|java|kt|cs|rb|php|sql))(?:[:#][0-9]+(?:-[0-9]+)?)?`?"
 SEARCH_WORD = "[A-Za-z0-9_./-]+"
 CHUNK_SIZE, CHUNK_OVERLAP = 1800, 220
+
+# Weights and levels of drift and review scores.
+DRIFT_WEIGHTS = {
+    "domains_added": 10, "domains_removed": 14, "domains_changed": 8, "route_delta": 4, "model_delta": 5, "dependencies_added": 4, "dependencies_removed": 5,
+    "integrations_added": 6, "api_added": 6, "api_removed": 8, "orphaned_added": 8, "severity_delta": 2, "score_drops": 8,
+}
+DRIFT_LEVELS = ((70, "major"), (40, "material"), (15, "minor"))
+REVIEW_LEVELS = ((75, "critical"), (55, "high"), (35, "medium"))
+
+# Weights of the composite scores.
+PRODUCTION_WEIGHTS = {"security": 0.32, "debt": 0.24, "tests": 0.14, "ci": 0.10, "container": 0.08, "dependency": 0.07, "docs": 0.05}
+CTO_WEIGHTS = {"production": 0.45, "security": 0.25, "debt": 0.20, "ci": 0.10}

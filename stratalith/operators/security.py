@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
@@ -61,10 +61,22 @@ def histogram(findings: DataFrame) -> DataFrame:
     return wide.select("repo_id", F.explode(F.array(*(F.struct(F.lit(s).alias("severity"), F.col(s).alias("findings")) for s in rules.RANK))).alias("x")).select("repo_id", "x.*")
 
 
-def security_score(findings: DataFrame) -> DataFrame:
+def loss_score(places: int = 2) -> Column:
+    """The security score from the columns of counts(): 100 less a loss of 80 at most."""
     c = F.col
     loss = 20 * c("critical") + 6 * c("high") + F.least(F.lit(35.0), c("medium") / c("files") * 220) + F.least(F.lit(10.0), c("low") / c("files") * 5)
-    return counts(findings).select("repo_id", exprs.dec_round(100 - F.least(F.lit(80.0), loss), 2).alias("security_score"))
+    return exprs.dec_round(F.greatest(F.lit(0.0), 100 - F.least(F.lit(80.0), loss)), places)
+
+
+def security_score(findings: DataFrame) -> DataFrame:
+    return counts(findings).select("repo_id", loss_score().alias("security_score"))
+
+
+def composites(given: DataFrame) -> DataFrame:
+    """given with production, cto and confidence; it has security, debt, tests, ci, container, dependency, docs and files."""
+    total = lambda weights: sum((F.col(c) * F.lit(w) for c, w in weights.items()), F.lit(0.0))
+    out = given.withColumn("production", exprs.dec_round(total(rules.PRODUCTION_WEIGHTS), 1)).withColumn("cto", exprs.dec_round(total(rules.CTO_WEIGHTS), 1))
+    return out.withColumn("confidence", F.least(F.lit(95), 55 + F.least(F.col("files"), F.lit(40))).cast("long"))
 
 
 def posture(findings: DataFrame) -> DataFrame:

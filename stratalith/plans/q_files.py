@@ -8,22 +8,9 @@ from pyspark.sql import functions as F
 from stratalith.functions import exprs, rules
 from stratalith.operators import files as files_ops
 from stratalith.operators import security
+from stratalith.plans.register import query
 from stratalith.sources import bind
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 @query(f"WITH {bind.FILES_SQL} SELECT repo_id, count(*) AS files, sum(size)::BIGINT AS bytes, count(DISTINCT language) AS languages, max(size) AS largest FROM files GROUP BY repo_id")
 def files_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,19 +64,20 @@ DEPENDENCIES_SQL = "dependencies AS (SELECT 's' || l_suppkey AS source, 'p' || l
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, target, relation: regions hold nations, nations hold suppliers and customers."""
+    """source, target, relation: a root holds regions, these hold nations, these hold suppliers and customers."""
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    nation, supplier, customer = (table(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
+    nation, supplier, customer, region = (table(spark, sf_dir, t) for t in ("nation", "supplier", "customer", "region"))
     return (
         nation.select(text("r", "n_regionkey").alias("source"), text("n", "n_nationkey").alias("target"), F.lit("DEPENDS_ON").alias("relation"))
         .unionByName(supplier.select(text("n", "s_nationkey").alias("source"), text("s", "s_suppkey").alias("target"), F.lit("USES").alias("relation")))
         .unionByName(customer.select(text("n", "c_nationkey").alias("source"), text("c", "c_custkey").alias("target"), F.lit("OWNS").alias("relation")))
+        .unionByName(region.select(F.lit("root").alias("source"), text("r", "r_regionkey").alias("target"), F.lit("CONTAINS").alias("relation")))
     )
 
 
 HIERARCHY_SQL = (
     "hierarchy AS (SELECT 'r' || n_regionkey AS source, 'n' || n_nationkey AS target, 'DEPENDS_ON' AS relation FROM nation"
-    " UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'USES' FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'OWNS' FROM customer)"
+    " UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'USES' FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'OWNS' FROM customer UNION ALL SELECT 'root', 'r' || r_regionkey, 'CONTAINS' FROM region)"
 )
 
 
@@ -94,6 +95,10 @@ def _case_sql(t: dict) -> str:
 FINDINGS_SQL = f"findings AS (SELECT event_id AS finding_id, user_id AS repo_id, {_case_sql(SEVERITIES)} AS severity, {_case_sql(RULE_IDS)} AS rule_id, 'mod' || (json_extract_string(props, '$.k')::INT % 40) || '.py' AS path, ts, value FROM events)"
 
 
+def as_requests(events: DataFrame) -> DataFrame:
+    """request_id, ts (timestamp), client, path, duration_ms, failed from events, be they a table or a stream."""
+    return events.select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"), F.col("event_type").alias("path"), F.col("value").alias("duration_ms"), (F.col("event_type") == "error").alias("failed"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """request_id, ts (timestamp), client, path, duration_ms, failed from events."""
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("client"), F.col("event_type").alias("path"), F.col("value").alias("duration_ms"), (F.col("event_type") == "error").alias("failed"))
+    return as_requests(table(spark, sf_dir, "events"))
