@@ -97,3 +97,24 @@ def test_stream_agrees_with_batch(spark):
     batch = {(r["began"], r["path"]): r["requests"] for r in catalogue.QUERIES["windowed_counts"](spark, f"{DATA}/sf0.01").collect()}
     live = catalogue.QUERIES["stream_windowed_counts"](spark, f"{DATA}/sf0.01").withColumn("began", F.unix_timestamp("began")).collect()
     assert len(live) > 0.9 * len(batch) and all(batch[r["began"], r["path"]] == r["requests"] for r in live)
+
+
+def test_scan_of_a_tree(spark, tmp_path):
+    from stratalith.sources import tree
+
+    for name, text in {"a/b.py": "x = 1", "a/c.py": "x = 1", "node_modules/d.js": "y", "README.md": "hello", "big.txt": "z" * 50}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    out = {r["path"]: (r["size"], r["language"], r["text"], r["duplicate"]) for r in tree.scan(spark, f"file://{tmp_path}", "r", 40).collect()}
+    assert out == {"a/b.py": (5, "Python", "x = 1", False), "a/c.py": (5, "Python", "x = 1", True), "README.md": (5, "Markdown", "hello", False)}
+
+
+def test_sarif(spark, tmp_path):
+    from stratalith.operators import sarif
+
+    rows = spark.createDataFrame([("r", "eval", "high", "m1", "a.py", 0), ("r", "eval", "odd", "m2", "b.py", 7)], "repo_id string, rule_id string, severity string, message string, path string, line int")
+    out = [r["result"].asDict(True) for r in sarif.results(rows).collect()]
+    assert [(x["level"], x["locations"][0]["physicalLocation"]["region"]["startLine"]) for x in out] == [("error", 1), ("warning", 7)]
+    assert [r["message"] for r in sarif.rules_of(rows).collect()] == ["m2"]
+    sarif.export(rows, f"{tmp_path}/out")
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
