@@ -1,18 +1,18 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
-A page is cut into lines (blocks of text in page order) with their place: inside a marked article or not, inside a menu,
-header, footer, sidebar, advert, form, comment section or not. Pages of one host and directory are put in the order of
-their paths; each is held against the neighbour with the longer common path. Their lines are aligned by a longest common
-subsequence, and shared lines are deleted: what two neighbouring pages share is the site's, not the article's.
-
-Articles themselves may share lines (copies, quotations, licences), so a line inside a marked article is no candidate for
-deletion; where a page marks its article, the lines outside are not part of it. Lines inside menus and the like go in
-either case.
-
-Defined cases: a null or empty html gives an empty text, and so does a page without text; pages without url or alone in
-their directory have no neighbour and keep all candidate lines; ties between neighbours go to the next page; unclosed
-elements run to the end of their parent or page; comments, scripts and styles never give text; repeated rows are pages of
-their own; an empty table gives an empty result; only the named columns are read.
+A page is cut into lines (blocks of text in page order); lines inside a menu, header, footer, sidebar, advert, form or
+comment section are left out. The pages of a host are put in the order of their paths; each is held against the neighbour
+with the longer common path. Their lines are aligned by a longest common subsequence, and shared lines are deleted,
+wherever they stand: what two neighbouring pages share is the site's, not the article's. A page with the same lines is a
+copy and says nothing about the site, so the next one with other lines is the neighbour.
+
+Neighbours are sought in ranges of (host, path) of like size. What lies at the end of a range is passed on to the next
+ones, so a host may have any number of pages.
+
+Defined cases: a null or empty html gives an empty text, and so does a page without text; pages without url, alone on
+their host or only with copies and pages without text there have no neighbour and keep all lines; ties between neighbours go to the next page;
+unclosed elements run to the end of their parent or page; comments, scripts and styles never give text; repeated rows are
+pages of their own; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from stratalith.llm.shared import written
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)", re.S)
 _NO_TEXT = frozenset("script style title noscript template textarea select option button svg iframe object canvas audio video".split())
@@ -38,6 +41,9 @@ _SITE = frozenset(
     "cookie cookies consent notice notices popup modal overlay comment comments disqus replies footer header masthead related share sharing social newsletter subscribe pagination contentinfo complementary".split()
 )
 
+#: A total order: path by path inside a host.
+ORDER = ["host", "path", "url", "page_id", "sig", "row"]
+
 
 def _is_site(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _ASIDE or (tag == "header" and not in_article):
@@ -48,15 +54,15 @@ def _is_site(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(names & (_SITE - {"header", "footer"} if in_article else _SITE))
 
 
-def page_lines(html: str | None) -> list[tuple[str, bool]]:
-    """(text, inside a marked article) of the lines of a page outside menus and the like."""
-    out: list[tuple[str, bool]] = []
+def page_lines(html: str | None) -> list[str]:
+    """The lines of a page outside menus and the like."""
+    out: list[str] = []
     parts: list[str] = []
     marked, skipped, depth, at = 0, "", 0, 0
 
     def close() -> None:
         if text := " ".join(unescape("".join(parts)).split()):
-            out.append((text, marked > 0))
+            out.append(text)
         parts.clear()
 
     html = html or ""
@@ -126,6 +132,39 @@ def _prefix(a: str | None, b: str | None) -> int:
     return n
 
 
+def _neighbours(placed: DataFrame) -> DataFrame:
+    """placed with last and next: struct(host, sig, path, hashes) of the nearest rows before and after with another (host, sig).
+
+    Rows are in the order of part, then of ORDER. Runs of equal (host, sig) have one neighbour on each side.
+    """
+    order = Window.partitionBy("part").orderBy(*ORDER)
+    back = Window.partitionBy("part").orderBy(*(F.desc_nulls_last(c) for c in ORDER))
+    me, key = F.struct("host", "sig", "path", "hashes"), F.struct("host", "sig")
+    rows = placed.withColumn("before", F.lag(key).over(order)).withColumn("after", F.lead(key).over(order))
+    begins, ends = (F.col(c).isNull() | (F.col(c) != key) for c in ("before", "after"))
+    so_far = (Window.unboundedPreceding, -1)
+    rows = rows.withColumn("last", F.last(F.when(ends, me), True).over(order.rowsBetween(*so_far)))
+    return rows.withColumn("next", F.last(F.when(begins, me), True).over(back.rowsBetween(*so_far)))
+
+
+def _passed_on(rows: DataFrame) -> DataFrame:
+    """(part, part_last, part_next): what the first and the last run of each part have beyond it; a few rows a part."""
+    edges = rows.filter("before IS NULL OR after IS NULL").select("part", F.struct("host", "sig", "path", "hashes").alias("me"), "before", "after", "last", "next").collect()
+    first, end = {r["part"]: r for r in edges if r["before"] is None}, {r["part"]: r for r in edges if r["after"] is None}
+    parts, beyond = sorted(first), {}
+    for side, at, far, run in (("last", first, end, parts), ("next", end, first, parts[::-1])):
+        for i, p in enumerate(run):
+            mine = at[p]["me"]
+            for q in run[:i][::-1]:  # a run may cover whole parts
+                other = far[q]["me"] if far[q]["me"][:2] != mine[:2] else far[q][side]
+                if other is not None:
+                    beyond[p, side] = other
+                    break
+    kind = rows.schema["last"].dataType
+    schema = StructType([StructField("part", rows.schema["part"].dataType), StructField("part_last", kind), StructField("part_next", kind)])
+    return rows.sparkSession.createDataFrame([(p, beyond.get((p, "last")), beyond.get((p, "next"))) for p in parts], schema)
+
+
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_lines, n_deleted (shared with the neighbour) of each page."""
     given = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
@@ -135,22 +174,23 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             for i in range(0, b.num_rows, 64):  # a few pages at a time
                 part = b.slice(i, 64)
                 lines = [page_lines(x) for x in part.column(2).to_pylist()]
-                texts, marks = ([[t[k] for t in page] for page in lines] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.bool_()))], names=["page_id", "url", "lines", "marks"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.list_(pa.string()))], names=["page_id", "url", "lines"])
 
     path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    schema = f"page_id {dict(given.dtypes)['page_id']}, url string, lines array<string>, marks array<boolean>"
-    lined = given.mapInArrow(cut, schema)
-    folder = F.regexp_replace(F.regexp_replace(path, "/$", ""), "[^/]*$", "")
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    placed = lined.withColumns({"host": F.coalesce(host, F.lit("")), "path": path}).withColumns({"folder": folder, "hashes": hashes})
-    alone = placed.filter("url IS NULL OR host = ''")
-    order = Window.partitionBy("host", "folder").orderBy(F.length("path"), "path", "page_id", "url")
-    near = {f"{side}_{c}": f(c).over(order) for c in ("path", "hashes") for side, f in (("last", F.lag), ("next", F.lead))}
-    none = {name: F.lit(None).cast("string" if "path" in name else "array<bigint>") for name in near}
-    columns = ["page_id", "url", "lines", "marks", "hashes", "path", "last_path", "next_path", "last_hashes", "next_hashes"]
-    paired = placed.filter("url IS NOT NULL AND host <> ''").withColumns(near).select(columns).unionByName(alone.withColumns(none).select(columns))
+    lined = given.mapInArrow(cut, f"page_id {dict(given.dtypes)['page_id']}, url string, lines array<string>")
+    hashed = lined.withColumns({"host": F.coalesce(host, F.lit("")), "path": path, "hashes": F.transform("lines", lambda x: F.xxhash64(x))})
+    # the row number parts repeated rows, which all have the same neighbours
+    numbered = written(hashed.withColumns({"sig": F.md5(F.concat_ws(",", F.col("hashes").cast("array<string>"))), "row": F.monotonically_increasing_id()}))
+    placed = written(numbered.filter("host <> '' AND size(lines) > 0").repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()))
+    rows = _neighbours(placed)
+    beyond = F.broadcast(_passed_on(rows))
+    found = rows.join(beyond, "part", "left").withColumns({c: F.coalesce(c, f"part_{c}") for c in ("last", "next")})
+    mine = {c: F.when(F.col(f"{c}.host") == F.col("host"), F.col(c)) for c in ("last", "next")}
+    columns = ["page_id", "url", "lines", "hashes", "path", "last_path", "next_path", "last_hashes", "next_hashes"]
+    paired = found.withColumns({f"{c}_{f}": mine[c][f] for c in mine for f in ("path", "hashes")}).select(columns)
+    none = {name: F.lit(None).cast("string" if "path" in name else "array<bigint>") for name in columns[5:]}
+    paired = paired.unionByName(numbered.filter("host = '' OR size(lines) = 0").withColumns(none).select(columns))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,15 +199,11 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                 texts, counts, deleted = [], [], []
                 for r in part.select(columns[2:]).to_pylist():
                     other = r["next_hashes"] if r["next_hashes"] is not None and (r["last_hashes"] is None or _prefix(r["path"], r["next_path"]) >= _prefix(r["path"], r["last_path"])) else r["last_hashes"]
-                    shared = shared_lines(r["hashes"], other) if other else set()
-                    if any(r["marks"]):
-                        gone = {k for k, m in enumerate(r["marks"]) if not m}
-                    else:
-                        gone = shared
+                    gone = shared_lines(r["hashes"], other) if other else set()
                     kept = [t for k, t in enumerate(r["lines"]) if k not in gone]
                     texts.append("\n\n".join(kept))
                     counts.append(len(kept))
-                    deleted.append(len(shared & gone))
+                    deleted.append(len(gone))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())], names=["page_id", "url", "text", "n_lines", "n_deleted"])
 
     return paired.mapInArrow(keep, f"page_id {dict(given.dtypes)['page_id']}, url string, text string, n_lines long, n_deleted long")

@@ -103,6 +103,21 @@ def test_pages_lose_what_neighbours_share(spark):
     assert out == {i: f"Own & text {i} of the page" for i in range(4)} | {9: ""}
 
 
+def test_pages_are_differenced_wherever_their_lines_stand(spark):
+    """Marked pages in folders of their own, with copies between them, over many ranges: shared lines go, own ones stay."""
+    page = "<body><div>Own text {0}</div><article>Teaser {0}</article><article><p>Shared notice</p></article><div>All rights</div></body>"
+    rows = [(i, f"https://h.org/2024/{i:02d}/slug/", page.format(i)) for i in range(20)] + [(100 + i, f"https://h.org/2024/07/slug/{i:02d}", page.format(7)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in ("8", "3"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        out = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert out == {i: f"Own text {k}\n\nTeaser {k}" for i, k in [(i, i) for i in range(20)] + [(100 + i, 7) for i in range(30)]}
+
+
 def test_quality_counts_against_plain_python(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
