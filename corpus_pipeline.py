@@ -1,11 +1,14 @@
 """From raw documents to a training order: five stages, each a function (spark, docs, sf_dir) -> DataFrame.
 
 Every stage works on all rows its predecessor kept; run() writes each result as Parquet in the shared folder and reads
-it again. All stages but the last return the columns of documents.
+it again. All stages but the last return the columns of documents; the last adds those of the mix to them, so the result
+holds the pseudonymised text in training order.
 
-Defined cases: a null or empty text is not toxic, near no other, leaks nothing, has no personal data and is never taken
+Defined cases: without labels of both classes, or if no term tells them apart, nothing is known of toxicity and no row is
+dropped for it; a null or empty text is not toxic, near no other, leaks nothing, has no personal data and is never taken
 by the mix; a row with a null id is only dropped as toxic, as no other row can name it; of the rows with one id, and of
-the ids of any near-duplicate group, one stays; empty tables give empty results; extra columns pass through.
+the ids of any near-duplicate group, one stays; empty tables give empty results; extra columns pass through, but for
+those with a name of the mix's columns in the last stage.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below one half."""
+    """Documents without text or with a toxicity score below one half; all, if no term was learned."""
     machine = toxicity.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not machine.weight.any():
+        return docs
     columns = docs.columns
     kept = docs.withColumnRenamed("score", "__score") if "score" in columns else docs
     out = toxicity.scored(kept, machine, "text", kept.columns)
-    out = out.filter("score < 0.5").drop("score")
+    out = out.filter((F.col("score") < 0.5) | ~F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).drop("score")
     return (out.withColumnRenamed("__score", "score") if "score" in columns else out).select(columns)
 
 
@@ -60,8 +65,11 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that training takes, in the order of its position."""
-    return mixing.range_sorted(mixing.assigned(docs))
+    """A row with text and all for each copy that training takes, in the order of its position."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    mixed = mixing.assigned(numbered, keep=("__row",))
+    rest = numbered.drop(*(c for c in docs.columns if c.lower() in {*mixed.columns, "copy", "at"}))
+    return mixing.range_sorted(mixed.filter("copies > 0").join(rest, "__row").drop("__row"))
 
 
 STAGES = [

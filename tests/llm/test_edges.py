@@ -1,6 +1,7 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,32 @@ def test_stages(spark, tmp_path, shape):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() <= docs.count(), name
     corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count()
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0, None)], [(99, 0, 1)], [(1, 0, 1), (6, 0, 1)]])
+def test_no_row_is_toxic_without_learned_labels(spark, tmp_path, labels):
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    assert corpus_pipeline.reject_toxic(spark, docs, str(tmp_path)).count() == len(ROWS)
+
+
+def test_texts_without_words_are_not_toxic(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    one = np.ones(1)
+    monkeypatch.setattr(toxicity, "toxicity_model", lambda *_: toxicity.Machine(np.zeros(1, np.int64), 5.0, one, np.zeros((1, 1))))
+    out = corpus_pipeline.reject_toxic(spark, spark.createDataFrame(ROWS, SCHEMA), str(tmp_path))
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == ["4", "5", "7", "None"]
+
+
+@pytest.mark.parametrize("shape", ["plain", "clash"])
+def test_mix_carries_the_texts(spark, shape):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 3 + 1), "en", "ab"[i % 2], 1) for i in [*range(20), 3]] + [(3, "another text", "de", "b", 2)], SCHEMA)
+    mixed = mixing.assigned(docs).select("doc_id", "size", "copies").collect()
+    out = corpus_pipeline.mix_sources(spark, docs if shape == "plain" else clash(docs), "").collect()
+    assert len(out) == sum(r["copies"] for r in mixed) > 20
+    texts = {(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()}
+    assert {(r["doc_id"], r["text"], r["lang"]) for r in out} <= texts and all(len(r["text"].split()) == r["size"] for r in out)
+    assert [r["at"] for r in out] == sorted(r["at"] for r in out)
