@@ -3,11 +3,14 @@
 Numbers, dates, addresses and secrets are found by one pattern, validated by kind (Luhn for cards, octets for network
 addresses, the calendar for dates, ranges for social security numbers, whose first digit stays) and permuted inside their own format by a keyed
 Feistel network: letters stay letters, digits stay digits, punctuation stays. So equal values get equal pseudonyms in
-every document and formats still validate, but without the key nobody can go back. Texts without a digit or an at sign
-are not searched further.
+every document and formats still validate, but without the key nobody can go back. Texts without a digit, an at sign or
+the name of a secret hold no candidate and are not searched further.
 
 Kinds: email (local part), card (the check digit is made valid again), phone (country code stays), ssn, ip (octets),
-date (a day of the 400-year calendar cycle from 1800 on; other years stay), key and secret (the value after its name).
+date (a day of the same 400-year calendar cycle, such as 1800 to 2199; years before 200 and from 9800 on stay), key and
+secret (the value after its name, in small or capital letters). Dates are written year, month, day, or with the year last,
+with - / or . between: with / the month comes first, else the day, but for a day over 12 in the other order. International
+phone numbers begin with + and have 8 to 15 digits in any groups; a country code that is not set apart is permuted too.
 
 Defined cases: a null text stays null, an empty one empty, both with 0 replacements; what doesn't validate stays as it
 is; nulls and extra columns pass through; the outputs n_replaced and kinds win over input columns of their names;
@@ -22,16 +25,16 @@ from pyspark.sql import functions as F
 #: Candidates, in the order in which they are tried at one place. Repetitions are bounded: no match needs deep recursion.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b",
-    "secret": r"\b(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_+/=-]{8,200}",
+    "secret": r"\b(?i:password|passwd|token|secret|api_?key)\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_+/=-]{8,200}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}\b|\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}\b|\+\d{1,3}[ .-]\d{3}[ .-]\d{3}[ .-]\d{4}\b|\b\d{3}[.-]\d{3}[.-]\d{4}\b|\+(?=(?:[ .()-]{0,2}\d){8,15}(?![ .-]?\d))\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,6}){1,7}\b",
     "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-    "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b",
+    "date": "|".join(rf"\b\d{{4}}{x}\d{{2}}{x}\d{{2}}\b|\b\d{{2}}{x}\d{{2}}{x}\d{{4}}\b" for x in ("-", "/", r"\.")),
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "card": r"\b\d{13,19}\b|\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b|\b\d{4}[ -]\d{6}[ -]\d{5}\b",
 }
 ANY = "|".join(PATTERNS.values())
-MAYBE = "[0-9@]"
+MAYBE = "[0-9@]|(?i:password|passwd|token|secret|api_?key)"
 ROUNDS = 4
 DAYS = (189, 773)  # 146097 days of a calendar cycle
 
@@ -134,16 +137,28 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    def go(form: str) -> Column:
-        day = F.try_to_timestamp(m, F.lit(form)).cast("date")
+    begin, cycle = F.lit("1800-01-01").cast("date"), DAYS[0] * DAYS[1]
+    mark = F.regexp_extract(m, "[-/.]", 0)
+    plain = F.translate(m, "/.", "--")
 
-        def moved(n: Column) -> Column:
-            new = feistel_numbers(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, key, "date")
-            return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), _bind(new, lambda p: F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), (p["a"] * DAYS[1] + p["b"]).cast("int")), form)))
+    def permuted(n: Column) -> Column:
+        """Day n of the calendar moved inside its cycle."""
+        inside = F.pmod(n, F.lit(cycle))
+        return F.when(n.isNotNull(), _bind(feistel_numbers(F.floor(inside / DAYS[1]), inside % DAYS[1], *DAYS, key, "date"), lambda p: (n - inside + p["a"] * DAYS[1] + p["b"]).cast("int")))
 
-        return _bind(F.date_diff(day, F.lit("1800-01-01").cast("date")), moved)
+    def late(n: Column) -> Column:
+        """The same among the days after the 12th alone, which no other order of day and month can write."""
+        again = lambda acc, i: F.when((i > 1) & (F.dayofmonth(F.date_add(begin, acc)) > 12), acc).otherwise(permuted(acc))
+        return F.when(n.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(60)), n, again))
 
-    return F.coalesce(F.when(m.rlike("^[0-9]{4}-"), go("yyyy-MM-dd")).otherwise(go("MM/dd/yyyy")), m)
+    def go(form: str, use=permuted) -> Column:
+        day = F.date_diff(F.try_to_timestamp(plain, F.lit(form)).cast("date"), begin)
+        moved = lambda n: F.date_format(F.date_add(begin, use(F.when(n.between(-4 * cycle, 20 * cycle - 1), n))), form)
+        return F.replace(_bind(day, moved), F.lit("-"), mark)
+
+    month, day = "MM-dd-yyyy", "dd-MM-yyyy"
+    short = F.when(mark == "/", F.coalesce(go(month), go(day, late))).otherwise(F.coalesce(go(day), go(month, late)))
+    return F.coalesce(F.when(m.rlike("^[0-9]{4}"), go("yyyy-MM-dd")).otherwise(short), m)
 
 
 def _tail(m: Column, name: str, key: str, kind: str) -> Column:
@@ -159,10 +174,9 @@ def pseudonym(m: Column, key: str) -> Column:
     local = F.regexp_extract(m, "^[^@]*", 0)
     email = F.concat(_refilled(local, feistel(_core(local), key, "email")), F.regexp_extract(m, "@.*$", 0))
     secret = _tail(m, "^[A-Za-z_]+\\s{0,3}[:=]\\s{0,3}[\"']?", key, "secret")
-    number = _core(F.regexp_replace(m, r"^\+\d{1,3}[ .-]?(?=\(|\d{3}[ .-])", ""))
-    cut = F.regexp_extract(m, r"^(?:\+\d{1,3}[ .-]?(?=\(|\d{3}[ .-]))?", 0)
+    cut = F.regexp_extract(m, r"^(?:\+\d{1,3}(?:[ .-]|(?=\()))?", 0)
     rest = F.substring(m, F.length(cut) + 1, F.length(m))
-    phone = F.concat(cut, _refilled(rest, feistel(number, key, "phone")))
+    phone = F.concat(cut, _refilled(rest, feistel(_core(rest), key, "phone")))
     valid_ssn = ~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-") & ~m.rlike("-0000$")
     ssn = F.when(valid_ssn, F.concat(F.substring(m, 1, 1), F.substring(_refilled(F.concat(F.lit("0"), F.substring(m, F.lit(2), F.length(m))), F.concat(F.lit("0"), feistel(F.substring(_core(m), 2, 8), key, "ssn"))), 2, 20))).otherwise(m)
     made = {

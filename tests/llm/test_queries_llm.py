@@ -76,6 +76,20 @@ def test_pseudonyms_link_equal_values_and_keep_formats(spark):
     assert c["text"] == "4111 1111 1111 1112 is no card" and c["n_replaced"] == 0
 
 
+def test_pseudonyms_of_all_forms(spark):
+    """Secrets in texts without a digit, names in capitals, dates in every order, international phone groups."""
+    values = ["password: correcthorsebattery", "PASSWORD=correcthorsebattery", "API_KEY=abcdefghijkl", "25/12/2024", "12/25/2024", "2024/12/25", "25.12.2024", "25-12-2024", "1750-03-04", "+44 20 7946 0958", "+442079460958", "+49 (30) 901820"]
+    rows = [(i, f"before {v} after") for i, v in enumerate(values)] + [(99, "pin 12 and password: correcthorsebattery"), (100, "sum +5 10 or 99.99.2024 or token ring")]
+    out = {r["doc_id"]: r for r in pii.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    mask = lambda t: re.sub("[a-z]", "x", re.sub("[A-Z]", "X", re.sub("[0-9]", "9", t)))
+    for i, v in enumerate(values):
+        assert out[i]["n_replaced"] == 1 and v not in out[i]["text"] and mask(out[i]["text"]) == mask(rows[i][1]), v
+    assert out[0]["text"].split()[2] == out[99]["text"].split()[-1] and out[100]["text"] == rows[-1][1] and "+44 " in out[9]["text"]
+    days = spark.range(20000).select(F.col("id").alias("doc_id"), F.explode(F.array(*(F.date_format(F.date_add(F.lit("1990-01-01"), F.col("id").cast("int")), x) for x in ("MM/dd/yyyy", "dd/MM/yyyy")))).alias("text")).dropDuplicates(["text"])
+    made = [r["text"] for r in pii.pseudonymized(days, "k").select("text").collect()]
+    assert len(set(made)) == len(made) > 20000
+
+
 def test_feistel_is_a_permutation(spark):
     every = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     out = [r[0] for r in every.select(pii.feistel(F.col("v"), "k", "x")).collect()]
