@@ -1,4 +1,4 @@
-"""Tables in the cluster's shared folder and size-checked broadcasts."""
+"""Tables in the cluster's shared folder, size-checked broadcasts and joins with hot keys."""
 
 from __future__ import annotations
 
@@ -14,10 +14,16 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of this application below spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests, one machine) gets a temporary folder; a cluster gets an error, as a
+    folder of one machine would split or lose tables there.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
-        return named.rstrip("/")
+        return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="stratalith-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -31,6 +37,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes what written() has put into the shared folder; results that still read from there are void then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, most: int = 2_000_000) -> DataFrame:
     """df with a broadcast hint if its counted, narrow rows are within the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, spread: list[str], most: int = 2000) -> DataFrame:
+    """left LEFT JOIN right on non-null keys, each of which right has once; right's column `size` counts left's rows of a key.
+
+    Keys with more than `most` rows are parted by a hash of the `spread` columns, with a copy of right's row for each
+    part. There are at most rows / most such keys, and only they and their numbers of parts are broadcast.
+    """
+    parts = F.greatest(F.ceil(F.col(size) / most), F.lit(1)).cast("int")
+    hot = written(right.filter(F.col(size) > most).select(*keys, parts.alias("__parts")))
+    marked = left.join(small(hot, hot.count()), keys, "left")
+    marked = marked.withColumn("__part", F.when(F.col("__parts") > 1, F.pmod(F.xxhash64(*spread), F.col("__parts")).cast("int")).otherwise(0)).drop("__parts")
+    copies = right.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(size)
+    return marked.join(copies, [*keys, "__part"], "left").drop("__part")
