@@ -4,15 +4,18 @@ A page is cut into lines (blocks of text in page order); lines inside a menu, he
 comment section are left out. The pages of a host are put in the order of their paths; each is held against the neighbour
 with the longer common path. Their lines are aligned by a longest common subsequence, and shared lines are deleted,
 wherever they stand: what two neighbouring pages share is the site's, not the article's. A page with the same lines is a
-copy and says nothing about the site, so the next one with other lines is the neighbour.
+copy and says nothing about the site, so the next one with other lines is the neighbour; nor does a page that shares
+`copied` or more of the characters of both, a near copy, so the neighbour on the other side is taken then, if it is none.
 
-Neighbours are sought in ranges of (host, path) of like size. What lies at the end of a range is passed on to the next
-ones, so a host may have any number of pages.
+Only a hash and a length of each line are shuffled to find neighbours: distinct (host, path, lines) are put into ranges of
+like size, where one pass over the sorted rows sees both neighbours. What lies at the end of a range is passed on to the
+next ones, so a host may have any number of pages. The texts meet the numbers of their deleted lines in one join.
 
 Defined cases: a null or empty html gives an empty text, and so does a page without text; pages without url, alone on
-their host or only with copies and pages without text there have no neighbour and keep all lines; ties between neighbours go to the next page;
-unclosed elements run to the end of their parent or page; comments, scripts and styles never give text; repeated rows are
-pages of their own; an empty table gives an empty result; only the named columns are read.
+their host or only with copies and pages without text there have no neighbour and keep all lines; ties between neighbours
+go to the next page; unclosed elements run to the end of their parent or page; comments, scripts and styles never give
+text; tags with thousands of attributes are read up to their first >; repeated rows are pages of their own; an empty table
+gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from stratalith.llm.shared import written
+from stratalith.llm.shared import dealt_join, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]{0,20000}\"|'[^']{0,20000}'){0,2000}+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)", re.S
+)
 _NO_TEXT = frozenset("script style title noscript template textarea select option button svg iframe object canvas audio video".split())
 _RAW = frozenset(["script", "style", "title", "textarea", "noscript", "iframe"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,10 +46,6 @@ _SITE = frozenset(
     "cookie cookies consent notice notices popup modal overlay comment comments disqus replies footer header masthead related share sharing social newsletter subscribe pagination contentinfo complementary".split()
 )
 
-#: A total order: path by path inside a host.
-ORDER = ["host", "path", "url", "page_id", "sig", "row"]
-
-
 def _is_site(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _ASIDE or (tag == "header" and not in_article):
         return True
@@ -132,40 +133,121 @@ def _prefix(a: str | None, b: str | None) -> int:
     return n
 
 
-def _neighbours(placed: DataFrame) -> DataFrame:
-    """placed with last and next: struct(host, sig, path, hashes) of the nearest rows before and after with another (host, sig).
+Page = tuple  # host, sig, path, hashes, sizes
+
+
+def own_lines(page: Page, last: Page | None, following: Page | None, copied: float) -> list[int] | None:
+    """Lines of page that it shares with its neighbour, None without one; last and following are of the same host or None."""
+    sides = [x for x in (following, last) if x is not None]
+    if len(sides) == 2 and _prefix(page[2], last[2]) > _prefix(page[2], following[2]):
+        sides.reverse()
+    for other in sides:
+        gone = shared_lines(page[3], other[3])
+        if sum(page[4][i] for i in gone) < copied * max(sum(page[4]), sum(other[4])):
+            return sorted(gone)
+    return None
 
-    Rows are in the order of part, then of ORDER. Runs of equal (host, sig) have one neighbour on each side.
+
+def _searched(placed: DataFrame, copied: float) -> DataFrame:
+    """Rows sorted by (host, path, sig) in ranges: kind 0 has the deleted lines, kind 1 waits for what lies beyond its range.
+
+    Rows of kind 2 are the first and the last of each range, with the row beyond the run of copies they begin or end.
     """
-    order = Window.partitionBy("part").orderBy(*ORDER)
-    back = Window.partitionBy("part").orderBy(*(F.desc_nulls_last(c) for c in ORDER))
-    me, key = F.struct("host", "sig", "path", "hashes"), F.struct("host", "sig")
-    rows = placed.withColumn("before", F.lag(key).over(order)).withColumn("after", F.lead(key).over(order))
-    begins, ends = (F.col(c).isNull() | (F.col(c) != key) for c in ("before", "after"))
-    so_far = (Window.unboundedPreceding, -1)
-    rows = rows.withColumn("last", F.last(F.when(ends, me), True).over(order.rowsBetween(*so_far)))
-    return rows.withColumn("next", F.last(F.when(begins, me), True).over(back.rowsBetween(*so_far)))
-
-
-def _passed_on(rows: DataFrame) -> DataFrame:
-    """(part, part_last, part_next): what the first and the last run of each part have beyond it; a few rows a part."""
-    edges = rows.filter("before IS NULL OR after IS NULL").select("part", F.struct("host", "sig", "path", "hashes").alias("me"), "before", "after", "last", "next").collect()
-    first, end = {r["part"]: r for r in edges if r["before"] is None}, {r["part"]: r for r in edges if r["after"] is None}
-    parts, beyond = sorted(first), {}
-    for side, at, far, run in (("last", first, end, parts), ("next", end, first, parts[::-1])):
-        for i, p in enumerate(run):
-            mine = at[p]["me"]
-            for q in run[:i][::-1]:  # a run may cover whole parts
-                other = far[q]["me"] if far[q]["me"][:2] != mine[:2] else far[q][side]
+    names = ["kind", "part", "host", "path", "sig", "n", "hashes", "sizes", "gone", "at_begin", "at_end", "other"]
+    other = "struct<host:string,sig:string,path:string,hashes:array<bigint>,sizes:array<int>>"
+    schema = f"kind int, part int, host string, path string, sig string, n long, hashes array<bigint>, sizes array<int>, gone array<int>, at_begin boolean, at_end boolean, other {other}"
+    kinds = placed.sparkSession.createDataFrame([], schema).schema
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        part, arrow = TaskContext.get().partitionId(), to_arrow_schema(kinds)
+        rows: list[tuple] = []
+        before: Page | None = None  # last row of the run before the open one
+        run: list[tuple[Page, int]] = []  # the open run of copies: equal host and lines
+        n_runs, begin_row = 0, None
+
+        def row(kind: int, page: Page, n: int, gone=None, at_begin=False, at_end=False, beyond: Page | None = None) -> tuple:
+            wide = kind == 1 or kind == 2
+            return (kind, part, page[0], page[2], page[1], n, page[3] if wide else None, page[4] if wide else None, gone, at_begin, at_end, None if beyond is None else dict(zip(("host", "sig", "path", "hashes", "sizes"), beyond, strict=True)))
+
+        def same_host(a: Page | None, b: Page) -> Page | None:
+            return a if a is not None and a[0] == b[0] else None
+
+        def close(after: Page | None, at_end: bool) -> None:
+            at_begin = n_runs == 1
+            for page, n in run:
+                if at_begin or at_end:
+                    known = after if at_begin and not at_end else before if at_end and not at_begin else None
+                    rows.append(row(1, page, n, None, at_begin, at_end, known))
+                else:
+                    rows.append(row(0, page, n, own_lines(page, same_host(before, page), same_host(after, page), copied)))
+            if at_begin:
+                rows.append(row(2, run[0][0], 0, None, True, at_end, after))
+            if at_end:
+                rows.append(row(2, run[-1][0], 0, None, at_begin and False, True, before))
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow.field(i).type) for i in range(len(names))], names=names)
+            rows.clear()
+            return out
+
+        for b in batches:
+            for r in b.to_pylist():
+                page = (r["host"], r["sig"], r["path"], r["hashes"], r["sizes"])
+                if run and run[0][0][:2] != page[:2]:
+                    close(page, False)
+                    before, run = run[-1][0], []
+                if not run:
+                    n_runs += 1
+                run.append((page if not run else (*page[:3], *run[0][0][3:]), r["n"]))
+                if len(rows) >= 512:
+                    yield batch()
+        if run:
+            close(None, True)
+            yield batch()
+
+    return placed.mapInArrow(search, schema)
+
+
+def _beyond(edges: list) -> dict[tuple[int, str], Page]:
+    """(range, side) -> the nearest row outside the range with other lines; from the two end rows of each range."""
+    page = lambda r: (r["host"], r["sig"], r["path"], r["hashes"], r["sizes"])
+    first, end = {r["part"]: r for r in edges if r["at_begin"]}, {r["part"]: r for r in edges if not r["at_begin"]}
+    out, parts = {}, sorted(first)
+    for side, mine, far, order in (("last", first, end, parts), ("next", end, first, parts[::-1])):
+        for i, p in enumerate(order):
+            for q in reversed(order[:i]):  # a run of copies may cover whole ranges
+                other = far[q] if page(far[q])[:2] != page(mine[p])[:2] else far[q]["other"]
                 if other is not None:
-                    beyond[p, side] = other
+                    out[p, side] = page(other)
                     break
-    kind = rows.schema["last"].dataType
-    schema = StructType([StructField("part", rows.schema["part"].dataType), StructField("part_last", kind), StructField("part_next", kind)])
-    return rows.sparkSession.createDataFrame([(p, beyond.get((p, "last")), beyond.get((p, "next"))) for p in parts], schema)
+    return out
+
+
+def deleted_lines(described: DataFrame, copied: float) -> DataFrame:
+    """(host, path, sig, n, gone) of distinct pages with lines to delete; described has host, path, sig, n, hashes, sizes."""
+    key = ["host", "path", "sig"]
+    found = written(_searched(described.repartitionByRange(*key).sortWithinPartitions(*key), copied))
+    edges = found.filter("kind = 2").collect()
+    sent = described.sparkSession.sparkContext.broadcast(_beyond(edges))
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = []
+            for r in b.to_pylist():
+                page = (r["host"], r["sig"], r["path"], r["hashes"], r["sizes"])
+                known = tuple(r["other"].values()) if r["other"] else None
+                last = sent.value.get((r["part"], "last")) if r["at_begin"] else known
+                after = sent.value.get((r["part"], "next")) if r["at_end"] else known
+                gone.append(own_lines(page, *(x if x is not None and x[0] == page[0] else None for x in (last, after)), copied))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (*key, "n")), pa.array(gone, pa.list_(pa.int32()))], names=[*key, "n", "gone"])
+
+    waiting = found.filter("kind = 1").mapInArrow(resolve, "host string, path string, sig string, n long, gone array<int>")
+    return found.filter("kind = 0").select(*key, "n", "gone").unionByName(waiting).filter("size(gone) > 0")
 
 
-def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", copied: float = 0.8) -> DataFrame:
     """page_id, url, text, n_lines, n_deleted (shared with the neighbour) of each page."""
     given = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
 
@@ -173,40 +255,27 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         for b in batches:
             for i in range(0, b.num_rows, 64):  # a few pages at a time
                 part = b.slice(i, 64)
-                lines = [page_lines(x) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.list_(pa.string()))], names=["page_id", "url", "lines"])
-
-    path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
-    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    lined = given.mapInArrow(cut, f"page_id {dict(given.dtypes)['page_id']}, url string, lines array<string>")
-    hashed = lined.withColumns({"host": F.coalesce(host, F.lit("")), "path": path, "hashes": F.transform("lines", lambda x: F.xxhash64(x))})
-    # the row number parts repeated rows, which all have the same neighbours
-    numbered = written(hashed.withColumns({"sig": F.md5(F.concat_ws(",", F.col("hashes").cast("array<string>"))), "row": F.monotonically_increasing_id()}))
-    placed = written(numbered.filter("host <> '' AND size(lines) > 0").repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()))
-    rows = _neighbours(placed)
-    beyond = F.broadcast(_passed_on(rows))
-    found = rows.join(beyond, "part", "left").withColumns({c: F.coalesce(c, f"part_{c}") for c in ("last", "next")})
-    mine = {c: F.when(F.col(f"{c}.host") == F.col("host"), F.col(c)) for c in ("last", "next")}
-    columns = ["page_id", "url", "lines", "hashes", "path", "last_path", "next_path", "last_hashes", "next_hashes"]
-    paired = found.withColumns({f"{c}_{f}": mine[c][f] for c in mine for f in ("path", "hashes")}).select(columns)
-    none = {name: F.lit(None).cast("string" if "path" in name else "array<bigint>") for name in columns[5:]}
-    paired = paired.unionByName(numbered.filter("host = '' OR size(lines) = 0").withColumns(none).select(columns))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                part = b.slice(i, 64)
-                texts, counts, deleted = [], [], []
-                for r in part.select(columns[2:]).to_pylist():
-                    other = r["next_hashes"] if r["next_hashes"] is not None and (r["last_hashes"] is None or _prefix(r["path"], r["next_path"]) >= _prefix(r["path"], r["last_path"])) else r["last_hashes"]
-                    gone = shared_lines(r["hashes"], other) if other else set()
-                    kept = [t for k, t in enumerate(r["lines"]) if k not in gone]
-                    texts.append("\n\n".join(kept))
-                    counts.append(len(kept))
-                    deleted.append(len(gone))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())], names=["page_id", "url", "text", "n_lines", "n_deleted"])
-
-    return paired.mapInArrow(keep, f"page_id {dict(given.dtypes)['page_id']}, url string, text string, n_lines long, n_deleted long")
+                texts = ["\n".join(page_lines(x)) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "lines"])
+
+    url_part = lambda group: F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", group), F.lit(""))
+    lined = given.mapInArrow(cut, f"page_id {dict(given.dtypes)['page_id']}, url string, lines string")
+    keyed = lined.withColumns({"host": F.lower(url_part(1)), "path": url_part(2), "sig": F.md5("lines")})
+    each = F.split("lines", "\n")
+    shape = [F.transform(each, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(each, F.length).alias("sizes")]
+    shapes = keyed.filter("host <> '' AND lines <> ''").select("host", "path", "sig", *shape)
+    distinct = shapes.groupBy("host", "path", "sig").agg(F.count(F.lit(1)).alias("n"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
+    return _without(keyed, deleted_lines(written(distinct), copied))
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The pages' texts without their deleted lines."""
+    joined = dealt_join(keyed, written(gone), ["host", "path", "sig"], "n", ["page_id"])
+    lines = F.when(F.col("lines") == "", F.array().cast("array<string>")).otherwise(F.split("lines", "\n"))
+    none = F.array().cast("array<int>")
+    cut = joined.withColumns({"gone": F.coalesce("gone", none), "lines": lines})
+    kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
+    return cut.select("page_id", "url", F.array_join(kept, "\n\n").alias("text"), (F.size("lines") - F.size("gone")).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_deleted"))
 
 
 def op9_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
