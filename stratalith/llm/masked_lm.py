@@ -1,11 +1,17 @@
 """Masked pseudo-likelihood of texts: a window network predicts every token from the two tokens on each side.
 
-Words are hashed to 2 ** 16 buckets and counted over the whole corpus. The most frequent buckets are tokens of their own,
-all others share one token whose probability is spread by their counts. The network adds an embedding for each of the
-four neighbours, and predicts the token in two steps (a cluster of tokens of like frequency, then the token in it). It is
-trained in numpy on the executors: every task starts from the same weights, runs over its part of the corpus (all words
-are context, every fourth is predicted) and emits its weights; their mean by words seen starts the next round. So the
-counts and the training grow with the corpus, while the model that goes through the driver stays some 700 KB.
+Words are hashed to 2 ** bits buckets, and every bucket is a token of its own; bits follows the number of distinct words
+of the corpus (`most_bits` at most, 2 ** 20 tokens). Tokens are ranked by their counts over the whole corpus. A token is
+predicted by steps: first the power of two that its rank lies between, by a softmax, then its bits inside that class, by
+a logistic node each. All steps start from the counts, so an untrained network is the model of single words; the
+nodes of a level have vectors of their own, and hear the neighbours, if `support` words of the corpus or more pass each on
+average. So the vocabulary, the counts and the weights grow with the corpus.
+
+The network adds an embedding for each of the four neighbours (tokens past `inputs` share one for each class). It is
+trained in numpy on the executors: in each of `rounds` rounds the texts whose hash falls on the round give all their
+words as targets, so every word of the corpus is predicted once in training; gradients at the same weights are summed
+over all tasks and one Adagrad step follows. So the result does not depend on how rows are dealt to tasks, but for the
+last digits of sums. Tasks send only those blocks of the gradient that they have touched.
 
 A text's score is the sum of the log-probabilities of all its tokens, each given both sides, with the whole text read.
 
@@ -16,7 +22,6 @@ alone; repeated rows count each; an empty table gives an empty result; only the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,85 +30,123 @@ from pyspark.sql import functions as F
 
 from stratalith.llm.text import Words, runs
 
-BITS = 16
-SIDE = 32
-VOCABULARY = SIDE * SIDE  # token 0 stands for all rarer words; VOCABULARY itself is the border of a text
+MOST_BITS = 20
 WIDTH = 16
 REACH = (-2, -1, 1, 2)
+BLOCK = 1024
+RUN = 1 << 18  # bytes of text at a time
+
+
+class Vocabulary:
+    """Ranks of buckets by count, and what follows from counts alone: classes, depths, log-probabilities of untrained steps."""
+
+    def __init__(self, counts: np.ndarray, support: int = 64, inputs: int = 4096):
+        self.bits = max(1, int(len(counts) - 1).bit_length())
+        order = np.lexsort((np.arange(len(counts)), -counts))
+        self.rank = np.empty(len(counts), np.int32)
+        self.rank[order] = np.arange(len(counts))
+        mass = np.maximum(counts[order], 0.5)  # an unseen bucket counts half
+        place = np.arange(1, len(counts) + 1)
+        self.kind = (np.frexp(place.astype(np.float64))[1] - 1).astype(np.int8)  # class of each rank: 2 ** class <= rank + 1
+        classes = int(self.kind[-1]) + 1
+        total = np.bincount(self.kind, mass, classes)
+        self.class_log = np.log(total / total.sum())
+        # the levels of a class whose nodes see `support` words on average are trained
+        self.depth = np.array([min(c, max(0, int(np.log2(total[c] / support)) + 1 if total[c] >= support else 0)) for c in range(classes)])
+        self.base = np.concatenate([[0], np.cumsum((1 << self.depth) - 1)])
+        self.n_nodes, self.classes = int(self.base[-1]), classes
+        self.lean, self.tail = np.zeros(2 << self.bits, np.float32), np.zeros(len(counts), np.float32)
+        for c in range(1, classes):
+            mine = np.arange((1 << c) - 1, min((2 << c) - 1, len(mass)))
+            inside = np.concatenate([mass[mine], np.zeros((1 << c) - len(mine))])
+            for k in range(c):  # nodes at level k: log odds of the right half against the left one
+                halves = np.log(np.maximum(inside.reshape(1 << (k + 1), -1).sum(1).reshape(-1, 2), 1e-9))
+                lean = self.lean[(1 << c) + (1 << k) : (1 << c) + (2 << k)] = halves[:, 1] - halves[:, 0]
+                if k >= self.depth[c]:
+                    node, bit = ((mine + 1) >> (c - k)) - (1 << k), ((mine + 1) >> (c - k - 1)) & 1
+                    self.tail[mine] -= np.logaddexp(0, np.where(bit == 1, -1, 1) * lean[node])
+        self.n_inputs = inputs + classes + 1  # tokens, classes of rarer tokens, the border of a text
+        self.input_of = np.where(place <= inputs, place - 1, inputs + self.kind.astype(np.int64)).astype(np.int32)
+
+    def tokens(self, words: Words) -> np.ndarray:
+        return self.rank[(words.hash >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+
+    def order(self, token: np.ndarray) -> np.ndarray:
+        """Words by falling depth, then token: at each level those that have it come first, those of one node together."""
+        return np.argsort(token + (int(self.depth.max()) - self.depth[self.kind[token]] << self.bits), kind="stable")
+
+    def steps(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(number of words, their slots, leans and bits) of the trained levels inside classes, for ordered tokens."""
+        kind, place = self.kind[token].astype(np.int64), token + 1
+        depth, base = self.depth[kind], self.base[kind]
+        for k in range(int(depth.max(initial=0))):
+            m = int(np.searchsorted(-depth, -k, "left"))
+            heap = place[:m] >> (kind[:m] - k)
+            yield m, base[:m] + heap - 1, self.lean[(1 << kind[:m]) + heap], (place[:m] >> (kind[:m] - k - 1)) & 1
 
 
-@dataclass
 class Network:
-    """embed (4, V + 1, d), cluster (d, SIDE), inner (SIDE, d, SIDE): float32."""
-
-    embed: np.ndarray
-    cluster: np.ndarray
-    inner: np.ndarray
-
-    @classmethod
-    def fresh(cls) -> Network:
-        rng = np.random.default_rng(11)
-        draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return cls(draw(len(REACH), VOCABULARY + 1, WIDTH), draw(WIDTH, SIDE), draw(SIDE, WIDTH, SIDE))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.embed.ravel(), self.cluster.ravel(), self.inner.ravel()])
-
-    @classmethod
-    def of(cls, flat: np.ndarray) -> Network:
-        a = len(REACH) * (VOCABULARY + 1) * WIDTH
-        b = a + WIDTH * SIDE
-        flat = flat.astype(np.float32)
-        return cls(flat[:a].reshape(len(REACH), VOCABULARY + 1, WIDTH), flat[a:b].reshape(WIDTH, SIDE), flat[b:].reshape(SIDE, WIDTH, SIDE))
-
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        return np.tanh(sum(self.embed[j][around[j]] for j in range(len(REACH))))
-
-    def log_probability(self, around: np.ndarray, token: np.ndarray, step: int = 8192) -> np.ndarray:
-        """Log-probability of each token given its neighbours (4, n)."""
-        out = np.zeros(len(token))
-        for i in range(0, len(token), step):
-            h, (c, k) = self.hidden(around[:, i : i + step]), divmod(token[i : i + step], SIDE)
-            z = h @ self.cluster
-            part = z[np.arange(len(c)), c] - _log_sum(z)
-            order = np.argsort(c, kind="stable")
-            ends = np.searchsorted(c[order], np.arange(SIDE + 1))
-            for g in range(SIDE):
-                rows = order[ends[g] : ends[g + 1]]
-                if len(rows):
-                    y = h[rows] @ self.inner[g]
-                    part[rows] += y[np.arange(len(rows)), k[rows]] - _log_sum(y)
-            out[i : i + step] = part
+    """embed (4, inputs, d), cluster (d, classes), node (nodes, d) as views of one flat array."""
+
+    def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
+        v = self.vocabulary = vocabulary
+        shapes = (len(REACH), v.n_inputs, WIDTH), (WIDTH, v.classes), (v.n_nodes, WIDTH)
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
+        if flat is None:
+            flat = np.zeros(-(-int(ends[-1]) // BLOCK) * BLOCK, np.float32)
+            flat[: ends[0]] = np.random.default_rng(11).normal(0, 0.3, ends[0])
+        self.flat = flat
+        self.embed, self.cluster, self.node = (x.reshape(s) for x, s in zip(np.split(flat[: ends[-1]], ends[:-1]), shapes, strict=True))
+
+    def _sorted(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the words by token, their tokens, their hidden values), so that equal steps lie side by side."""
+        v, token = self.vocabulary, self.vocabulary.tokens(words)
+        order = v.order(token)
+        near = neighbours(words, v.input_of[token], v.n_inputs - 1)[:, order]
+        return order, token[order], np.tanh(sum(self.embed[j][near[j]] for j in range(len(REACH))))
+
+    def log_probability(self, words: Words) -> np.ndarray:
+        """Log-probability of each word given its neighbours."""
+        v, out = self.vocabulary, np.zeros(words.n)
+        order, token, h = self._sorted(words)
+        z = h @ self.cluster + v.class_log.astype(h.dtype)
+        part = z[np.arange(words.n), v.kind[token]] - _log_sum(z) + v.tail[token]
+        for m, slot, lean, bit in v.steps(token):
+            s = np.einsum("nd,nd->n", h[:m], self.node[slot]) + lean
+            part[:m] -= np.logaddexp(0, np.where(bit == 1, -s, s))
+        out[order] = part
         return out
 
-    def train(self, around: np.ndarray, token: np.ndarray, memory: list[np.ndarray], rate: float = 0.1) -> None:
-        """One Adagrad step on a batch; memory holds the squared gradients so far."""
-        n = len(token)
-        h, (c, k) = self.hidden(around), divmod(token, SIDE)
-        z = _softmax(h @ self.cluster)
-        z[np.arange(n), c] -= 1
-        grad_cluster, back = h.T @ z, z @ self.cluster.T
-        grad_inner = np.zeros_like(self.inner)
-        order = np.argsort(c, kind="stable")
-        ends = np.searchsorted(c[order], np.arange(SIDE + 1))
-        for g in range(SIDE):
-            rows = order[ends[g] : ends[g + 1]]
-            if len(rows):
-                y = _softmax(h[rows] @ self.inner[g])
-                y[np.arange(len(rows)), k[rows]] -= 1
-                grad_inner[g] = h[rows].T @ y
-                back[rows] += y @ self.inner[g].T
-        back *= 1 - h**2
-        for j in range(len(REACH)):
-            grad = np.stack([np.bincount(around[j], back[:, d], VOCABULARY + 1) for d in range(WIDTH)], 1)
-            self._step(self.embed[j], grad / n, memory[0][j], rate)
-        self._step(self.cluster, grad_cluster / n, memory[1], rate)
-        self._step(self.inner, grad_inner / n, memory[2], rate)
-
-    @staticmethod
-    def _step(value: np.ndarray, grad: np.ndarray, seen: np.ndarray, rate: float) -> None:
-        seen += grad**2
-        value -= rate * grad / np.sqrt(seen + 1e-10)
+    def gradient(self, words: Words, total: Network) -> None:
+        """Adds the gradients of the negative log-probabilities of all words to total."""
+        v = self.vocabulary
+        order, token, h = self._sorted(words)
+        z = h @ self.cluster + v.class_log.astype(h.dtype)
+        z = np.exp(z - z.max(1, keepdims=True))
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(words.n), v.kind[token]] -= 1
+        total.cluster += h.T @ z
+        back = z @ self.cluster.T
+        for m, slot, lean, bit in v.steps(token):
+            vector = self.node[slot]
+            g = (1 / (1 + np.exp(-(np.einsum("nd,nd->n", h[:m], vector) + lean))) - bit).astype(h.dtype)[:, None]
+            back[:m] += g * vector
+            _added(total.node, slot, g * h[:m])
+        by_word = np.empty_like(back)
+        by_word[order] = back * (1 - h**2)
+        begin, end, inputs = words.first[:-1][words.doc[order]], words.first[1:][words.doc[order]], v.input_of[token]
+        for j, by in enumerate(REACH):  # the word at order[i] is the neighbour of the one `by` places before it
+            centre = order - by
+            ok = (centre >= begin) & (centre < end)
+            _added(total.embed[j], inputs[ok], by_word[centre[ok]])
+            total.embed[j, v.n_inputs - 1] += by_word.sum(0) - by_word[centre[ok]].sum(0)
+
+
+def _added(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """target[rows] += values, for rows with equal ones side by side."""
+    if len(rows):
+        first = np.nonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))[0]
+        target[rows[first]] += np.add.reduceat(values, first, axis=0)
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -111,99 +154,103 @@ def _log_sum(z: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(z - top[:, None]).sum(1))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+def bucket_counts(docs: DataFrame, text: str = "text", most_bits: int = MOST_BITS) -> np.ndarray:
+    """How often each bucket occurs in the whole corpus, for as many buckets as there are distinct words (a power of two)."""
+    wide = 1 << most_bits
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros(wide, np.int64)
+        for b in batches:
+            for _, _, data, at in runs(b.column(0)):
+                have += np.bincount((Words(data, at, lower=True).hash >> np.uint64(64 - most_bits)).astype(np.int64), minlength=wide)
+        yield _blocks(have)
 
-def buckets(words: Words) -> np.ndarray:
-    return (words.hash >> np.uint64(64 - BITS)).astype(np.int64)
+    def add(table: pa.Table) -> pa.Table:
+        return _summed(table, np.int64)
 
+    found = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, "block long, x binary").groupBy("block").applyInArrow(add, "block long, x binary")
+    counts = _filled(found.toArrow(), np.zeros(wide, np.int64))
+    seen = int((counts > 0).sum())
+    distinct = wide if seen >= 0.99 * wide else -wide * np.log(1 - seen / wide)  # words that share a bucket count too
+    bits = min(most_bits, max(8, int(np.ceil(np.log2(max(distinct, 2))))))
+    return counts.reshape(1 << bits, -1).sum(1)
 
-def bucket_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each bucket occurs in the whole corpus."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(1 << BITS, np.int64)
-        for b in batches:
-            for _, _, data, at in runs(b.column(0)):
-                have += np.bincount(buckets(Words(data, at, lower=True)), minlength=1 << BITS)
-        some = np.nonzero(have)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(have[some])], names=["bucket", "n"])
-
-    rows = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(1 << BITS, np.int64)
-    for r in rows:
-        out[r["bucket"]] = r["n"]
-    return out
+def _blocks(flat: np.ndarray) -> pa.RecordBatch:
+    """Rows (block, bytes) of those blocks that are not zero."""
+    grid = flat.reshape(-1, BLOCK)
+    some = np.nonzero(grid.any(1))[0]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([grid[i].tobytes() for i in some], pa.binary())], names=["block", "x"])
+
+
+def _summed(table: pa.Table, kind) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), kind) for x in table["x"])
+    return pa.table({"block": table["block"][:1], "x": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
 
-def tokens_of_buckets(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token, log share within its token) of each bucket; unseen buckets count half."""
-    order = np.lexsort((np.arange(len(counts)), -counts))[: VOCABULARY - 1]
-    order = order[counts[order] > 0]
-    token = np.zeros(len(counts), np.int64)
-    token[order] = np.arange(1, len(order) + 1)
-    rare = np.where(token == 0, np.maximum(counts, 0.5), 0)
-    return token, np.where(token == 0, np.log(np.maximum(rare, 1e-9) / max(rare.sum(), 1e-9)), 0.0)
+def _filled(table: pa.Table, flat: np.ndarray) -> np.ndarray:
+    grid = flat.reshape(-1, BLOCK)
+    for i, x in zip(table["block"].to_pylist(), table["x"], strict=True):
+        grid[i] = np.frombuffer(x.as_buffer(), flat.dtype)
+    return flat
 
 
-def neighbours(words: Words, token: np.ndarray) -> np.ndarray:
-    """Tokens around each word (4, n); beyond the text the border token."""
-    out = np.full((len(REACH), words.n), VOCABULARY)
+def neighbours(words: Words, inputs: np.ndarray, border: int) -> np.ndarray:
+    """Inputs around each word (4, n); beyond the text the border."""
+    out = np.full((len(REACH), words.n), border)
     i = np.arange(words.n)
     begin, end = words.first[:-1][words.doc], words.first[1:][words.doc]
     for j, by in enumerate(REACH):
         ok = (i + by >= begin) & (i + by < end)
-        out[j, ok] = token[i[ok] + by]
+        out[j, ok] = inputs[i[ok] + by]
     return out
 
 
-def trained(docs: DataFrame, token: np.ndarray, text: str = "text", rounds: int = 2, every: int = 4, batch: int = 2048) -> Network:
-    """Weights after rounds of training on all parts of the corpus, averaged by words seen after each."""
-    network = Network.fresh()
+def trained(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = 12, rate: float = 0.2) -> Network:
+    """The network after one Adagrad step a round; a round's targets are all words of the texts whose hash falls on it."""
+    network, memory = Network(vocabulary), 0.0
     spark = docs.sparkSession
+    given = docs.select(F.col(f"`{text}`").alias("t"))
+    known = spark.sparkContext.broadcast(vocabulary)
+
+    def add(table: pa.Table) -> pa.Table:
+        return _summed(table, np.float64)
+
     for number in range(rounds):
-        sent = spark.sparkContext.broadcast((network.flat(), token))
+        sent = spark.sparkContext.broadcast(network.flat)
 
-        def learn(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
-            flat, token = sent.value
-            net, n = Network.of(flat.copy()), 0
-            memory = [np.full(x.shape, 1e-4, np.float32) for x in (net.embed, net.cluster, net.inner)]
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            net = total = None
             for b in batches:
-                for _, _, data, at in runs(b.column(0)):
+                for _, _, data, at in runs(b.column(0), RUN):
+                    if net is None:
+                        net, total = Network(known.value, sent.value), Network(known.value, np.zeros(len(sent.value)))
                     words = Words(data, at, lower=True)
-                    mine = token[buckets(words)]
-                    around = neighbours(words, mine)
-                    chosen = np.arange(number % every, words.n, every)
-                    for part in np.array_split(chosen, max(1, len(chosen) // batch)):
-                        if len(part):
-                            net.train(around[:, part], mine[part], memory)
-                    n += len(chosen)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(net.flat().astype(np.float64) * n), pa.array(np.full(len(flat), n))], names=["i", "x", "n"])
-
-        means = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(learn, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x"))
-        flat = network.flat().astype(np.float64)
-        for r in means.collect():
-            flat[r["i"]] = r["x"]
-        network = Network.of(flat)
+                    if words.n:
+                        net.gradient(words, total)
+            if net is not None:
+                yield _blocks(total.flat)
+
+        chosen = given.filter(F.pmod(F.xxhash64("t"), F.lit(rounds)) == number).filter("t IS NOT NULL")
+        found = chosen.mapInArrow(learn, "block long, x binary").groupBy("block").applyInArrow(add, "block long, x binary")
+        gradient = _filled(found.toArrow(), np.zeros(len(network.flat)))
+        memory = memory + gradient**2
+        network = Network(vocabulary, (network.flat - rate * gradient / np.sqrt(memory + 1e-12)).astype(np.float32))
+        sent.unpersist()
     return network
 
 
-def scored(docs: DataFrame, network: Network, token: np.ndarray, share: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
+def scored(docs: DataFrame, network: Network, keep: list[str], text: str = "text") -> DataFrame:
     """The keep columns with n_tokens, log_likelihood (sum) and mean_log_likelihood."""
-    sent = docs.sparkSession.sparkContext.broadcast((network.flat(), token, share))
+    sent = docs.sparkSession.sparkContext.broadcast((network.vocabulary, network.flat))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, token, share = sent.value
-        net = Network.of(flat)
+        net = Network(*sent.value)
         for b in batches:
             n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, data, at in runs(b.column(b.num_columns - 1)):
+            for _, _, data, at in runs(b.column(b.num_columns - 1), RUN):
                 words = Words(data, at, lower=True)
-                bucket = buckets(words)
-                logs = net.log_probability(neighbours(words, token[bucket]), token[bucket]) + share[bucket]
+                logs = net.log_probability(words) if words.n else np.zeros(0)
                 n.append(np.diff(words.first))
                 total.append(np.bincount(words.doc, logs, len(at) - 1))
             n, total = np.concatenate(n), np.concatenate(total)
@@ -216,8 +263,8 @@ def scored(docs: DataFrame, network: Network, token: np.ndarray, share: np.ndarr
 
 def pseudo_likelihood(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Scores of docs by a network that is trained on them."""
-    token, share = tokens_of_buckets(bucket_counts(docs, text))
-    return scored(docs, trained(docs, token, text), token, share, keep, text)
+    vocabulary = Vocabulary(bucket_counts(docs, text))
+    return scored(docs, trained(docs, vocabulary, text), keep, text)
 
 
 def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
