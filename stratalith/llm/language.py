@@ -1,13 +1,16 @@
 """Language by compression: each text is compressed with a raw-content dictionary of each language; the smallest wins.
 
-Dictionaries are made of a bounded sample of labelled texts (`per_language` bytes for each language, the texts with the
-least hash of their id). Texts are compressed whole. The score is a softmax over the bits a character that each
-language costs; a prediction whose margin over the second is below `least_margin` bits a character is marked as
-rejected, and open_set() turns it into `und`.
+Dictionaries are made of a bounded sample of labelled texts (`total` bytes over all languages, `per_language` bytes for one
+at most). Whole texts are cut into pieces of `piece` characters or less, and a language's dictionary takes those with the
+least hash, wherever they stand; so it holds many texts, and every language gets one. Texts are compressed whole. The
+score is a softmax over the bits a character that each language costs; a prediction whose margin over the second is below
+`least_margin` bits a character is marked as rejected, and open_set() turns it into `und`.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and rejected; a text of a few letters gets a
 prediction with a low score; ties go to the language first by name; without any labelled text everything is `und`;
-repeated rows count each; an empty table gives an empty result; only the named columns are read.
+lines that the sample has in two languages (licences, boilerplate) say nothing of either and are left out of both, unless
+a language would have no other; repeated rows count each; an empty table gives an empty result; only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -38,30 +41,31 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def samples(labelled: DataFrame, per_language: int = 16384, languages: int = 200) -> dict[str, bytes]:
-    """language -> dictionary content, from labelled (key, text, lang): at most `languages` times `per_language` bytes.
-
-    Each text gives up to 2048 characters, so a dictionary holds many texts. Lines that the sample has twice (licences,
-    boilerplate, copies) say nothing about a language and are left out; the most frequent languages are kept.
-    """
-    named = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0")
-    common = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    piece = named.filter(F.col("lang").isin(common)).select("lang", F.substring("text", 1, 2048).alias("piece"), F.xxhash64("key", "text").alias("h"))
-    # the least hashes of each language by a first cut of the hash range, then by rank
-    n = max(1, per_language // 64)
-    total = {r["lang"]: r["count"] for r in piece.groupBy("lang").count().collect()}
-    share = F.create_map(*(F.lit(x) for lang, count in total.items() for x in (lang, min(1.0, 4.0 * n / count)))) if total else None
-    if share is None:
+def samples(labelled: DataFrame, per_language: int = 16384, total: int = 1 << 24, piece: int = 512) -> dict[str, bytes]:
+    """language -> dictionary content, from labelled (key, text, lang): at most `total` bytes, `per_language` for each."""
+    named = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND length(trim(text)) > 0").select("key", "text", "lang")
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    if not sizes:
         return {}
-    cut = piece.filter(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= n)
-    pieces = [(row["lang"], letters(line)) for row in ranked.orderBy("lang", "r").collect() for line in row["piece"].split("\n")]
-    times = Counter(line for _, line in pieces)
-    out: dict[str, list[bytes]] = {}
-    for lang, line in pieces:
-        if line and times[line] == 1 and sum(map(len, have := out.setdefault(lang, []))) < per_language:
-            have.append(line)
-    return {lang: b" ".join(lines)[:per_language] for lang, lines in sorted(out.items())}
+    room = max(256, min(per_language, total // len(sizes)))
+    lines = named.select("key", "lang", F.posexplode(F.split("text", "\n")).alias("line", "x"))
+    starts = F.sequence(F.lit(1), F.greatest(F.length("x"), F.lit(1)), F.lit(piece))
+    cut = lines.select("key", "lang", "line", "x", F.explode(starts).alias("at")).select("lang", F.substring("x", F.col("at"), F.lit(piece)).alias("x"), F.xxhash64("key", "line", "at").alias("h"))
+    # a first cut of the hash range, for about sixteen times what fits in characters; then by rank
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 16.0 * room / n)))), F.col("lang"))
+    chosen = cut.filter((F.trim("x") != "") & (F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))).dropDuplicates(["lang", "x"])
+    before = F.sum(F.length("x")).over(Window.partitionBy("lang").orderBy("h", "x").rowsBetween(Window.unboundedPreceding, -1))
+    kept = chosen.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * room).select("lang", "x", "h")
+    found: dict[str, list[bytes]] = {}
+    for r in sorted(kept.collect(), key=lambda r: (r["lang"], r["h"], r["x"])):
+        if line := letters(r["x"]):
+            found.setdefault(r["lang"], []).append(line)
+    times = Counter(line for lines in found.values() for line in set(lines))
+    out = {}
+    for lang, mine in sorted(found.items()):
+        own = [x for x in dict.fromkeys(mine) if times[x] == 1] or list(dict.fromkeys(mine))
+        out[lang] = b" ".join(own)[:room]
+    return out
 
 
 def scored(docs: DataFrame, dictionaries: dict[str, bytes], text: str, keep: list[str], least_margin: float = 0.02) -> DataFrame:

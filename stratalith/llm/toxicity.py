@@ -3,8 +3,9 @@
 Terms are words and five-byte pieces of words, hashed to 2 ** 18 buckets; a text has a term or not. The machine adds a
 weight for each term and, for each pair of terms, the product of two short factors, so an insult together with a
 mention of a group may weigh more than both alone. It is fitted in numpy on a bounded sample of labelled texts
-(`sample` rows at most, chosen by a hash of the id), over the `n_terms` buckets that
-separate the classes best there, with a z value of `least_z` at least.
+(`sample` rows at most, those with the least hash of the id), over the `n_terms` buckets that separate the classes best
+there, with a z value of `least_z` at least, and over buckets that do so only together: of the `frequent` most frequent and
+the 512 best, those in a pair whose z value is half above both of its parts' and `pair_z` or more.
 Scoring reads whole texts in one pass; only the model is sent to the tasks (some 100 KB).
 
 Defined cases: a null or empty text has no term and gets the model's base score; several labels of one id count as
@@ -101,14 +102,41 @@ def fit(buckets: np.ndarray, term: np.ndarray, text: np.ndarray, label: np.ndarr
     return Machine(buckets, float(base), w, v)
 
 
-def learned(texts: DataFrame, labels: DataFrame, sample: int = 20000, n_terms: int = 2048, least_z: float = 4.0) -> Machine:
+def _z(n1, n0, c1: int, c0: int):
+    """How many standard errors lie between the shares of two classes."""
+    p = (n1 + n0 + 1) / (c1 + c0 + 2)
+    return np.abs(n1 / max(c1, 1) - n0 / max(c0, 1)) / np.sqrt(p * (1 - p) * (1 / max(c0, 1) + 1 / max(c1, 1)))
+
+
+def paired(term: np.ndarray, text: np.ndarray, label: np.ndarray, n_terms: int, single: np.ndarray, pair_z: float, chunk: int = 4096) -> np.ndarray:
+    """Terms of pairs that separate the classes better than both parts do; single holds the terms' own z values."""
+    both = np.zeros((2, n_terms, n_terms), np.float32)
+    single = single.astype(np.float32)
+    first = np.searchsorted(text, np.arange(len(label) + 1))
+    for i in range(0, len(label), chunk):
+        stop = min(i + chunk, len(label))
+        grid = np.zeros((stop - i, n_terms), np.float32)
+        part = slice(first[i], first[stop])
+        grid[text[part] - i, term[part]] = 1
+        for y in (0, 1):
+            mine = grid[label[i:stop] == y]
+            both[y] += mine.T @ mine
+    c1 = int(label.sum())
+    z = _z(both[1], both[0], c1, len(label) - c1)
+    z[np.arange(n_terms), np.arange(n_terms)] = 0
+    good = (z >= pair_z) & (z > 1.5 * np.maximum(single[:, None], single[None, :])) & (both.sum(0) >= 20)
+    return np.nonzero(good.any(1))[0]
+
+
+def learned(texts: DataFrame, labels: DataFrame, sample: int = 20000, n_terms: int = 2048, least_z: float = 4.0, frequent: int = 1024, pair_z: float = 8.0) -> Machine:
     """A machine from texts (doc_id, text) and labels (doc_id, label 0 or 1); `sample` bounds the rows it is fitted on."""
     known = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     n = known.count()
     if not n:
         return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, 1)))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, 0.95 * sample / n) * (1 << 30))
-    rows = written(texts.join(F.broadcast(chosen.limit(sample)), "doc_id").select("text", F.col("label").cast("long").alias("label")))
+    near = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < min(1.0, 1.5 * sample / n) * (1 << 30))
+    chosen = near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(sample)
+    rows = written(texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("long").alias("label")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.zeros((2, 1 << BITS), np.int64)
@@ -124,10 +152,15 @@ def learned(texts: DataFrame, labels: DataFrame, sample: int = 20000, n_terms: i
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     c0, c1 = sizes.get(0, 0), sizes.get(1, 0)
     counted = rows.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p0, p1, p = F.col("n0") / max(c0, 1), F.col("n1") / max(c1, 1), (F.col("n0") + F.col("n1") + 1) / (c0 + c1 + 2)
-    z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / max(c0, 1) + 1 / max(c1, 1)))
-    best = counted.withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "bucket").limit(n_terms)
-    buckets = np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
+    table = counted.toArrow()
+    bucket, n0, n1 = (table[c].to_numpy() for c in ("bucket", "n0", "n1"))
+    z = _z(n1, n0, c1, c0)
+    strong = np.nonzero(z >= least_z)[0]
+    strong = strong[np.lexsort((bucket[strong], -z[strong]))][:n_terms]
+    often = np.nonzero((n0 + n1 >= 8) & (n0 + n1 < 0.5 * (c0 + c1)))[0]
+    often = often[np.lexsort((bucket[often], -(n0 + n1)[often]))][:frequent]
+    buckets = np.unique(bucket[np.concatenate([strong, often])])
+    single = z[np.argsort(bucket)][np.searchsorted(np.sort(bucket), buckets)]
     machine = Machine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), 1)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +171,18 @@ def learned(texts: DataFrame, labels: DataFrame, sample: int = 20000, n_terms: i
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(term.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), lists], names=["label", "terms"])
 
-    encoded = sorted((r["label"], r["terms"]) for r in rows.mapInArrow(encode, "label long, terms array<int>").collect())
-    label = np.array([y for y, _ in encoded], np.float64)
-    term = np.concatenate([np.array(t, np.int64) for _, t in encoded]) if encoded else np.zeros(0, np.int64)
-    return fit(buckets, term, np.repeat(np.arange(len(encoded)), [len(t) for _, t in encoded]), label)
+    encoded = rows.mapInArrow(encode, "label long, terms array<int>").toArrow().to_pydict()
+    order = sorted(range(len(encoded["label"])), key=lambda i: (encoded["label"][i], encoded["terms"][i]))
+    label = np.array([encoded["label"][i] for i in order], np.float64)
+    lists = [encoded["terms"][i] for i in order]
+    term = np.concatenate([np.zeros(0, np.int64), *(np.array(t, np.int64) for t in lists)])
+    text = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+    keep, wide = np.isin(buckets, bucket[strong]), np.nonzero(np.isin(buckets, bucket[np.concatenate([strong[:512], often])]))[0]
+    among = np.isin(term, wide)
+    keep[wide[paired(np.searchsorted(wide, term[among]), text[among], label, len(wide), single[wide], pair_z)]] = True
+    place = np.cumsum(keep) - 1
+    used = keep[term]
+    return fit(buckets[keep], place[term[used]], text[used], label)
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
