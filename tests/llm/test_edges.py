@@ -62,6 +62,25 @@ def test_leak_cases(spark):
     assert templates.leaks(docs.limit(0), items).count() == 0 and templates.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_of_all_forms(spark):
+    """Values of other lengths, names beyond Latin-1, items of few or no plain tokens, short items, long texts, phrases of many items."""
+    base = "{} bought {} crates of fruit for the market and sold each of them at {} coins before the evening came"
+    items = [
+        (1, base.format("Anna", "12", "5")), (2, "12 14 16 18 20 22"), (3, "Forty Two"), (4, "41 43 47"), (5, "how many apples are left"),
+        *((100 + i, "answer the following question with one of the given letters only " + " ".join(f"w{chr(97 + i)}x{chr(97 + j)}" for j in range(9))) for i in range(5)),
+    ]
+    docs = [
+        (1, "so " + base.format("Mary Jane", "1,250", "2.5") + " indeed"), (2, "so " + base.format("Ωμέγα", "7", "3") + " indeed"), (3, "row 12 14 16 18 20 22 end"), (4, "FORTY Two!"), (5, "then Forty Two came"),
+        (6, "41 43 47"), (7, "how many apples are left"), (8, "answer the following question with one of the given letters only please"), (9, "word " * 60_000 + base.format("Anna", "12", "5")), (10, "12 14 16 18 20"),
+        (11, "× " + base.format("anna", "12", "5").replace("fruit", "fruits")),
+    ]
+    given = [spark.createDataFrame(r, f"{k} long, text string") for r, k in ((docs, "doc_id"), (items, "item_id"))]
+    want = {(1, 1, False), (2, 1, False), (3, 2, True), (4, 3, True), (6, 4, True), (7, 5, True), (9, 1, True)}
+    for bound in (64_000_000, 0):
+        out = {(r["doc_id"], r["item_id"], r["verbatim"]) for r in templates.leaks(*given, bound=bound).collect()}
+        assert {r for r in out if r[0] != 11} == want
+
+
 def test_page_cases(spark):
     rows = [(1, "https://h/x", "<p>one"), (1, "https://h/x", "<p>one"), (2, None, "<p>t&eacute;xt</p>"), (3, "https://h/y", None), (4, "", ""), (None, "no url", "<nav>menu</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("text", "lines", "path", "host")})

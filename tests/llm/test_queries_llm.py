@@ -1,6 +1,8 @@
 """Training-data queries against their SQL, or against brute force on the smallest tables where SQL can't express them."""
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,6 +11,7 @@ from compare import DATA, hold, plain, spark_rows
 from pyspark.sql import functions as F
 
 from stratalith.llm import html, language, masked_lm, pii, registry, toxicity
+from stratalith.llm.text import Words
 
 SF = f"{DATA}/sf0.01"
 
@@ -56,13 +59,136 @@ def test_masked_scores_tell_shuffled_texts(spark):
     texts = [[cycle[(at + i) % 40] for i in range(80)] for at in rng.integers(0, 40, 600)]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     mixed = spark.createDataFrame([(i, " ".join(rng.permutation(t))) for i, t in enumerate(texts)], "doc_id long, text string")
-    token, share = masked_lm.tokens_of_buckets(masked_lm.bucket_counts(docs))
-    network = masked_lm.trained(docs, token, rounds=12, every=1)
-    a, b = ({r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.scored(d, network, token, share, ["doc_id"]).collect()} for d in (docs, mixed))
+    vocabulary = masked_lm.Vocabulary(masked_lm.bucket_counts(docs))
+    network = masked_lm.trained(docs, vocabulary)
+    a, b = ({r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.scored(d, network, ["doc_id"]).collect()} for d in (docs, mixed))
     assert np.mean([a[k] > b[k] for k in a]) > 0.95
     assert all(x < 0 for x in a.values())
 
 
+def test_pairs_are_learned_from_texts(spark):
+    """Toxic only where an insult meets a group; both words alone are as frequent in clean texts. The whole way through learned()."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(3000):
+        words = [f"filler{x}" for x in rng.integers(0, 300, 12)]
+        a, b = rng.random(2) < 0.3
+        words += ["zorgbad"] * int(a) + ["groupmention"] * int(b)
+        rows.append((i, " ".join(str(w) for w in rng.permutation(words)), int(a != b)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    machine = toxicity.learned(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int"))
+    score = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, machine, keep=["doc_id"]).collect()}
+    assert np.mean([(score[i] >= 0.5) == y for i, _, y in rows]) > 0.97
+
+
+def test_toxicity_against_plain_python(spark):
+    """Scores of the whole query by a term-by-term machine in plain Python."""
+    sf = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    machine = toxicity.toxicity_model(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    place = {int(b): i for i, b in enumerate(machine.buckets)}
+    got = {r["doc_id"]: r["score"] for r in registry.QUERIES["op3_fm_toxicity"](spark, sf).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        raw = (r["text"] or "").encode()
+        found = {place[int(b)] for b in toxicity.terms(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] if int(b) in place}
+        total = machine.base + sum(machine.weight[i] for i in found)
+        ordered = sorted(found)
+        total += sum(float(machine.factor[i] @ machine.factor[j]) for k, i in enumerate(ordered) for j in ordered[k + 1 :])
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-max(-30, min(30, total))))) < 1e-9
+
+
+def test_language_against_plain_python(spark):
+    """Every prediction by one compression for each language, with the dictionaries handed over; whole texts, short ones too."""
+    import zstandard as zstd
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    learn = docs.filter(~language.held_out("doc_id")).select(F.col("doc_id").alias("key"), "text", "lang")
+    dictionaries = language.samples(learn)
+    assert set(dictionaries) == {r["lang"] for r in learn.filter("lang IS NOT NULL").select("lang").distinct().collect()}
+    pack = {k: zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(v, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=zstd.ZstdCompressionParameters(strategy=zstd.STRATEGY_LAZY, **language.ENCODER)) for k, v in dictionaries.items()}
+    got = {r["doc_id"]: r for r in registry.QUERIES["op2_zstd_language"](spark, SF).collect()}
+    right = []
+    for r in docs.collect():
+        raw = re.sub(r"[\W\d_]+", " ", (r["text"] or "").lower()).strip().encode()
+        sizes = {k: sum(len(p.compress(raw[i : i + 8192])) for i in range(0, len(raw), 8192)) for k, p in sorted(pack.items())}
+        best = min(sizes, key=sizes.get) if raw else "und"
+        assert got[r["doc_id"]]["lang_pred"] == best and got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        if r["lang"] and raw and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0:
+            right.append(best == r["lang"])
+    assert len(right) > 50 and np.mean(right) >= 0.95
+
+
+def test_every_language_has_a_dictionary(spark):
+    """Texts that open alike, languages whose lines all repeat, and 300 languages: none is lost."""
+    shared = "one opening line of every text"
+    rows = [(i, shared + "\n" + " ".join(w + chr(97 + i % 300 // 20) + chr(97 + i % 20) for w in ("wort", "satz", "rede")), f"l{i % 300:03d}") for i in range(900)] + [(2000 + i, shared, "copy") for i in range(5)]
+    out = language.samples(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert len(out) == 301 and out["copy"] == shared.encode() and all(shared.encode() not in v for k, v in out.items() if k != "copy")
+
+
+def plain_scores(texts, network):
+    """Masked scores word by word, in plain Python, with the network's tables handed over."""
+    v, out = network.vocabulary, []
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    for text in texts:
+        words = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        raw = "\n".join(words).encode()
+        token = [int(t) for t in v.tokens(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))] if words else []
+        total = 0.0
+        for i, t in enumerate(token):
+            near = [int(v.input_of[token[i + by]]) if 0 <= i + by < len(token) else v.n_inputs - 1 for by in masked_lm.REACH]
+            h = [math.tanh(sum(float(network.embed[j][near[j]][d]) for j in range(4))) for d in range(masked_lm.WIDTH)]
+            z = [sum(h[d] * float(network.cluster[d][c]) for d in range(masked_lm.WIDTH)) + float(v.class_log[c]) for c in range(v.classes)]
+            c = (t + 1).bit_length() - 1
+            total += z[c] - math.log(sum(math.exp(x) for x in z))
+            for k in range(c):
+                heap, bit = (t + 1) >> (c - k), ((t + 1) >> (c - k - 1)) & 1
+                s = float(v.lean[(1 << c) + heap])
+                if k < v.depth[c]:
+                    s += sum(h[d] * float(network.node[v.base[c] + heap - 1][d]) for d in range(masked_lm.WIDTH))
+                total += math.log(sig(s) if bit else sig(-s))
+        out.append((len(token), total))
+    return out
+
+
+def test_masked_scores_against_plain_python(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").filter("length(text) < 3000 OR text IS NULL").limit(60)
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "one")], "doc_id long, text string"))
+    vocabulary = masked_lm.Vocabulary(masked_lm.bucket_counts(docs), support=4)
+    network = masked_lm.trained(docs, vocabulary, rounds=3)
+    got = {r["doc_id"]: (r["n_tokens"], r["log_likelihood"]) for r in masked_lm.scored(docs, network, ["doc_id"]).collect()}
+    rows = docs.collect()
+    for r, (n, total) in zip(rows, plain_scores([r["text"] for r in rows], network), strict=True):
+        assert got[r["doc_id"]][0] == n and abs(got[r["doc_id"]][1] - total) < 1e-3 * max(1, n)
+    every = probability_of_all(network)
+    assert abs(every - 1) < 1e-4
+
+
+def probability_of_all(network):
+    """Sum of the probabilities of all tokens between two borders."""
+    v = network.vocabulary
+    return sum(math.exp(x) for x in [plain_token(network, t) for t in range(len(v.rank))])
+
+
+def plain_token(network, t):
+    v = network.vocabulary
+    h = np.tanh(sum(network.embed[j][v.n_inputs - 1].astype(float) for j in range(4)))
+    z = h @ network.cluster.astype(float) + v.class_log
+    c = (t + 1).bit_length() - 1
+    total = z[c] - np.log(np.exp(z).sum())
+    for k in range(c):
+        heap, bit = (t + 1) >> (c - k), ((t + 1) >> (c - k - 1)) & 1
+        s = float(v.lean[(1 << c) + heap]) + (float(h @ network.node[v.base[c] + heap - 1]) if k < v.depth[c] else 0.0)
+        total -= np.log1p(np.exp(-s if bit else s))
+    return total
+
+
+def test_masked_scores_do_not_depend_on_tasks(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    scores = [{r["doc_id"]: r["log_likelihood"] for r in masked_lm.pseudo_likelihood(docs.repartition(n), ["doc_id"]).collect()} for n in (2, 7)]
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][k] - scores[1][k]) <= 1e-3 * max(1, abs(scores[0][k])) for k in scores[0])
+
+
 def test_pseudonyms_link_equal_values_and_keep_formats(spark):
     text = "card 4111 1111 1111 1111, mail ann.lee@example.com on 2024-02-29 from 10.0.0.1, ssn 123-45-6789, call (212) 555-0187"
     rows = spark.createDataFrame([(1, text), (2, "again ann.lee@example.com and 4111 1111 1111 1111"), (3, "4111 1111 1111 1112 is no card")], "doc_id long, text string")
