@@ -33,14 +33,14 @@ from stratalith.llm.text import Words, runs
 MOST_BITS = 20
 WIDTH = 16
 REACH = (-2, -1, 1, 2)
-BLOCK = 1024
+BLOCK = 4 * WIDTH  # weights that go together
 RUN = 1 << 18  # bytes of text at a time
 
 
 class Vocabulary:
     """Ranks of buckets by count, and what follows from counts alone: classes, depths, log-probabilities of untrained steps."""
 
-    def __init__(self, counts: np.ndarray, support: int = 64, inputs: int = 4096):
+    def __init__(self, counts: np.ndarray, support: int = 128, inputs: int = 2048):
         self.bits = max(1, int(len(counts) - 1).bit_length())
         order = np.lexsort((np.arange(len(counts)), -counts))
         self.rank = np.empty(len(counts), np.int32)
@@ -163,36 +163,36 @@ def bucket_counts(docs: DataFrame, text: str = "text", most_bits: int = MOST_BIT
         for b in batches:
             for _, _, data, at in runs(b.column(0)):
                 have += np.bincount((Words(data, at, lower=True).hash >> np.uint64(64 - most_bits)).astype(np.int64), minlength=wide)
-        yield _blocks(have)
+        some = np.nonzero(have)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(have[some])], names=["bucket", "n"])
 
-    def add(table: pa.Table) -> pa.Table:
-        return _summed(table, np.int64)
-
-    found = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, "block long, x binary").groupBy("block").applyInArrow(add, "block long, x binary")
-    counts = _filled(found.toArrow(), np.zeros(wide, np.int64))
+    found = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(wide, np.int64)
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
     seen = int((counts > 0).sum())
     distinct = wide if seen >= 0.99 * wide else -wide * np.log(1 - seen / wide)  # words that share a bucket count too
     bits = min(most_bits, max(8, int(np.ceil(np.log2(max(distinct, 2))))))
     return counts.reshape(1 << bits, -1).sum(1)
 
 
-def _blocks(flat: np.ndarray) -> pa.RecordBatch:
-    """Rows (block, bytes) of those blocks that are not zero."""
-    grid = flat.reshape(-1, BLOCK)
-    some = np.nonzero(grid.any(1))[0]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([grid[i].tobytes() for i in some], pa.binary())], names=["block", "x"])
-
-
-def _summed(table: pa.Table, kind) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), kind) for x in table["x"])
-    return pa.table({"block": table["block"][:1], "x": pa.array([total.astype(kind).tobytes()], pa.binary())})
+def _rows(block: np.ndarray, grid: np.ndarray) -> pa.RecordBatch:
+    """Rows (block, bytes of its weights as float32)."""
+    ends = np.arange(len(block) + 1, dtype=np.int32) * 4 * BLOCK
+    data = pa.Array.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(grid.astype(np.float32).tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), data], names=["block", "x"])
 
 
-def _filled(table: pa.Table, flat: np.ndarray) -> np.ndarray:
-    grid = flat.reshape(-1, BLOCK)
-    for i, x in zip(table["block"].to_pylist(), table["x"], strict=True):
-        grid[i] = np.frombuffer(x.as_buffer(), flat.dtype)
-    return flat
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of a task's rows, with the sum."""
+    block, total = np.zeros(0, np.int64), np.zeros((0, BLOCK))
+    for b in batches:
+        if b.num_rows:
+            block = np.concatenate([block, b.column(0).to_numpy()])
+            total = np.concatenate([total, np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, BLOCK)])
+            order = np.argsort(block, kind="stable")
+            first = np.nonzero(np.concatenate([[True], np.diff(block[order]) > 0]))[0]
+            block, total = block[order][first], np.add.reduceat(total[order], first, axis=0)
+    yield _rows(block, total)
 
 
 def neighbours(words: Words, inputs: np.ndarray, border: int) -> np.ndarray:
@@ -206,16 +206,14 @@ def neighbours(words: Words, inputs: np.ndarray, border: int) -> np.ndarray:
     return out
 
 
-def trained(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = 12, rate: float = 0.2) -> Network:
+def trained(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds: int = 8, rate: float = 0.2) -> Network:
     """The network after one Adagrad step a round; a round's targets are all words of the texts whose hash falls on it."""
     network, memory = Network(vocabulary), 0.0
     spark = docs.sparkSession
-    given = docs.select(F.col(f"`{text}`").alias("t"))
+    given = docs.select(F.col(f"`{text}`").alias("t")).filter("t IS NOT NULL")
+    tasks = max(spark.sparkContext.defaultParallelism, given.rdd.getNumPartitions() // 4)  # a round has a part of the texts
     known = spark.sparkContext.broadcast(vocabulary)
 
-    def add(table: pa.Table) -> pa.Table:
-        return _summed(table, np.float64)
-
     for number in range(rounds):
         sent = spark.sparkContext.broadcast(network.flat)
 
@@ -229,11 +227,15 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", rounds:
                     if words.n:
                         net.gradient(words, total)
             if net is not None:
-                yield _blocks(total.flat)
-
-        chosen = given.filter(F.pmod(F.xxhash64("t"), F.lit(rounds)) == number).filter("t IS NOT NULL")
-        found = chosen.mapInArrow(learn, "block long, x binary").groupBy("block").applyInArrow(add, "block long, x binary")
-        gradient = _filled(found.toArrow(), np.zeros(len(network.flat)))
+                grid = total.flat.reshape(-1, BLOCK)
+                some = np.nonzero(grid.any(1))[0]
+                yield _rows(some, grid[some])
+
+        chosen = given.filter(F.pmod(F.xxhash64("t"), F.lit(rounds)) == number).coalesce(tasks)
+        found = chosen.mapInArrow(learn, "block long, x binary").repartition(tasks, "block").mapInArrow(_summed, "block long, x binary").toArrow()
+        gradient = np.zeros(len(network.flat))
+        if found.num_rows:
+            gradient.reshape(-1, BLOCK)[found["block"].to_numpy()] = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, BLOCK)
         memory = memory + gradient**2
         network = Network(vocabulary, (network.flat - rate * gradient / np.sqrt(memory + 1e-12)).astype(np.float32))
         sent.unpersist()
