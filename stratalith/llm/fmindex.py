@@ -1,4 +1,8 @@
-"""A compressed FM-index over word numbers, in numpy: suffix order, wavelet matrix, backward search for many texts at once."""
+"""A compressed FM-index over word numbers, in numpy: suffix order, wavelet matrix, backward search for many texts at once.
+
+Beside the bit vectors of the wavelet matrix the index keeps seven integers a word (shared words and owners with their
+minima by block, nearest smaller values), so its memory grows linearly.
+"""
 
 from __future__ import annotations
 
@@ -32,22 +36,49 @@ class Wavelet:
 
 
 class Minima:
-    """Minimum of any range in constant time: a table of minima over powers of two."""
+    """Minimum of any range: minima from both ends of each block, and a table of powers of two over whole blocks."""
+
+    BLOCK = 32
 
     def __init__(self, values: np.ndarray):
-        self.rows = [values.astype(np.int32)]
-        while 2 << (len(self.rows) - 1) <= len(values):
-            last, half = self.rows[-1], 1 << (len(self.rows) - 1)
-            self.rows.append(np.minimum(last[:-half], last[half:]))
-        self.flat = np.zeros((len(self.rows), len(values)), np.int32)
-        for j, row in enumerate(self.rows):
-            self.flat[j, : len(row)] = row
-        del self.rows
+        grid = np.full((-(-len(values) // self.BLOCK), self.BLOCK), np.iinfo(np.int32).max, np.int32)
+        grid.reshape(-1)[: len(values)] = values
+        self.values = grid.reshape(-1)
+        self.from_left = np.minimum.accumulate(grid, 1).reshape(-1)
+        self.from_right = np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].reshape(-1)
+        rows = [grid.min(1)]
+        while 2 << (len(rows) - 1) <= len(grid):
+            half = 1 << (len(rows) - 1)
+            rows.append(np.minimum(rows[-1][:-half], rows[-1][half:]))
+        self.table = np.zeros((len(rows), len(grid)), np.int32)
+        for j, row in enumerate(rows):
+            self.table[j, : len(row)] = row
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Minimum of values[lo:hi], hi > lo."""
-        j = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        return np.minimum(self.flat[j, lo], self.flat[j, hi - (1 << j)])
+        last = hi - 1
+        first_block, last_block = lo // self.BLOCK, last // self.BLOCK
+        out = np.minimum(self.from_right[lo], self.from_left[last])
+        far = np.nonzero(last_block - first_block > 1)[0]
+        a, b = first_block[far] + 1, last_block[far]
+        j = np.frexp((b - a).astype(np.float64))[1] - 1
+        out[far] = np.minimum(out[far], np.minimum(self.table[j, a], self.table[j, b - (1 << j)]))
+        near = np.nonzero(first_block == last_block)[0]
+        out[near] = self.values[lo[near]]
+        step = 1
+        while len(near := near[lo[near] + step <= last[near]]):
+            out[near] = np.minimum(out[near], self.values[lo[near] + step])
+            step += 1
+        return out
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the last earlier one with a smaller value, by following pointers; the first value is the least of all."""
+    found = np.arange(-1, len(values) - 1, dtype=np.int32)
+    open_ = np.arange(1, len(values))
+    while len(open_ := open_[(found[open_] > 0) & (values[found[open_]] >= values[open_])]):
+        found[open_] = found[found[open_]]
+    return np.maximum(found, 0)
 
 
 class FMIndex:
@@ -85,7 +116,9 @@ class FMIndex:
             right[equal] += 1 << j
         self.n, self.text, self.sizes, self.owner = n, text, sizes, owner
         self.common = np.concatenate([[-1], common, [-1]])
-        self.common_minima = Minima(self.common)
+        self.common = self.common.astype(np.int32)
+        self.before_smaller = nearest_smaller(self.common)
+        self.after_smaller = n - nearest_smaller(self.common[::-1])[::-1]
         segment = np.searchsorted(self.at, order, "right") - 1
         self.owner_minima = Minima(owner[segment])
         last = text[order - 1]
@@ -94,33 +127,29 @@ class FMIndex:
 
     def _parent(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The smallest wider interval: its suffixes share fewer words."""
-        size = np.maximum(self.common[lo], self.common[hi])
-        table, top = self.common_minima.flat, len(self.common_minima.flat) - 1
-        for j in range(top, -1, -1):
-            back = np.maximum(lo - (1 << j), 0)
-            lo = np.where((lo - (1 << j) >= 0) & (table[j, np.minimum(back + 1, self.n - (1 << j) + 1)] >= size), back, lo)
-            on = np.minimum(hi, self.n + 1 - (1 << j))
-            hi = np.where((hi + (1 << j) <= self.n) & (table[j, on] >= size), hi + (1 << j), hi)
-        return lo, hi, size
-
-    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each token of each segment, the longest match from there in a segment of a smaller owner; and its bounds.
-
-        All segments are searched backwards side by side: extend to the left while a smaller owner stays in the
-        interval, else go to the parent interval and try again.
+        a, b = self.common[lo], self.common[hi]
+        size = np.maximum(a, b)
+        return np.where(a == size, self.before_smaller[lo], lo), np.where(b == size, self.after_smaller[hi], hi), size
+
+    def matching_statistics(self, segments: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token of each given segment, the longest match from there in a segment whose owner is `below`; and its bounds.
+
+        All segments are searched backwards side by side: extend to the left while such an owner stays in the interval,
+        else go to the parent interval and try again.
         """
-        bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+        sizes = self.sizes[segments]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
         out = np.zeros(bounds[-1], np.int32)
-        seg, at = np.arange(len(self.sizes)), self.sizes - 1
-        lo, hi, size = np.zeros(len(seg), np.int64), np.full(len(seg), self.n), np.zeros(len(seg), np.int64)
-        while len(seg := seg[keep := at >= 0]):
+        query, at = np.arange(len(segments)), sizes - 1
+        lo, hi, size = np.zeros(len(query), np.int64), np.full(len(query), self.n), np.zeros(len(query), np.int64)
+        while len(query := query[keep := at >= 0]):
             at, lo, hi, size = at[keep], lo[keep], hi[keep], size[keep]
-            word = self.text[self.at[seg] + at]
+            word = self.text[self.at[segments[query]] + at]
             new_lo = self.before[word] + self.wavelet.rank(word, lo)
             new_hi = self.before[word] + self.wavelet.rank(word, hi)
             good = new_lo < new_hi
-            good[good] = self.owner_minima.of(new_lo[good], new_hi[good]) < self.owner[seg[good]]
-            out[bounds[seg[good]] + at[good]] = size[good] + 1
+            good[good] = self.owner_minima.of(new_lo[good], new_hi[good]) < below[query[good]]
+            out[bounds[query[good]] + at[good]] = size[good] + 1
             lo, hi, size = np.where(good, new_lo, lo), np.where(good, new_hi, hi), size + good
             up = ~good & (size > 0)
             if up.any():

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm.components import components
-from stratalith.llm.shared import WORD, small, written
+from stratalith.llm.shared import WORD, dealt_join, small, written
 from stratalith.llm.text import Words, mix, runs, signed
 
 PARTS = 3
@@ -278,9 +278,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     more = written(linked(written(across(written(left), num, den)), sets, num, den))
     if not more.isEmpty():
         labels = components(links.union(more))
-    placed = every.join(labels, "node", "left").withColumn("__class", F.coalesce("label", "node"))
-    first = placed.filter("__class IS NOT NULL").groupBy("__class").agg(F.min("doc_id").alias("__first"))
-    return placed.join(first, "__class", "left").select("doc_id", "n_shingles", F.coalesce("__first", "doc_id").alias("component_id"))
+    return _named(every, labels)
+
+
+def _named(every: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and the smallest id of each document's component; groups of copies, and components, may be of any size."""
+    copies = every.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"))
+    grouped = written(copies.join(labels, "node", "left").filter("size > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "node")))
+    least = written(grouped.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.min("first").alias("component_id")))
+    named = written(dealt_join(grouped.select("label", "node", "size"), least, ["label"], "nodes", ["node"]).select("node", "size", "component_id"))
+    found = dealt_join(every.filter("node IS NOT NULL"), named, ["node"], "size", ["doc_id"])
+    alone = every.filter("node IS NULL").withColumn("component_id", F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(alone.select("doc_id", "n_shingles", "component_id"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

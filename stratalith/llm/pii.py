@@ -1,10 +1,12 @@
 """Format-preserving pseudonyms for personal data; DataFrame functions only.
 
 Numbers, dates, addresses and secrets are found by one pattern, validated by kind (Luhn for cards, octets for network
-addresses, the calendar for dates, ranges for social security numbers, whose first digit stays) and permuted inside their own format by a keyed
-Feistel network: letters stay letters, digits stay digits, punctuation stays. So equal values get equal pseudonyms in
-every document and formats still validate, but without the key nobody can go back. Texts without a digit, an at sign or
-the name of a secret hold no candidate and are not searched further.
+addresses, the calendar for dates, ranges for social security numbers, whose first digit stays) and permuted inside their
+own format by a keyed Feistel network: letters stay letters, digits stay digits, punctuation stays. Where the network
+leaves the valid values (a social security number with a group of zeros), it is applied again until it is back: that
+permutes the valid ones among themselves. So equal values get equal pseudonyms in every document and formats still
+validate, but without the key nobody can go back. Texts without a digit, an at sign or the name of a secret hold no
+candidate and are not searched further.
 
 Kinds: email (local part), card (the check digit is made valid again), phone (country code stays), ssn, ip (octets),
 date (a day of the same 400-year calendar cycle, such as 1800 to 2199; years before 200 and from 9800 on stay), key and
@@ -12,8 +14,11 @@ secret (the value after its name, in small or capital letters). Dates are writte
 with - / or . between: with / the month comes first, else the day, but for a day over 12 in the other order. International
 phone numbers begin with + and have 8 to 15 digits in any groups; a country code that is not set apart is permuted too.
 
+The key is the session's spark.stratalith.pseudonym.key; without it a public one is used, which hides nothing from readers of
+this file.
+
 Defined cases: a null text stays null, an empty one empty, both with 0 replacements; what doesn't validate stays as it
-is; nulls and extra columns pass through; the outputs n_replaced and kinds win over input columns of their names;
+is; a valid value counts as replaced, even if it is one of the few that its permutation leaves where they are; nulls and extra columns pass through; the outputs n_replaced and kinds win over input columns of their names;
 repeated rows are treated alike; an empty table gives an empty result.
 """
 
@@ -124,14 +129,14 @@ def _card(m: Column, key: str) -> Column:
         body = feistel(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
         return F.when(_luhn(digits) % 10 == 0, _refilled(m, _bind(body, made)))
 
-    return F.coalesce(_bind(_core(m), checked), m)
+    return _bind(_core(m), checked)
 
 
 def _ip(m: Column, key: str) -> Column:
     def go(o: Column) -> Column:
         left, right = o[0] * 256 + o[1], o[2] * 256 + o[3]
         new = _bind(feistel_numbers(left, right, 65536, 65536, key, "ip"), lambda p: F.concat_ws(".", F.floor(p["a"] / 256), p["a"] % 256, F.floor(p["b"] / 256), p["b"] % 256))
-        return F.when(F.forall(o, lambda x: x < 256), new).otherwise(m)
+        return F.when(F.forall(o, lambda x: x < 256), new)
 
     return _bind(F.split(m, r"\.").cast("array<int>"), go)
 
@@ -158,7 +163,20 @@ def _date(m: Column, key: str) -> Column:
 
     month, day = "MM-dd-yyyy", "dd-MM-yyyy"
     short = F.when(mark == "/", F.coalesce(go(month), go(day, late))).otherwise(F.coalesce(go(day), go(month, late)))
-    return F.coalesce(F.when(m.rlike("^[0-9]{4}"), go("yyyy-MM-dd")).otherwise(short), m)
+    return F.when(m.rlike("^[0-9]{4}"), go("yyyy-MM-dd")).otherwise(short)
+
+
+SSN_BAD = "^(?:000|666|9)|^...00|0000$"
+WALKS = 24  # a step leaves the valid numbers about once in a hundred times
+
+
+def _ssn(m: Column, key: str) -> Column:
+    first = F.substring(m, 1, 1)
+    step = lambda acc: feistel(acc, key, "ssn")
+    walk = lambda acc, i: F.when((i > 1) & ~F.concat(first, acc).rlike(SSN_BAD), acc).otherwise(step(acc))
+    moved = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.substring(_core(m), 2, 8), walk)
+    digits = _bind(moved, lambda x: F.concat(first, F.substring(x, 1, 2), F.lit("-"), F.substring(x, 3, 2), F.lit("-"), F.substring(x, 5, 4)))
+    return F.when(~_core(m).rlike(SSN_BAD), digits)
 
 
 def _tail(m: Column, name: str, key: str, kind: str) -> Column:
@@ -177,11 +195,9 @@ def pseudonym(m: Column, key: str) -> Column:
     cut = F.regexp_extract(m, r"^(?:\+\d{1,3}(?:[ .-]|(?=\()))?", 0)
     rest = F.substring(m, F.length(cut) + 1, F.length(m))
     phone = F.concat(cut, _refilled(rest, feistel(_core(rest), key, "phone")))
-    valid_ssn = ~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-") & ~m.rlike("-0000$")
-    ssn = F.when(valid_ssn, F.concat(F.substring(m, 1, 1), F.substring(_refilled(F.concat(F.lit("0"), F.substring(m, F.lit(2), F.length(m))), F.concat(F.lit("0"), feistel(F.substring(_core(m), 2, 8), key, "ssn"))), 2, 20))).otherwise(m)
     made = {
         "email": email, "secret": secret, "key": _tail(m, "^AKIA", key, "key"), "phone": phone,
-        "ip": _ip(m, key), "date": _date(m, key), "ssn": ssn, "card": _card(m, key),
+        "ip": _ip(m, key), "date": _date(m, key), "ssn": _ssn(m, key), "card": _card(m, key),
     }
     out = None
     for kind, value in made.items():
@@ -189,7 +205,7 @@ def pseudonym(m: Column, key: str) -> Column:
         pair = F.struct(F.lit(kind).alias("kind"), value.alias("value"))
         out = F.when(test, pair) if out is None else out.when(test, pair)
     out = out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
-    return _bind(out, lambda p: F.struct(F.when(p["value"] != m, p["kind"]).alias("kind"), p["value"].alias("value")))
+    return _bind(out, lambda p: F.struct(F.when(p["value"].isNotNull(), p["kind"]).alias("kind"), F.coalesce(p["value"], m).alias("value")))
 
 
 def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -205,12 +221,13 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return out.withColumn("n_replaced", F.size("kinds").cast("long")).drop("__found", "__new")
 
 
-KEY = "a key of the deployment"
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get("spark.stratalith.pseudonym.key", "a public key")
 
 
 def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymized(docs, KEY).select("doc_id", "text", "n_replaced", F.array_join("kinds", ",").alias("kinds"))
+    return pseudonymized(docs, key_of(spark)).select("doc_id", "text", "n_replaced", F.array_join("kinds", ",").alias("kinds"))
 
 
 SQL: dict[str, str] = {}

@@ -2,11 +2,13 @@
 
 Equal windows of `window` words have equal minimizers (the least hash of their 8-grams), so runs of neighbouring
 windows with one minimizer meet in one shard and shards can be searched on their own. Only runs whose minimizer occurs
-in two documents go on. Runs with equal words are one class: all but its smallest document are covered at once. Where
-a minimizer has several classes, their words are indexed: a shard's classes form one FM-index, every class is streamed
-through it by backward search over the wavelet matrix, and the matching statistics against smaller documents that reach
-`window` words are the covered windows. A minimizer with more than `most` classes (a very common passage in ever
-different surroundings) would make a shard too large: its windows are hashed one by one instead and reduced to their
+in two documents go on. A shard's runs form one FM-index; every run is streamed through it by backward search over the
+wavelet matrix, and the matching statistics against smaller documents that reach `window` words are the covered windows.
+Runs with equal words (by 128 bits of hash) are stored and streamed once, as the run of their smallest document and as
+that of all later ones, and the answers go to all documents that have them.
+
+A minimizer with more than `most` different runs, or more words than a shard holds (a very common passage in ever
+different surroundings), would make a shard too large: its windows are hashed one by one instead and reduced to their
 smallest document before the shuffle, which is exact too and needs no shard.
 
 Defined cases: a null or empty text has no words; a null id removes nothing and lends nothing; rows with the same id
@@ -26,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm.fmindex import FMIndex
-from stratalith.llm.shared import WORD, small, written
+from stratalith.llm.shared import WORD, dealt_join, small, written
 from stratalith.llm.text import Words, runs, signed
 
 GRAM = 8
+KEY = ["mini", "class", "check"]
 SHARD_WORDS = 400_000
 
 
@@ -57,7 +60,7 @@ def window_runs(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def run_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, version, mini, class, start, n) of every run; start counts words of the document."""
+    """(doc_id, version, mini, class, check, start, n) of every run; start counts words of the document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,32 +69,34 @@ def run_rows(docs: DataFrame, window: int) -> DataFrame:
                 mini, start, n = window_runs(words, window)
                 doc = words.doc[start]
                 rows = pa.array(doc + lo)
-                cls = words.spans(start, start + n + window - 1)
+                cls, check = (words.spans(start, start + n + window - 1, other) for other in (False, True))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(signed(mini)), pa.array(signed(cls)), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["doc_id", "version", "mini", "class", "start", "n"],
+                    [b.column(0).take(rows), b.column(1).take(rows), pa.array(signed(mini)), pa.array(signed(cls)), pa.array(signed(check)), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["doc_id", "version", *KEY, "start", "n"],
                 )
 
-    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return known.mapInArrow(emit, known.select("doc_id", "version").schema.add("mini", "long").add("class", "long").add("start", "integer").add("n", "integer"))
+    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "version", "text")
+    return known.mapInArrow(emit, known.drop("text").schema.add("mini", "long").add("class", "long").add("check", "long").add("start", "integer").add("n", "integer"))
 
 
 def run_words(docs: DataFrame, wanted: DataFrame, n_wanted: int, window: int) -> DataFrame:
-    """(mini, class, doc_id, hot, words) of the wanted runs: their words with one space between; wanted has a row for each run."""
-    by_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("mini", "class", "start", "n", "hot")).alias("runs"))
+    """KEY, doc_id, later, hot and the words (with one space between) of the wanted runs; wanted has a row for each run."""
+    about = [*KEY, "start", "n", "later", "hot"]
+    by_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct(*about)).alias("runs"))
     joined = docs.join(small(by_doc, n_wanted, 500_000), ["doc_id", "version"]).select("doc_id", "text", "runs")
+    schema = wanted.select(*KEY, "doc_id", "later", "hot").schema.add("words", "binary")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, at in runs(b.column(1)):
                 words = Words(data, at)
-                for row in range(lo, hi):
-                    base = words.first[row - lo]
-                    out = [(r["mini"], r["class"], r["hot"], bytes(data[words.start[base + r["start"]] : words.end[base + r["start"] + r["n"] + window - 2]])) for r in b.column(2)[row].as_py()]
-                    mini, cls, hot, text = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(mini, pa.int64()), pa.array(cls, pa.int64()), b.column(0).take(pa.array([row] * len(out))), pa.array(hot, pa.bool_()), pa.array(text, pa.binary())], names=["mini", "class", "doc_id", "hot", "words"])
+                every = b.column(2).slice(lo, hi - lo)
+                row, part = np.repeat(np.arange(hi - lo), np.diff(every.offsets.to_numpy())), every.flatten()
+                begin = words.first[row] + part.field("start").to_numpy()
+                end = begin + part.field("n").to_numpy() + window - 2
+                texts = [bytes(data[i:j]) for i, j in zip(words.start[begin].tolist(), words.end[end].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.field(c) for c in KEY), b.column(0).take(pa.array(row + lo)), part.field("later"), part.field("hot"), pa.array(texts, pa.binary())], names=schema.names)
 
-    schema = wanted.select("mini", "class", "doc_id", "hot").schema.add("words", "binary")
     return joined.mapInArrow(emit, schema)
 
 
@@ -104,21 +109,30 @@ def _tokens(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(words.hash, return_inverse=True)[1] + 1, words.first
 
 
+SPANS = "mini long, class long, check long, later boolean, lo int, hi int"
+
+
 def covered_by_shard(rows: DataFrame, n_words: int, window: int) -> DataFrame:
-    """(mini, class, lo, hi) of covered windows, relative to the run, by one FM-index for each shard."""
+    """KEY, later, lo, hi of covered windows, relative to the run, by one FM-index for each shard.
+
+    later tells whether they are covered in documents after the run's smallest one, or in that one itself.
+    """
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         tokens, bounds = _tokens(frame["words"])
         owner = np.unique(frame["doc_id"].to_numpy(), return_inverse=True)[1]
-        size, at = FMIndex(tokens, bounds, owner).matching_statistics()
+        again = np.nonzero(frame["later"].to_numpy())[0]
+        query = np.concatenate([np.arange(len(frame)), again])
+        size, at = FMIndex(tokens, bounds, owner).matching_statistics(query, np.concatenate([owner, owner[again] + 1]))
         hit = np.concatenate([[0], (size >= window).astype(np.int8), [0]])
         lo, hi = np.nonzero(np.diff(hit) > 0)[0], np.nonzero(np.diff(hit) < 0)[0]
-        run = np.searchsorted(at, lo, "right") - 1
-        return pd.DataFrame({"mini": frame["mini"].to_numpy()[run], "class": frame["class"].to_numpy()[run], "lo": (lo - at[run]).astype(np.int32), "hi": (hi - at[run]).astype(np.int32)})
+        which = np.searchsorted(at, lo, "right") - 1
+        keys = {c: frame[c].to_numpy()[query[which]] for c in KEY}
+        return pd.DataFrame({**keys, "later": which >= len(frame), "lo": (lo - at[which]).astype(np.int32), "hi": (hi - at[which]).astype(np.int32)})
 
     shards = max(1, -(-n_words // SHARD_WORDS))
     sharded = rows.drop("hot").withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards)))
-    return sharded.repartition(min(shards, 100_000), "shard").groupBy("shard").applyInPandas(search, "mini long, class long, lo int, hi int")
+    return sharded.repartition(min(shards, 100_000), "shard").groupBy("shard").applyInPandas(search, SPANS)
 
 
 def covered_by_hash(rows: DataFrame, window: int) -> DataFrame:
@@ -126,17 +140,20 @@ def covered_by_hash(rows: DataFrame, window: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, _, data, at in runs(b.column(3).cast(pa.large_string())):
+            for lo, _, data, at in runs(b.column(5).cast(pa.large_string())):
                 words = Words(data, at)
-                hashes, ok = words.grams(window)
-                row = pa.array(words.doc[ok] + lo)
-                off = np.arange(words.n) - words.first[words.doc]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(3)), pa.array(signed(hashes[ok])), pa.array(off[ok].astype(np.int32))], names=["mini", "class", "doc_id", "h", "lo"])
+                begin = np.nonzero(np.arange(words.n) + window <= words.first[1:][words.doc])[0]
+                row = pa.array(words.doc[begin] + lo)
+                both = [pa.array(signed(words.spans(begin, begin + window, other))) for other in (False, True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(5)), *both, pa.array((begin - words.first[words.doc[begin]]).astype(np.int32))], names=[*KEY, "doc_id", "later", "h", "g", "lo"])
 
-    kept = rows.select("mini", "class", "doc_id", "words")
-    each = kept.mapInArrow(emit, kept.drop("words").schema.add("h", "long").add("lo", "integer"))
-    first = each.groupBy("h").agg(F.min("doc_id").alias("least"))
-    return each.join(first, "h").filter("least < doc_id").select("mini", "class", "lo", (F.col("lo") + 1).cast("int").alias("hi"))
+    kept = rows.select(*KEY, "doc_id", "later", "words")
+    each = written(kept.mapInArrow(emit, kept.drop("words").schema.add("h", "long").add("g", "long").add("lo", "integer")))
+    of_window = ["mini", "h", "g"]
+    first = written(each.groupBy(*of_window).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).filter("least < last").drop("last"))
+    own = dealt_join(each, first, of_window, "size", ["class", "lo"]).filter("least < doc_id").withColumn("later", F.lit(False))
+    spans = own.unionByName(each.filter("later").withColumn("least", F.col("doc_id")))
+    return spans.select(*KEY, "later", "lo", (F.col("lo") + 1).cast("int").alias("hi"))
 
 
 def covered_windows(docs: DataFrame, window: int = 50, most: int = 2000) -> DataFrame:
@@ -148,18 +165,20 @@ def covered_windows(docs: DataFrame, window: int = 50, most: int = 2000) -> Data
     shared = every.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("mini")
     shared = written(shared)
     table = written(every.join(small(shared, shared.count()), "mini", "left_semi"))
-    classes = written(table.groupBy("mini", "class").agg(F.min(F.struct("doc_id", "version", "start", "n")).alias("f")).select("mini", "class", "f.*"))
-    crowded = classes.groupBy("mini").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.col("n") + window - 1).alias("words")).filter("classes > 1")
-    crowded = crowded.select("mini", ((F.col("classes") > most) | (F.col("words") > SHARD_WORDS)).alias("hot"))
+    first = F.min(F.struct("doc_id", "version", "start", "n")).alias("f")
+    classes = written(table.groupBy(*KEY).agg(first, F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).select(*KEY, "f.*", (F.col("last") > F.col("f.doc_id")).alias("later"), "size"))
+    of_mini = classes.groupBy("mini").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.col("n") + window - 1).alias("words"))
+    crowded = of_mini.select("mini", ((F.col("classes") > most) | (F.col("words") > SHARD_WORDS)).alias("hot"))
     wanted = written(classes.join(crowded, "mini"))
     n_wanted, n_words = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + window - 1)), F.lit(0))).first()
     rows = written(run_words(docs, wanted, n_wanted, window))
     within = covered_by_shard(rows.filter("NOT hot"), n_words, window).unionByName(covered_by_hash(rows.filter("hot"), window))
-    first = classes.select("mini", "class", F.col("doc_id").alias("least"))
-    placed = table.join(first, ["mini", "class"])
-    whole = placed.filter("doc_id > least").select("doc_id", "version", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
-    partly = placed.filter("doc_id = least").join(within, ["mini", "class"]).select("doc_id", "version", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
-    return whole.unionByName(partly)
+    answers = within.groupBy(*KEY).agg(F.collect_list(F.struct("later", "lo", "hi")).alias("spans"))  # a run's own windows: at most some hundreds
+    known = written(classes.select(*KEY, F.col("doc_id").alias("least"), "size").join(answers, KEY))
+    placed = dealt_join(table, known, KEY, "size", ["doc_id", "start"]).filter("spans IS NOT NULL")
+    mine = F.filter("spans", lambda x: x["later"] == (F.col("doc_id") > F.col("least")))
+    each = placed.select("doc_id", "version", "start", F.explode(mine).alias("s"))
+    return each.select("doc_id", "version", (F.col("start") + F.col("s.lo")).alias("lo"), (F.col("start") + F.col("s.hi")).alias("hi"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:

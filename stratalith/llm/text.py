@@ -95,10 +95,10 @@ class Words:
                 out[:m] += self.hash[j : j + m] * _power(np.uint64(0xD6E8FEB86659FD93), k)[j]
         return mix(out + np.uint64(k)), ok
 
-    def spans(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hash of the word sequences lo .. hi (word numbers), by prefix sums."""
+    def spans(self, lo: np.ndarray, hi: np.ndarray, other: bool = False) -> np.ndarray:
+        """Hash of the word sequences lo .. hi (word numbers), by prefix sums; other gives a second, independent one."""
         total = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(self.hash * _power(_BASE, self.n)[: self.n], out=total[1:])
+        np.cumsum((mix(self.hash ^ np.uint64(0x8A5CD789635D2DFF)) if other else self.hash) * _power(_BASE, self.n)[: self.n], out=total[1:])
         return mix((total[hi] - total[lo]) * _power(_INVERSE, self.n)[lo] + (hi - lo).astype(np.uint64))
 
 
