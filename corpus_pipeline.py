@@ -59,7 +59,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data, and n_chars as the text now has them."""
-    out = pii.pseudonymized(docs.withColumnsRenamed({c: f"__{c}" for c in ("kinds", "n_replaced") if c in docs.columns}), pii.KEY).drop("kinds", "n_replaced")
+    out = pii.pseudonymized(docs.withColumnsRenamed({c: f"__{c}" for c in ("kinds", "n_replaced") if c in docs.columns}), pii.key_of(spark)).drop("kinds", "n_replaced")
     out = out.withColumnsRenamed({f"__{c}": c for c in ("kinds", "n_replaced")})
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
