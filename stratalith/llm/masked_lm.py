@@ -34,7 +34,8 @@ MOST_BITS = 20
 WIDTH = 16
 REACH = (-2, -1, 1, 2)
 BLOCK = 4 * WIDTH  # weights that go together
-RUN = 1 << 18  # bytes of text at a time
+WHOLE = 5  # levels below a class whose few nodes are multiplied with all words at once
+RUN = 1 << 19  # bytes of text at a time
 
 
 class Vocabulary:
@@ -75,11 +76,20 @@ class Vocabulary:
         """Words by falling depth, then token: at each level those that have it come first, those of one node together."""
         return np.argsort(token + (int(self.depth.max()) - self.depth[self.kind[token]] << self.bits), kind="stable")
 
+    def classes_of(self, token: np.ndarray) -> Iterator[tuple[int, slice, int]]:
+        """(class, its words, levels that are taken as a whole) of the trained classes, for ordered tokens."""
+        kind = self.kind[token]
+        first = np.nonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))[0] if len(kind) else []
+        for lo, hi in zip(first, [*first[1:], len(kind)], strict=True):
+            c = int(kind[lo])
+            if self.depth[c]:
+                yield c, slice(lo, hi), min(WHOLE, int(self.depth[c]))
+
     def steps(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(number of words, their slots, leans and bits) of the trained levels inside classes, for ordered tokens."""
-        kind, place = self.kind[token].astype(np.int64), token + 1
-        depth, base = self.depth[kind], self.base[kind]
-        for k in range(int(depth.max(initial=0))):
+        """(number of words, their slots, leans and bits) of the other trained levels inside classes, for ordered tokens."""
+        kind, place = self.kind[token].astype(np.int32), (token + 1).astype(np.int32)
+        depth, base = self.depth[kind], self.base[kind].astype(np.int32)
+        for k in range(WHOLE, int(depth.max(initial=0))):
             m = int(np.searchsorted(-depth, -k, "left"))
             heap = place[:m] >> (kind[:m] - k)
             yield m, base[:m] + heap - 1, self.lean[(1 << kind[:m]) + heap], (place[:m] >> (kind[:m] - k - 1)) & 1
@@ -105,12 +115,24 @@ class Network:
         near = neighbours(words, v.input_of[token], v.n_inputs - 1)[:, order]
         return order, token[order], np.tanh(sum(self.embed[j][near[j]] for j in range(len(REACH))))
 
+    def _upper(self, c: int, token: np.ndarray, h: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(vectors of the upper nodes of a class, log odds of all of them for each word, nodes on the words' ways, bits)."""
+        v, n = self.vocabulary, (1 << levels) - 1
+        vectors = self.node[v.base[c] : v.base[c] + n]
+        odds = h @ vectors.T + v.lean[(1 << c) + 1 : (1 << c) + 1 + n]
+        place, k = (token + 1)[:, None], c - np.arange(levels)
+        return vectors, odds, (place >> k) - 1, (place >> (k - 1)) & 1
+
     def log_probability(self, words: Words) -> np.ndarray:
         """Log-probability of each word given its neighbours."""
         v, out = self.vocabulary, np.zeros(words.n)
         order, token, h = self._sorted(words)
         z = h @ self.cluster + v.class_log.astype(h.dtype)
         part = z[np.arange(words.n), v.kind[token]] - _log_sum(z) + v.tail[token]
+        for c, mine, levels in v.classes_of(token):
+            _, odds, node, bit = self._upper(c, token[mine], h[mine], levels)
+            s = np.take_along_axis(odds, node, 1)
+            part[mine] -= np.logaddexp(0, np.where(bit == 1, -s, s)).sum(1)
         for m, slot, lean, bit in v.steps(token):
             s = np.einsum("nd,nd->n", h[:m], self.node[slot]) + lean
             part[:m] -= np.logaddexp(0, np.where(bit == 1, -s, s))
@@ -127,6 +149,12 @@ class Network:
         z[np.arange(words.n), v.kind[token]] -= 1
         total.cluster += h.T @ z
         back = z @ self.cluster.T
+        for c, mine, levels in v.classes_of(token):
+            vectors, odds, node, bit = self._upper(c, token[mine], h[mine], levels)
+            g = np.zeros_like(odds)
+            np.put_along_axis(g, node, (1 / (1 + np.exp(-np.take_along_axis(odds, node, 1))) - bit).astype(h.dtype), 1)
+            back[mine] += g @ vectors
+            total.node[v.base[c] : v.base[c] + len(vectors)] += g.T @ h[mine]
         for m, slot, lean, bit in v.steps(token):
             vector = self.node[slot]
             g = (1 / (1 + np.exp(-(np.einsum("nd,nd->n", h[:m], vector) + lean))) - bit).astype(h.dtype)[:, None]
@@ -135,11 +163,13 @@ class Network:
         by_word = np.empty_like(back)
         by_word[order] = back * (1 - h**2)
         begin, end, inputs = words.first[:-1][words.doc[order]], words.first[1:][words.doc[order]], v.input_of[token]
+        every = by_word.sum(0)
         for j, by in enumerate(REACH):  # the word at order[i] is the neighbour of the one `by` places before it
             centre = order - by
             ok = (centre >= begin) & (centre < end)
-            _added(total.embed[j], inputs[ok], by_word[centre[ok]])
-            total.embed[j, v.n_inputs - 1] += by_word.sum(0) - by_word[centre[ok]].sum(0)
+            values = by_word[centre[ok]]
+            _added(total.embed[j], inputs[ok], values)
+            total.embed[j, v.n_inputs - 1] += every - values.sum(0)
 
 
 def _added(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
