@@ -49,13 +49,11 @@ DOMAIN_ROLES = [
     ("Verification", ("test", "spec")),
 ]
 SERVICE_TEXTS = [
-    ("Authentication and trust boundary logic", ("auth", "security")), ("File ingestion or upload handling", ("upload", "file")),
-    ("Payment or billing integration", ("payment", "billing", "stripe")),
-    ("Persistence and repository state management", ("store", "repository", "db")), ("HTTP API boundary", ("api", "route", "main.py")),
+    ("Sign-in and trust checks", ("auth", "security")), ("Files that come in", ("upload", "file")),
+    ("Payments and bills", ("payment", "billing", "stripe")),
+    ("Stored state", ("store", "repository", "db")), ("Requests from outside", ("api", "route", "main.py")),
 ]
 NESTED_ROOTS = ("src", "app", "backend", "frontend")
-DEPENDENCY_FILES = ("requirements.txt", "pyproject.toml", "package.json", "package-lock.json", "pom.xml")
-SECURITY_TOKENS = ("auth", "security", "secret", "permission", "csrf")
 
 # Scanner rules (id, pattern, message); patterns are read alike by Java and RE2.
 LINE_RULES = [
@@ -82,26 +80,26 @@ TAXONOMY_PREFIXES = [
 ]
 TAXONOMY_ELSE = ("A06:2021-Vulnerable and Outdated Components", "CWE-20", 5.0)
 SCANNERS = [("trivy", "trivy"), ("dependency", "dependency-audit"), ("semgrep", "semgrep"), ("b", "bandit")]
+# Texts of findings, in own words.
 IMPACTS = [
-    ("Credential disclosure can allow unauthorized access to systems or data.", ("secret",)),
-    ("Untrusted input could reach command or code execution paths.", ("eval", "exec", "shell")),
-    ("Untrusted HTML rendering can expose users to cross-site scripting.", ("inner-html",)),
-    ("Dynamic SQL construction can expose data to injection and leakage.", ("sql",)),
+    ("A leaked credential opens systems or data to people without a right to them.", ("secret",)),
+    ("Input from outside may be run as a command or as code.", ("eval", "exec", "shell")),
+    ("Markup from outside may run scripts in the browsers of users.", ("inner-html",)),
+    ("Statements put together from text may be changed by input and give data away.", ("sql",)),
 ]
 REMEDIATIONS = [
-    ("Move secrets into environment or secret manager, rotate exposed values, and add secret scanning to CI.", ("secret",)),
-    ("Replace dynamic code execution with explicit parsing or allowlisted command dispatch.", ("eval", "exec")),
-    ("Use subprocess argument arrays with shell disabled and validate all inputs.", ("shell",)),
-    ("Render sanitized content only and prefer framework-safe text rendering.", ("inner-html",)),
-    ("Use parameterized queries or ORM query builders.", ("sql",)),
+    ("Keep the secret in a vault or the environment, replace the exposed value, and scan for secrets on every build.", ("secret",)),
+    ("Parse the input, or choose among known commands, instead of running it as code.", ("eval", "exec")),
+    ("Pass arguments as a list, without a shell, and check what comes in.", ("shell",)),
+    ("Clean markup before it is shown, or show it as text.", ("inner-html",)),
+    ("Bind parameters instead of putting statements together.", ("sql",)),
 ]
-REMEDIATION_ELSE = "Review the finding, add a regression test, and document the accepted remediation."
+REMEDIATION_ELSE = "Look at the finding, test against its return, and write down what was decided."
 EXPLOITABLE = ("secret", "shell", "exec", "eval", "sql")
 
 # Severity weights of several analyses.
 RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 POSTURE_WEIGHT = {"critical": 10, "high": 6, "medium": 3, "low": 1}
-SNAPSHOT_WEIGHT = {"critical": 24, "high": 16, "medium": 8, "low": 3}
 RELATIONS = ("DEPENDS_ON", "USES", "IMPORTS", "CALLS")
 ASSERTIVE = ("implements", "uses", "calls", "depends", "stores", "exposes", "authenticates", "encrypts", "vulnerable", "risk", "critical")
 FILE_REFERENCE = r"`?([A-Za-z0-9_./-]+\.(?:py|ts|tsx|js|jsx|json|ya?ml|toml|md|go|rs|java|kt|cs|rb|php|sql))(?:[:#][0-9]+(?:-[0-9]+)?)?`?"

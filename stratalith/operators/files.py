@@ -32,7 +32,7 @@ def classified(files: DataFrame) -> DataFrame:
         "domain": exprs.domain(path), "knowledge_layer": exprs.case_contains(path, rules.KNOWLEDGE_LAYERS, "application"),
         "evolution_layer": exprs.case_contains(path, rules.EVOLUTION_LAYERS, "application"), "review_layer": exprs.case_contains(path, rules.REVIEW_LAYERS, "application"),
         "explorer_layer": exprs.case_contains(path, rules.EXPLORER_LAYERS, "Application"), "owner": exprs.case_contains(path, rules.OWNERS, "Core Engineering"),
-        "service": exprs.case_contains(path, rules.SERVICE_TEXTS, "Application behavior component"),
+        "service": exprs.case_contains(path, rules.SERVICE_TEXTS, "Behaviour of the application"),
     })
 
 
@@ -58,13 +58,6 @@ def tagged_lines(files: DataFrame, tags=("todo", "fixme", "hack", "xxx")) -> Dat
     return lines(files).filter(F.col("content").rlike(pattern)).withColumn("tag", F.upper(F.regexp_extract("content", pattern, 1)))
 
 
-def env_variables(files: DataFrame) -> DataFrame:
-    """Sorted distinct environment variables that a file reads (four syntaxes)."""
-    patterns = (r"os\.getenv\(['\"]([A-Z0-9_]+)['\"]", r"os\.environ\[['\"]([A-Z0-9_]+)['\"]\]", r"process\.env\.([A-Z0-9_]+)", r"env::var\(['\"]([A-Z0-9_]+)['\"]")
-    found = F.concat(*(F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in patterns))
-    return files.select("repo_id", "path", F.array_sort(F.array_distinct(found)).alias("env_vars"))
-
-
 def domains(files: DataFrame, most: int = 24, samples: int = 8) -> DataFrame:
     """Domains of a repository with role and sample files, the largest `most`.
 

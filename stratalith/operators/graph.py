@@ -6,6 +6,8 @@ Only the number of frontier rows reaches the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +38,22 @@ def hotspots(edges: DataFrame, files: DataFrame, first: int = 40, most: int = 20
 
 
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes, edges, density and health of a graph; nodes has id and risky."""
+    """nodes, edges, density (5 places) and health (0 to 100) of a graph; nodes has id and risky. An empty graph has 0 of all."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     a = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("risky").alias("risky"))
     b = edges.select("source", "target").distinct().agg(F.count(F.lit(1)).alias("edges"))
     c = ends.agg(F.count(F.lit(1)).alias("connected"))
     n = F.greatest(F.col("nodes"), F.lit(1))
-    health = 100 - (1 - F.col("connected") / n) * 45 - F.col("risky") / n * 35
+    health = exprs.dec_round(exprs.clamp(100 - (1 - F.col("connected") / n) * 45 - F.col("risky") / n * 35, 0.0, 100.0), 0).cast("long")
     one = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
-    return one.select("nodes", "edges", exprs.dec_round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 8).alias("density"), exprs.dec_round(exprs.clamp(health, 0.0, 100.0), 2).alias("health"))
+    density = F.when(F.col("nodes") > 1, exprs.dec_round(F.col("edges") / (n * F.greatest(n - 1, F.lit(1))), 5)).otherwise(0.0)
+    return one.select("nodes", "edges", density.alias("density"), F.when(F.col("nodes") > 0, health).otherwise(0).alias("health"))
 
 
-def _reached(edges: DataFrame, seeds: DataFrame, depth: int, until: str | None = None) -> DataFrame:
-    """node, distance along the edges a -> b, up to `depth` (or until a node is met)."""
+def _reached(edges: DataFrame, seeds: DataFrame, depth: int | None, until: str | None = None) -> DataFrame:
+    """node, distance along the edges a -> b, up to `depth` (as far as they go without), or until a node is met."""
     seen = frontier = written(seeds.select("node").distinct().withColumn("distance", F.lit(0)))
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         step = edges.join(frontier, edges["a"] == frontier["node"]).select(F.col("b").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
@@ -79,11 +82,22 @@ def dependency_traversal(edges: DataFrame, seeds: DataFrame, relations, depth: i
     return _reached(kept, seeds, min(5, max(1, depth)))
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 12) -> DataFrame:
-    """length of the shortest undirected path, no row without one; unweighted."""
-    seeds = edges.sparkSession.createDataFrame([(start,)], "node string")
-    found = _reached(_both_ways(edges), seeds, most, end).filter(F.col("node") == end)
-    return found.select(F.lit(start).alias("start"), F.lit(end).alias("end"), F.col("distance").cast("long").alias("length"))
+def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
+    """step, source, target of the edges of one shortest undirected path, no row without one; unweighted, of any length.
+
+    Distances are found level by level. On the way back each step takes the least neighbour that is one nearer to the
+    start, a lookup of one node in the table.
+    """
+    both = _both_ways(edges)
+    near = written(_reached(both, edges.sparkSession.createDataFrame([(start,)], "node string"), None, end))
+    found = near.filter(F.col("node") == end).select("distance").first()
+    steps, node = [], end
+    for d in range(found["distance"] if found else 0, 0, -1):
+        before = both.filter(F.col("a") == node).join(near.filter(F.col("distance") == d - 1), F.col("b") == F.col("node")).agg(F.min("b")).first()[0]
+        forward = not edges.filter((F.col("source") == before) & (F.col("target") == node)).isEmpty()
+        steps.append((d, before if forward else node, node if forward else before))
+        node = before
+    return edges.sparkSession.createDataFrame(steps[::-1], "step int, source string, target string")
 
 
 def dependency_overlap(uses: DataFrame, most: int = 160) -> DataFrame:

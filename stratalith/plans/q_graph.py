@@ -36,7 +36,7 @@ def hotspots_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {bind.DEPENDENCIES_SQL}, n AS (SELECT count(*) AS nodes, count(*) FILTER (p_size > 25) AS risky FROM part), e AS (SELECT count(*) AS edges FROM (SELECT DISTINCT source, target FROM dependencies)),
 c AS (SELECT count(DISTINCT x) AS connected FROM (SELECT source AS x FROM dependencies UNION ALL SELECT target FROM dependencies))
-SELECT nodes, edges, {exprs.dec_round_sql("edges / (nodes * (nodes - 1))", 8)} AS density, {exprs.dec_round_sql("least(100, greatest(0, 100 - (1 - connected / nodes) * 45 - risky / nodes * 35))", 2)} AS health FROM n, e, c""")
+SELECT nodes, edges, {exprs.dec_round_sql("edges / (nodes * (nodes - 1))", 5)} AS density, {exprs.dec_round_sql("least(100, greatest(0, 100 - (1 - connected / nodes) * 45 - risky / nodes * 35))", 0)}::BIGINT AS health FROM n, e, c""")
 def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _sensitive_parts(spark, sf_dir).select(F.col("path").alias("id"), F.col("sensitive").alias("risky"))
     return graph.metrics(nodes, bind.dependencies(spark, sf_dir))
@@ -58,7 +58,9 @@ def dependency_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {bind.HIERARCHY_SQL}, b AS (SELECT source AS a, target AS b FROM hierarchy UNION SELECT target, source FROM hierarchy),
-w AS (SELECT 's1' AS node, 0::BIGINT AS d UNION SELECT b.b, w.d + 1 FROM w JOIN b ON b.a = w.node WHERE w.d < 6) SELECT 's1' AS "start", 'c5' AS "end", min(d) AS length FROM w WHERE node = 'c5' HAVING count(*) > 0""")
+w AS (SELECT 'c5' AS node, ['c5'] AS path UNION ALL SELECT b.b, list_append(path, b.b) FROM w JOIN b ON b.a = w.node WHERE len(path) < 8 AND NOT list_contains(path, b.b) AND b.b IN (SELECT source FROM hierarchy UNION SELECT 's1')),
+p AS (SELECT path FROM w WHERE node = 's1' QUALIFY row_number() OVER (ORDER BY len(path), path) = 1), e AS (SELECT (len(path) - i)::INT AS step, path[i + 1] AS x, path[i] AS y FROM p, (SELECT unnest(range(1, 8)) AS i) WHERE i < len(path))
+SELECT step, source, target FROM e JOIN hierarchy h ON (h.source = x AND h.target = y) OR (h.source = y AND h.target = x)""")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_path(bind.hierarchy(spark, sf_dir), "s1", "c5")
 

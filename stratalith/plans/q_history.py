@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
-from stratalith.operators import history, security
+from stratalith.operators import history
 from stratalith.plans.register import query
 from stratalith.sources import bind
 
@@ -191,16 +191,3 @@ def weighted_mean_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = sum((F.coalesce(F.sum(n), F.lit(0)).cast("double") * w for n, (_, w) in parts.items()), F.lit(0.0))
     weights = sum((F.count(n) * F.lit(w) for n, (_, w) in parts.items()), F.lit(0.0))
     return rows.groupBy("source").agg(exprs.dec_round(sums / weights, 4).alias("weighted"))
-
-
-_C = "count(*) FILTER"
-
-
-@query(f"""WITH {bind.FINDINGS_SQL}, c AS (SELECT repo_id, {_C} (severity = 'critical') AS crit, {_C} (severity = 'high') AS high, {_C} (severity = 'medium') AS med, {_C} (severity = 'low') AS low, count(DISTINCT path) AS files FROM findings GROUP BY repo_id),
-s AS (SELECT repo_id, files, {exprs.dec_round_sql("greatest(0, 100 - least(80.0::DOUBLE, 20 * crit + 6 * high + least(35.0::DOUBLE, med / files * 220) + least(10.0::DOUBLE, low / files * 5)))", 1)} AS security FROM c),
-p AS (SELECT *, {exprs.dec_round_sql("security * 0.32::DOUBLE + 70 * 0.24::DOUBLE + 100 * 0.14::DOUBLE + 100 * 0.1::DOUBLE + 45 * 0.08::DOUBLE + 90 * 0.07::DOUBLE + 100 * 0.05::DOUBLE", 1)} AS production FROM s)
-SELECT repo_id, security, production, {exprs.dec_round_sql("production * 0.45::DOUBLE + security * 0.25::DOUBLE + 70 * 0.2::DOUBLE + 100 * 0.1::DOUBLE", 1)} AS cto, least(95, 30 + least(files, 40) + 25)::BIGINT AS confidence FROM p""")
-def score_composites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = security.counts(bind.findings(spark, sf_dir)).withColumn("security", security.loss_score(1))
-    given = scores.withColumns({"debt": F.lit(70), "tests": F.lit(100), "ci": F.lit(100), "container": F.lit(45), "dependency": F.lit(90), "docs": F.lit(100)})
-    return security.composites(given).select("repo_id", "security", "production", "cto", "confidence")

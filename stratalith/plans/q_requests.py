@@ -21,11 +21,20 @@ def request_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.percentiles(bind.requests(spark, sf_dir))
 
 
-@query(f"""WITH {_R}, w AS (SELECT request_id, count(*) OVER (PARTITION BY client, path ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS in_window FROM r) SELECT request_id, in_window, in_window > 2 AS limited FROM w""")
+@query(f"""WITH RECURSIVE {_R}, o AS (SELECT *, row_number() OVER (PARTITION BY client, path ORDER BY ts, request_id) AS k FROM r),
+w AS (SELECT client, path, k, request_id, 0 AS in_window, [ts] AS log FROM o WHERE k = 1
+UNION ALL SELECT o.client, o.path, o.k, o.request_id, len(list_filter(w.log, lambda x: x >= o.ts - INTERVAL 24 HOURS))::INT, CASE WHEN len(list_filter(w.log, lambda x: x >= o.ts - INTERVAL 24 HOURS)) < 2 THEN list_append(list_filter(w.log, lambda x: x >= o.ts - INTERVAL 24 HOURS), o.ts) ELSE list_filter(w.log, lambda x: x >= o.ts - INTERVAL 24 HOURS) END
+  FROM w JOIN o ON o.client = w.client AND o.path = w.path AND o.k = w.k + 1) SELECT request_id, in_window, in_window >= 2 AS limited FROM w""")
 def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.rate_limited(bind.requests(spark, sf_dir), 86400, 2)
 
 
+@query(f"""WITH {_R}, x AS (SELECT * FROM r WHERE ts >= (SELECT max(ts) FROM r) - INTERVAL 72 HOURS)
+SELECT count(*) AS requests, {exprs.dec_round_sql("list_sort(list(duration_ms))[count(*) // 2 + 1]", 4)} AS p50, {exprs.dec_round_sql("quantile_cont(duration_ms, 0.95)", 4)} AS p95, count(*) FILTER (failed) AS failures FROM x""")
+def recent_window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.recent(bind.requests(spark, sf_dir), 72 * 3600)
+
+
 @query("SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS next_role FROM conversations")
 def step_sequence_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = bind.table(spark, sf_dir, "conversations")
@@ -54,7 +63,7 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.windowed(bind.requests(spark, sf_dir)).withColumn("began", F.unix_timestamp("began"))
 
 
-@query()
+@query(f"WITH {_R}, g AS (SELECT date_trunc('hour', ts) AS began, path, count(*) AS requests, count(*) FILTER (failed) AS failures FROM r GROUP BY ALL) SELECT began, path, requests, failures FROM g WHERE began + INTERVAL 1 HOUR <= (SELECT max(ts) FROM r) - INTERVAL 1 HOUR")
 def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts by Structured Streaming in append mode: the last open windows stay unwritten."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -62,4 +71,4 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "false").parquet(f"{folder}/{name}*")
     stream = ops.windowed(bind.as_requests(events))
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    return ops.streamed(spark, stream, f"windowed_{uuid.uuid4().hex[:8]}", f"{base}/checkpoint", f"{base}/out")
+    return ops.streamed(spark, stream, f"windowed_{uuid.uuid4().hex[:8]}", f"{base}/checkpoint", f"{base}/out").withColumn("began", F.col("began").cast("timestamp_ntz"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
-from stratalith.operators import search
+from stratalith.operators import retrieval, search
 from stratalith.plans.register import query
-from stratalith.sources import bind
+from stratalith.sources import bind, sources
 
 _WORDS = f"regexp_extract_all(lower(text), '{rules.SEARCH_WORD}')"
 #: Stands for a user's question.
@@ -20,6 +20,29 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored index of the documents, made by the first question of a session."""
+    made: list[DataFrame] = []
+
+    def part(i: int):
+        def make() -> DataFrame:
+            if not made:
+                made.extend(retrieval.index(_docs(spark, sf_dir)))
+            return made[i]
+
+        return make
+
+    return tuple(sources.stored(spark, f"index {i}", sf_dir, part(i)) for i in (0, 1))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents), t AS (SELECT doc_id, len(words) AS n_terms, unnest(words) AS term FROM d), f AS (SELECT doc_id, n_terms, term, count(*) AS freq FROM t GROUP BY doc_id, n_terms, term)
+SELECT term, sum(freq)::BIGINT AS words, count(*) AS docs, sum(n_terms * 1000003 + doc_id)::BIGINT AS checked FROM f GROUP BY term""")
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the stored index, with sums that any lost or doubled posting would change."""
+    postings, _ = _index(spark, sf_dir)
+    return postings.filter("term IS NOT NULL").groupBy("term").agg(F.sum("freq").alias("words"), F.count(F.lit(1)).alias("docs"), F.sum(F.col("n_terms") * 1000003 + F.col("doc_id")).alias("checked"))
+
+
 @query(f"""WITH {bind.FILES_SQL}, s AS (SELECT path, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 1800) / 1580.0))::BIGINT * 1580, 1580)) AS start FROM files WHERE length(text) > 0),
 c AS (SELECT path, start, text, substring(text, start + 1, 1800) AS piece, length(substring(text, 1, start)) - length(replace(substring(text, 1, start), chr(10), '')) AS before FROM s)
 SELECT path, start, length(piece) AS n_chars, (before + 1)::INT AS line_start, (before + length(piece) - length(replace(piece, chr(10), '')) + 1)::INT AS line_end FROM c""")
@@ -42,7 +65,7 @@ s AS (SELECT doc_id, bm25, {exprs.dec_round_sql("least(0.95::DOUBLE, 0.42::DOUBL
 
 @query(f"WITH {_BM25} SELECT doc_id, {exprs.dec_round_sql('bm25', 4)} AS bm25, score FROM s ORDER BY s.bm25 DESC, doc_id LIMIT 48")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(_docs(spark, sf_dir), QUESTION)
+    found = retrieval.bm25(*_index(spark, sf_dir), QUESTION)
     top = found.orderBy(F.desc("bm25"), "doc_id").limit(48)
     return top.select("doc_id", exprs.dec_round(F.col("bm25"), 4).alias("bm25"), search.final_score(F.col("bm25")).alias("score"))
 
@@ -70,9 +93,11 @@ c AS (SELECT v.doc_id, {exprs.dec_round_sql(f"0.66::DOUBLE * similarity + 0.22::
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, origin DESC) AS r FROM c) SELECT doc_id, score, origin FROM r WHERE r = 1 ORDER BY score DESC, doc_id LIMIT 48""")
 def hybrid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    vectors = search.vector_scores(bind.table(spark, sf_dir, "embeddings"), _ones()).withColumnRenamed("vec_id", "doc_id").join(docs, "doc_id")
-    near = vectors.select("doc_id", exprs.dec_round(0.66 * F.col("similarity") + 0.22 * search.overlap(F.coalesce("text", F.lit("")), QUESTION), 4).alias("score"), F.lit("vector").alias("origin"))
-    words = search.bm25(docs, QUESTION).select("doc_id", search.final_score(F.col("bm25")).alias("score"), F.lit("bm25").alias("origin"))
+    vectors = search.vector_scores(bind.table(spark, sf_dir, "embeddings"), _ones()).withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id")
+    postings, statistics = _index(spark, sf_dir)
+    vectors = vectors.join(retrieval.lexical(postings, QUESTION), "doc_id", "left")
+    near = vectors.select("doc_id", exprs.dec_round(0.66 * F.col("similarity") + 0.22 * F.coalesce("lexical", F.lit(0.0)), 4).alias("score"), F.lit("vector").alias("origin"))
+    words = retrieval.bm25(postings, statistics, QUESTION).select("doc_id", search.final_score(F.col("bm25")).alias("score"), F.lit("bm25").alias("origin"))
     return search.best_candidates([near, words], 48)
 
 

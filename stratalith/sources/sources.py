@@ -57,16 +57,16 @@ _made: dict[tuple[str, str], DataFrame] = {}
 
 
 def stored(spark: SparkSession, name: str, sf_dir: str, make) -> DataFrame:
-    """A table that one session makes once for each folder, as a scan would leave it."""
+    """A written table that one session makes once for each folder, as a scan or an index would leave it."""
     key = (spark.sparkContext.applicationId, f"{name} {sf_dir}")
     if key not in _made:
-        _made[key] = written(make())
+        _made[key] = make()
     return _made[key]
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, path, language, size, text."""
-    return stored(spark, "files", sf_dir, lambda: _files(spark, sf_dir))
+    return stored(spark, "files", sf_dir, lambda: written(_files(spark, sf_dir)))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,33 @@ def percentiles(requests: DataFrame) -> DataFrame:
 
 
 def rate_limited(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """request_id, in_window (requests of the client in the seconds up to it), limited."""
+    """request_id, in_window (accepted requests of the client and path in the seconds before it), limited.
+
+    A request is rejected if `limit` accepted ones lie in the window; rejected ones don't count later. After a pause longer
+    than the window nothing is remembered, so each busy period of a client and path is a group of its own, folded in order.
+    """
     at = F.col("ts").cast("double")
-    order = Window.partitionBy("client", "path").orderBy(at).rangeBetween(-seconds, 0)
-    return requests.withColumn("in_window", F.count(F.lit(1)).over(order)).select("request_id", "in_window", (F.col("in_window") > limit).alias("limited"))
+    order = Window.partitionBy("client", "path").orderBy("ts", "request_id")
+    new = F.coalesce((at - F.lag(at).over(order) > seconds).cast("int"), F.lit(0))
+    periods = requests.select("client", "path", "request_id", "ts", new.alias("new")).withColumn("period", F.sum("new").over(order))
+    hits = periods.groupBy("client", "path", "period").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "request_id"))).alias("hits"))
+    kind = hits.schema["hits"].dataType.elementType["request_id"].dataType.simpleString()
+    empty = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast(f"array<struct<request_id:{kind},in_window:int>>").alias("out"))
+
+    def step(acc, hit):
+        log = F.filter(acc["log"], lambda t: t >= hit["at"] - seconds)
+        row = F.struct(hit["request_id"].alias("request_id"), F.size(log).alias("in_window"))
+        return F.struct(F.when(F.size(log) < limit, F.array_append(log, hit["at"])).otherwise(log).alias("log"), F.array_append(acc["out"], row).alias("out"))
+
+    rows = hits.select(F.explode(F.aggregate("hits", empty, step, lambda acc: acc["out"])).alias("x"))
+    return rows.select("x.request_id", "x.in_window", (F.col("x.in_window") >= limit).alias("limited"))
+
+
+def recent(requests: DataFrame, seconds: int) -> DataFrame:
+    """requests, p50 (upper median), p95, failures of the last seconds up to the newest request; one row."""
+    last = F.broadcast(requests.agg(F.max("ts").alias("now")))  # one row
+    kept = requests.crossJoin(last).filter(F.col("ts") >= F.col("now") - F.make_dt_interval(secs=F.lit(float(seconds))))
+    return percentiles(kept.withColumn("path", F.lit("all"))).drop("path")
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:

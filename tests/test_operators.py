@@ -34,7 +34,7 @@ def test_degree_counts_self_loops_twice(spark):
 def test_shortest_path_none_and_self(spark):
     edges = spark.createDataFrame([("a", "b"), ("c", "d")], "source string, target string")
     assert graph.shortest_path(edges, "a", "d").count() == 0
-    assert [r["length"] for r in graph.shortest_path(edges, "b", "a").collect()] == [1]
+    assert [tuple(r) for r in graph.shortest_path(edges, "b", "a").collect()] == [(1, "a", "b")] and graph.shortest_path(edges, "a", "a").count() == 0
 
 
 def test_blast_radius_depth_is_held(spark):
