@@ -145,8 +145,7 @@ class FMIndex:
         while len(query := query[keep := at >= 0]):
             at, lo, hi, size = at[keep], lo[keep], hi[keep], size[keep]
             word = self.text[self.at[segments[query]] + at]
-            new_lo = self.before[word] + self.wavelet.rank(word, lo)
-            new_hi = self.before[word] + self.wavelet.rank(word, hi)
+            new_lo, new_hi = self.before[word] + self.wavelet.rank(np.concatenate([word, word]), np.concatenate([lo, hi])).reshape(2, -1)
             good = new_lo < new_hi
             good[good] = self.owner_minima.of(new_lo[good], new_hi[good]) < below[query[good]]
             out[bounds[query[good]] + at[good]] = size[good] + 1

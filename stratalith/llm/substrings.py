@@ -79,11 +79,11 @@ def run_rows(docs: DataFrame, window: int) -> DataFrame:
     return known.mapInArrow(emit, known.drop("text").schema.add("mini", "long").add("class", "long").add("check", "long").add("start", "integer").add("n", "integer"))
 
 
-def run_words(docs: DataFrame, wanted: DataFrame, n_wanted: int, window: int) -> DataFrame:
+def run_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """KEY, doc_id, later, hot and the words (with one space between) of the wanted runs; wanted has a row for each run."""
     about = [*KEY, "start", "n", "later", "hot"]
     by_doc = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct(*about)).alias("runs"))
-    joined = docs.join(small(by_doc, n_wanted, 500_000), ["doc_id", "version"]).select("doc_id", "text", "runs")
+    joined = docs.join(by_doc.hint("merge"), ["doc_id", "version"]).select("doc_id", "text", "runs")  # one plan at every size
     schema = wanted.select(*KEY, "doc_id", "later", "hot").schema.add("words", "binary")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +168,10 @@ def covered_windows(docs: DataFrame, window: int = 50, most: int = 2000) -> Data
     first = F.min(F.struct("doc_id", "version", "start", "n")).alias("f")
     classes = written(table.groupBy(*KEY).agg(first, F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("size")).select(*KEY, "f.*", (F.col("last") > F.col("f.doc_id")).alias("later"), "size"))
     of_mini = classes.groupBy("mini").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.col("n") + window - 1).alias("words"))
-    crowded = of_mini.select("mini", ((F.col("classes") > most) | (F.col("words") > SHARD_WORDS)).alias("hot"))
-    wanted = written(classes.join(crowded, "mini"))
-    n_wanted, n_words = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + window - 1)), F.lit(0))).first()
-    rows = written(run_words(docs, wanted, n_wanted, window))
+    crowded = written(of_mini.select("mini", "classes", ((F.col("classes") > most) | (F.col("words") > SHARD_WORDS)).alias("hot")))
+    wanted = written(dealt_join(classes, crowded, ["mini"], "classes", ["class"]))
+    n_words = wanted.agg(F.coalesce(F.sum(F.when(~F.col("hot"), F.col("n") + window - 1)), F.lit(0))).first()[0]
+    rows = written(run_words(docs, wanted, window))
     within = covered_by_shard(rows.filter("NOT hot"), n_words, window).unionByName(covered_by_hash(rows.filter("hot"), window))
     answers = within.groupBy(*KEY).agg(F.collect_list(F.struct("later", "lo", "hi")).alias("spans"))  # a run's own windows: at most some hundreds
     known = written(classes.select(*KEY, F.col("doc_id").alias("least"), "size").join(answers, KEY))
@@ -184,9 +184,9 @@ def covered_windows(docs: DataFrame, window: int = 50, most: int = 2000) -> Data
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of each document."""
     given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("version"))
-    spans = written(covered_windows(given.select("doc_id", "version", "text"), window))
+    spans = covered_windows(given.select("doc_id", "version", "text"), window)
     by_doc = written(spans.groupBy("doc_id", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    joined = given.join(small(by_doc, spans.count(), 1_000_000), ["doc_id", "version"], "left").select("doc_id", "text", "spans")
+    joined = given.join(by_doc.hint("merge"), ["doc_id", "version"], "left").select("doc_id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
