@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.plans import q_code, q_drift, q_files, q_graph, q_history, q_requests, q_review, q_search, q_views, register  # noqa: F401  the modules register their queries
+from stratalith.plans import q_code, q_drift, q_evidence, q_files, q_graph, q_history, q_requests, q_review, q_search, q_views, register  # noqa: F401  the modules register their queries
 
 
 def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
