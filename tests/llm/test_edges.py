@@ -128,3 +128,68 @@ def test_mix_carries_the_texts(spark, shape):
     texts = {(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()}
     assert {(r["doc_id"], r["text"], r["lang"]) for r in out} <= texts and all(len(r["text"].split()) == r["size"] for r in out)
     assert [r["at"] for r in out] == sorted(r["at"] for r in out)
+
+
+def by_id(df, *columns):
+    return {r["doc_id"]: tuple(r[c] for c in columns) for r in df.collect() if r["doc_id"] is not None}
+
+
+def test_language_cases(spark):
+    docs = spark.createDataFrame(ROWS + [(20, "12 34 !?", "en", "a", 8), (21, "a", "en", "a", 1)], SCHEMA)
+    same = {"aa": b"one and the same content", "bb": b"one and the same content"}
+    out = by_id(language.scored(docs, same, "text", ["doc_id"]), "lang_pred", "score", "rejected")
+    assert all(out[k] == ("und", 0.0, True) for k in (4, 5, 7, 20))
+    assert out[1] == ("aa", 0.5, True) and out[21][0] == "aa" and 0 <= out[6][1] <= 1
+    assert set(by_id(language.open_set(language.scored(docs, same, "text", ["doc_id"])), "lang_pred").values()) == {("und",)}
+    assert set(by_id(language.scored(docs, {}, "text", ["doc_id"]), "lang_pred", "score").values()) == {("und", 0.0)}
+    assert language.samples(docs.limit(0).select(F.col("doc_id").alias("key"), "text", "lang")) == {}
+
+
+def test_toxicity_cases(spark):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    none = toxicity.learned(docs.select("doc_id", "text"), docs.limit(0).select("doc_id", F.lit(1).alias("label")))
+    assert set(by_id(toxicity.scored(docs, none, keep=["doc_id"]), "score").values()) == {(0.5,)}
+    rows = [(i, "vile insult here" if i % 4 == 0 else "fine words here", None) for i in range(200)]
+    many = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(0, 0), (0, None), (None, 1), (999, 1)], "doc_id long, label int")
+    machine = toxicity.learned(many, labels)
+    got = by_id(toxicity.scored(many.unionByName(spark.createDataFrame([(500, None), (501, "")], "doc_id long, text string")), machine, keep=["doc_id"]), "score")
+    base = 1 / (1 + np.exp(-machine.base))
+    assert all((got[i][0] >= 0.5) == (i % 4 == 0) for i in range(200)) and abs(got[500][0] - base) < 1e-12 and got[500] == got[501]
+    few = [toxicity.learned(many.repartition(n), labels, sample=50) for n in (1, 5)]
+    assert np.array_equal(few[0].buckets, few[1].buckets) and np.allclose(few[0].weight, few[1].weight)
+
+
+def test_masked_cases(spark):
+    out = by_id(masked_lm.pseudo_likelihood(spark.createDataFrame(ROWS, SCHEMA), ["doc_id"]), "n_tokens", "log_likelihood", "mean_log_likelihood")
+    assert all(out[k] == (0, 0.0, None) for k in (4, 5, 7)) and out[6][0] == 120_000 and out[1][1] < 0
+    one = spark.createDataFrame([(1, "single"), (2, None)], "doc_id long, text string")
+    assert by_id(masked_lm.pseudo_likelihood(one, ["doc_id"]), "n_tokens")[1] == (1,)
+
+
+def test_pseudonym_cases(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "call (212) 555-0187 " * 3000), (4, "nothing here")], "doc_id long, text string").withColumn("kinds", F.lit("x"))
+    out = {r["doc_id"]: (r["text"], r["n_replaced"], len(r["kinds"])) for r in pii.pseudonymized(docs, "k").collect()}
+    assert out[1] == (None, 0, 0) and out[2] == ("", 0, 0) and out[4] == ("nothing here", 0, 0)
+    assert out[3][1:] == (3000, 3000) and len(set(out[3][0].split("call ")[1:])) == 1
+
+
+def test_quality_cases(spark):
+    out = by_id(quality.quality(spark.createDataFrame(ROWS, SCHEMA)), "n_words", "base_failed", "kept")
+    assert all(out[k] == (0, True, False) for k in (4, 5, 7)) and out[1][0] == 120 and not out[1][1]
+
+
+def test_mix_cases(spark):
+    out = by_id(mixing.assigned(spark.createDataFrame(ROWS, SCHEMA)), "source", "size", "taken", "copies", "position")
+    assert all(out[k][1:] == (0, 0, 0, []) for k in (4, 5, 7)) and out[3][0] is None and all(v[2] <= 2 * v[1] for v in out.values())
+    sizes = spark.createDataFrame([("b", 100), (None, 100), ("a", 100)], "source string, source_size long")
+    goal = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    assert goal == {"a": 200.0, "b": pytest.approx(500 / 3), None: pytest.approx(250 / 3)}
+
+
+def test_ties_and_repeated_rows_of_pages(spark):
+    """Equally near neighbours: the next page decides; repeated rows are treated alike."""
+    page = "<p>own {0}</p><p>{1}</p><p>longer words of page {0} that nobody else has</p>"
+    rows = [(1, "https://h/b", page.format(1, "left")), (2, "https://h/c", page.format(2, "both")), (2, "https://h/c", page.format(2, "both")), (3, "https://h/d", page.format(3, "both"))]
+    out = sorted((r["page_id"], r["n_deleted"]) for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert out == [(1, 0), (2, 1), (2, 1), (3, 1)]

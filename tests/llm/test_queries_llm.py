@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from compare import DATA, hold, plain, spark_rows
+from compare import DATA, duck, hold, spark_rows
 from pyspark.sql import functions as F
 
 from stratalith.llm import html, language, masked_lm, pii, registry, toxicity
@@ -266,15 +266,10 @@ def test_quality_counts_against_plain_python(spark):
         assert r["n_words"] == len(words) and r["word_chars"] == sum(map(len, words))
 
 
-def test_pipeline_against_its_parts(spark):
-    """Brute force of the whole pipeline: no id twice before the mix, one document of each group, no leak, no toxic one, positions in order."""
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    machine = toxicity.toxicity_model(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    toxic = {r["doc_id"] for r in toxicity.scored(docs, machine, keep=["doc_id"]).filter("score >= 0.5").collect()}
-    texts = {r["doc_id"]: (r["text"] or "").lower().split() for r in docs.collect() if r["doc_id"] not in toxic}
-    grams = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for k, w in texts.items()}
+def near_duplicates(texts, n=5, num=80, den=100):
+    """The ids that stay: the smallest of each component of links, by all pairs that share a shingle."""
+    words = {k: [w for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))] for k, t in texts.items()}
+    grams = {k: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set() for k, w in words.items()}
     where = {}
     for k, g in grams.items():
         for x in g:
@@ -287,26 +282,57 @@ def test_pipeline_against_its_parts(spark):
         return k
 
     shared = Counter((a, b) for ids in where.values() for i, a in enumerate(ids) for b in ids[i + 1 :])
-    for (a, b), n in shared.items():
-        if 100 * n >= 80 * (len(grams[a]) + len(grams[b]) - n):
+    for (a, b), m in shared.items():
+        if den * m >= num * (len(grams[a]) + len(grams[b]) - m):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
-    least = {}
-    for k in texts:
-        least[root(k)] = min(k, least.get(root(k), k))
-    step = docs
-    kept = []
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        step = stage(spark, step, SF)
+    return {k for k in texts if root(k) == k}
+
+
+def test_pipeline_against_its_parts(spark, tmp_path):
+    """Every stage on all that its predecessor kept: toxicity and pseudonyms by plain Python, near duplicates by all pairs, leaks and the mix by SQL."""
+    import corpus_pipeline
+    from test_pii import KEY, twin
+
+    from stratalith.llm import mixing, templates
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    machine = toxicity.toxicity_model(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    place = {int(b): i for i, b in enumerate(machine.buckets)}
+
+    def is_toxic(text):
+        raw = (text or "").encode()
+        found = sorted({place[int(b)] for b in toxicity.terms(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] if int(b) in place})
+        total = machine.base + sum(machine.weight[i] for i in found) + sum(float(machine.factor[i] @ machine.factor[j]) for k, i in enumerate(found) for j in found[k + 1 :])
+        return bool((text or "").strip()) and total >= 0
+
+    steps, step = [docs], docs
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, step, SF).write.parquet(f"{tmp_path}/{i}")
+        step = spark.read.parquet(f"{tmp_path}/{i}")
         assert step.columns == docs.columns
-        kept.append({r["doc_id"] for r in step.select("doc_id").collect()})
-    assert kept[0] == set(texts)
-    assert kept[1] == set(least.values())
-    assert kept[3] == kept[2] <= kept[1]
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert {r["doc_id"] for r in out} <= kept[3] and len(out) > 0
-    names, rows = spark_rows(corpus_pipeline.run(spark, SF))
-    assert rows == Counter(tuple(x) for x in ([plain(r[n]) for n in names] for r in out))
+        steps.append(step)
+    texts = [{r["doc_id"]: r["text"] for r in s.select("doc_id", "text").collect()} for s in steps]
+    assert set(texts[1]) == {k for k, t in texts[0].items() if not is_toxic(t)}
+    assert set(texts[2]) == near_duplicates(texts[1])
+    leaked = {r[0] for r in duck(f"SELECT doc_id FROM ({templates.SQL['op8_template_leaks']})", "sf0.01", f"{tmp_path}/1/*.parquet")[1]}
+    assert leaked and set(texts[3]) == set(texts[2]) - leaked
+    assert pii.key_of(spark) == KEY and texts[4] == {k: twin(t)[0] for k, t in texts[3].items()}
+    out = corpus_pipeline.STAGES[-1][1](spark, step, SF).select("doc_id", "text", "at", "copy").collect()
+    names, mixed = duck(f"SELECT doc_id, copies FROM ({mixing.SQL['op10_curriculum_mix']})", "sf0.01", f"{tmp_path}/3/*.parquet")
+    copies = {r[names.index("doc_id")]: r[names.index("copies")] for r in mixed}
+    assert Counter(r["doc_id"] for r in out) == Counter({k: n for k, n in copies.items() if n})
+    assert all(r["text"] == texts[4][r["doc_id"]] for r in out) and [r["at"] for r in out] == sorted(r["at"] for r in out)
+    assert spark_rows(corpus_pipeline.run(spark, SF))[1].total() == len(out)
+
+
+def test_early_positions_favour_the_early_source(spark):
+    """Of sources with like sizes, the one whose weight falls stands before the one whose weight rises."""
+    from stratalith.llm import mixing
+
+    docs = spark.createDataFrame([(i, "some words of a text", "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string")
+    mean = {r["source"]: r["m"] for r in mixing.range_sorted(mixing.assigned(docs)).groupBy("source").agg(F.avg("at").alias("m")).collect()}
+    assert mean["a"] < mean["b"] - 0.05 and mean["b"] < mean["c"] - 0.05
 
 
 def test_language_letters():
