@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
+from stratalith.sources.shared import dealt_join, written
 
 
 def statistics(files: DataFrame) -> DataFrame:
@@ -21,9 +22,15 @@ def primary_language(files: DataFrame) -> DataFrame:
 
 
 def with_duplicates(files: DataFrame) -> DataFrame:
-    """duplicate: the content was seen at an earlier path. Only hashes and paths are shuffled, joined back by group minimum."""
-    first = files.groupBy("sha256").agg(F.min("path").alias("__first"))
-    return files.join(first, "sha256").withColumn("duplicate", F.col("path") > F.col("__first")).drop("__first")
+    """duplicate: the content was seen at an earlier path; files without content are none.
+
+    Only hashes and paths are shuffled for the group minimum; contents that very many files share (the empty one) are
+    joined back in parts.
+    """
+    known = files.filter("sha256 IS NOT NULL")
+    first = written(known.groupBy("sha256").agg(F.min("path").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    out = dealt_join(known, first, ["sha256"], "__n", ["path"]).withColumn("duplicate", F.col("path") > F.col("__first")).drop("__first")
+    return out.unionByName(files.filter("sha256 IS NULL").withColumn("duplicate", F.lit(False)))
 
 
 def classified(files: DataFrame) -> DataFrame:

@@ -104,3 +104,41 @@ def dependency_overlap(uses: DataFrame, most: int = 160) -> DataFrame:
     """dependency, repos: dependencies of more than one repository; uses has repo_id and dependency."""
     shared = uses.select("repo_id", "dependency").distinct().groupBy("dependency").agg(F.count(F.lit(1)).alias("repos"))
     return shared.filter("repos > 1").orderBy(F.desc("repos"), "dependency").limit(most)
+
+
+def graph_query(nodes: DataFrame, edges: DataFrame, mode: str, source: str = "", target: str = "", depth: int = 2) -> DataFrame:
+    """source, target, relation of the edges that a mode shows, of one projection (id, label, kind; source, target, relation).
+
+    Modes: overview, hotspots (of the 50 nodes with most edges), ownership, shortest_path, dependency, blast_radius,
+    security_propagation (from all findings). Nodes are named by id, or by a part of id or label.
+    """
+    slim = edges.select("source", "target", "relation")
+
+    def named(query: str) -> DataFrame:
+        low = query.lower()
+        hit = nodes.filter((F.col("id") == query) | F.lower("id").contains(low) | F.lower("label").contains(low))
+        return hit.orderBy(F.desc(F.col("id") == query), "id").limit(1).select(F.col("id").alias("node"))
+
+    if mode == "overview":
+        return slim.orderBy("source", "target", "relation").limit(200)
+    if mode == "hotspots":
+        top = degrees(slim).orderBy(F.desc("degree"), "node").limit(50)
+        inside = slim.join(F.broadcast(top.select(F.col("node").alias("source"))), "source", "left_semi").join(F.broadcast(top.select(F.col("node").alias("target"))), "target", "left_semi")
+        return inside.select("source", "target", "relation").orderBy("source", "target", "relation").limit(200)
+    if mode == "ownership":
+        return slim.filter("relation = 'OWNS'")
+    if mode == "shortest_path":
+        ends = [r[0] if r else None for r in (named(source).first(), named(target).first())]
+        if None in ends:
+            return slim.limit(0)
+        steps = shortest_path(slim.select("source", "target").distinct(), *ends)
+        return slim.join(steps.select("source", "target"), ["source", "target"], "left_semi").select("source", "target", "relation").distinct()
+    if mode == "dependency":
+        near = dependency_traversal(slim, named(source), ("DEPENDS_ON", "USES", "IMPORTS", "CALLS"), depth)
+        inner = near.filter(F.col("distance") < min(5, max(1, depth))).select(F.col("node").alias("source"))
+        return slim.filter(F.col("relation").isin("DEPENDS_ON", "USES", "IMPORTS", "CALLS")).join(inner, "source", "left_semi").select("source", "target", "relation")
+    if mode == "blast_radius":
+        return blast_radius(slim, named(source), depth)
+    if mode == "security_propagation":
+        return blast_radius(slim, nodes.filter("kind = 'security_finding'").select(F.col("id").alias("node")), depth)
+    raise ValueError(f"unknown mode {mode}")

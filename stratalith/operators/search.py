@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
+from stratalith.sources.shared import small, written
 
 
 def chunks(files: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
@@ -78,9 +79,9 @@ def best_candidates(parts: list[DataFrame], most: int) -> DataFrame:
 def interleaved(files: DataFrame, group: str, key: str, quota: int) -> DataFrame:
     """The first `quota` of each group, in turns: position runs over rank, then group."""
     ranked = files.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(key))).filter(F.col("r") <= quota)
-    groups = files.select(group).distinct()
+    groups = written(files.select(group).distinct())
     index = groups.withColumn("g", F.row_number().over(Window.orderBy(F.col(group).asc_nulls_last())))  # a row for each group
-    return ranked.join(F.broadcast(index), ranked[group].eqNullSafe(index[group])).select(key, ranked[group], "r", "g")
+    return ranked.join(small(index, groups.count()), ranked[group].eqNullSafe(index[group])).select(key, ranked[group], "r", "g")
 
 
 def sentences(text):

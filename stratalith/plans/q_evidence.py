@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
-from stratalith.operators import code, evidence, knowledge, payloads, reports, repository, sarif
+from stratalith.operators import code, evidence, graph, knowledge, payloads, reports, repository, sarif
 from stratalith.plans import q_code
 from stratalith.plans.register import query
 from stratalith.sources import bind, sources
@@ -130,3 +130,40 @@ def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings = sources.findings(spark, sf_dir)
     each = sarif.results(findings).groupBy("repo_id", F.col("result.ruleId").alias("rule_id")).agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("result.level") == "error").alias("errors"))
     return sarif.rules_of(findings).join(each, ["repo_id", "rule_id"])
+
+
+@query(f"""WITH {sources.ALL_SQL}, {q_code._ABOUT} SELECT repo_id, {exprs.dec_round_sql("least(100.0, greatest(0.0, 45 + docker::INT * 12 + has_ci::INT * 12 + least(18.0, components * 1.5) - least(15, hotspots)))", 1)} AS scalability,
+least(100, 14 * 5 + 3 * components + 2 * least(12, 10) + 2 * least(routes, 10) + 2 * least(stored_files, 5))::BIGINT AS quality FROM about""")
+def executive_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalability as executives read it, and the quality of the extracted architecture: five diagrams, ten important files."""
+    c = F.col
+    about, _ = q_code._facts(spark, sf_dir)
+    ready = 45 + F.when(c("docker"), 12).otherwise(0) + F.when(c("has_ci"), 12).otherwise(0) + F.least(F.lit(18.0), c("components") * 1.5) - F.least(F.lit(15), c("hotspots"))
+    quality = F.least(F.lit(100), 14 * 5 + 3 * c("components") + 2 * 10 + 2 * F.least(c("routes"), F.lit(10)) + 2 * F.least(c("stored_files"), F.lit(5)))
+    return about.select("repo_id", exprs.dec_round(exprs.clamp(ready, 0.0, 100.0), 1).alias("scalability"), quality.cast("long").alias("quality"))
+
+
+@query(f"""WITH {sources.ALL_SQL}, {q_code._PROJECTED}, e AS (SELECT 'owner:' || {q_code._OWNER} AS source, 'service:' || repo_id || ':' || name AS target, 'OWNS' AS relation FROM spaces WHERE repo_id = 'Brand#1') SELECT * FROM e""")
+def graph_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = knowledge.projection(*(df.filter("repo_id = 'Brand#1'") for df in q_code._given(spark, sf_dir)), q_code._deps(spark, sf_dir).filter("repo_id = 'Brand#1'"))
+    return graph.graph_query(nodes, edges, "ownership")
+
+
+@query(f"""WITH {sources.ALL_SQL}, {q_code._LINKS}, n AS (SELECT DISTINCT repo_id, id FROM (SELECT repo_id, target AS id FROM links UNION ALL SELECT repo_id, path FROM src))
+SELECT repo_id, id FROM n WHERE contains(lower(id), 'load') QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY id) = 1""")
+def graph_node_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = knowledge.dependency_nodes(q_code._files(spark, sf_dir), q_code._symbols(spark, sf_dir)).withColumn("label", F.col("id"))
+    return knowledge.resolved(nodes, "LOAD")
+
+
+@query(f"WITH {sources.ALL_SQL} SELECT repo_id, CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END AS folder, count(*) AS files, sum(size)::BIGINT AS bytes FROM src GROUP BY ALL")
+def folder_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.when(F.col("path").contains("/"), F.split("path", "/")[0]).otherwise("")
+    return sources.files(spark, sf_dir).groupBy("repo_id", folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT count(DISTINCT user_id) AS clients, count(*) AS requests FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
+def active_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = bind.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    last = F.broadcast(events.agg(F.max("ts").alias("now")))  # one row
+    return events.crossJoin(last).filter(F.col("ts") >= F.col("now") - F.expr("INTERVAL 24 HOURS")).agg(F.countDistinct("user_id").alias("clients"), F.count(F.lit(1)).alias("requests"))

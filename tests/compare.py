@@ -20,11 +20,14 @@ def plain(v):
     return f"{type(v).__name__} {v}"
 
 
-def duck(sql: str, sf: str):
+def duck(sql: str, sf: str, documents: str | None = None):
+    """Sorted names and counted rows of a statement over the tables of sf; documents may name other files for that table."""
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
+    if documents:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{documents}')")
     for t in TABLES:
-        if Path(f"{DATA}/{sf}/{t}.parquet").exists():
+        if not (documents and t == "documents") and Path(f"{DATA}/{sf}/{t}.parquet").exists():
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{sf}/{t}.parquet')")
     out = con.execute(sql)
     names = [d[0] for d in out.description]

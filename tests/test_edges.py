@@ -108,3 +108,27 @@ def test_views(spark):
     assert [r[0] for r in rows.select(views.executive_score([F.col("a"), F.col("b")])).collect()] == [90, None, 100]
     names = spark.createDataFrame([(" A b!c ",), ("...",)], "n string")
     assert [tuple(r) for r in names.select(views.slug(F.col("n")), views.safe_name(F.trim("n"))).collect()] == [("a-b-c", "A-b-c"), ("", "repository")]
+
+
+def test_graph_modes(spark):
+    nodes = spark.createDataFrame([(x, x.split(":")[0], k) for x, k in (("repo:r", "repository"), ("file:a", "file"), ("file:b", "file"), ("risk:1", "security_finding"), ("owner:T", "owner"), ("service:s", "service"))], "id string, label string, kind string")
+    edges = spark.createDataFrame([("repo:r", "file:a", "CONTAINS"), ("repo:r", "file:b", "CONTAINS"), ("file:a", "file:b", "IMPORTS"), ("risk:1", "file:b", "AFFECTS"), ("owner:T", "service:s", "OWNS")], "source string, target string, relation string")
+    ask = lambda *a, **k: {tuple(r) for r in graph.graph_query(nodes, edges, *a, **k).collect()}
+    assert len(ask("overview")) == 5 and len(ask("hotspots")) == 5 and ask("ownership") == {("owner:T", "service:s", "OWNS")}
+    assert ask("shortest_path", "RISK", "file:a") == {("risk:1", "file:b", "AFFECTS"), ("file:a", "file:b", "IMPORTS")} and ask("shortest_path", "risk", "nowhere") == set()
+    assert ask("dependency", "file:a") == {("file:a", "file:b", "IMPORTS")} and ask("blast_radius", "owner", depth=1) == {("owner:T", "service:s", "OWNS")}
+    assert ask("security_propagation", depth=1) == {("risk:1", "file:b", "AFFECTS")}
+
+
+def test_sinks(spark, tmp_path):
+    from stratalith.operators import sinks
+
+    nodes, edges = spark.createDataFrame([("r", "a", "a", "file")], "repo_id string, id string, label string, kind string"), spark.createDataFrame([("r", "a", "b", "odd")], "repo_id string, source string, target string, relation string")
+    sinks.write_graph(nodes, edges, f"{tmp_path}/g")
+    assert spark.read.parquet(f"{tmp_path}/g/edges").first()["relation"] == "LINKED_TO"
+    for text in ("old", "new"):
+        sinks.write_vectors(spark.createDataFrame([("r", text), (text, "x")], "repo_id string, text string"), f"{tmp_path}/v")
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/v").select("repo_id", "text").collect()} == {("r", "new"), ("old", "x"), ("new", "x")}
+    for i in (1, 2):
+        sinks.append_events(spark.createDataFrame([(i, 7)], "batch int, run_id long").withColumn("ts", F.lit("2024-01-01").cast("timestamp")), f"{tmp_path}/e")
+    assert {r["batch"] for r in sinks.done_batches(spark.read.json(f"{tmp_path}/e"), 1).collect()} == {1, 2}
