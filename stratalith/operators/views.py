@@ -17,8 +17,8 @@ LABELS = {"repository": "Repository", "directory": "Directory", "file": "File",
 def executive_score(scores: list[Column]) -> Column:
     """Mean of the scores that are there, 0 to 100, as an integer; null without any."""
     there = F.array_compact(F.array(*(s.cast("double") for s in scores)))
-    mean = F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(there), F.lit(0))
-    return exprs.dec_round(exprs.clamp(mean, 0.0, 100.0), 0).cast("long")
+    mean = F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(there), F.lit(1))
+    return F.when(F.size(there) > 0, exprs.dec_round(exprs.clamp(mean, 0.0, 100.0), 0).cast("long"))
 
 
 def risk_level(score: Column) -> Column:
