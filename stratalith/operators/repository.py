@@ -167,6 +167,11 @@ def _if(condition, points) -> Column:
     return F.when(condition, points).otherwise(0)
 
 
+# Labels that reports and screens compare with.
+VERDICTS = (((78, "Strong Acquisition Candidate"), (62, "Moderate Risk Candidate")), "High Risk Candidate")
+ADVICE = ("do not approve without remediation", "approve only with enterprise hardening plan", "approve technical diligence with monitoring", "request remediation plan before approval")
+
+
 def acquisition(about: DataFrame, critical: DataFrame) -> DataFrame:
     """repo_id, eight sub-scores, readiness and verdict; about are the facts, critical has repo_id of repositories with a critical finding."""
     c, files = F.col, F.greatest(F.col("files"), F.lit(1))
@@ -181,7 +186,7 @@ def acquisition(about: DataFrame, critical: DataFrame) -> DataFrame:
     }).withColumn("operational", (c("production") + c("ci_cd_maturity") + c("documentation") + c("scalability")) / 4)
     weights = {"cto": 0.24, "security": 0.22, "production": 0.20, "debt": 0.18, "test_confidence": 0.08, "documentation": 0.08}
     ready = exprs.weighted_mean([(c(n), w) for n, w in weights.items()])
-    verdict = F.when(c("has_critical"), "High Risk Candidate").otherwise(exprs.level(c("ready"), ((78, "Strong Acquisition Candidate"), (62, "Moderate Risk Candidate")), "High Risk Candidate"))
+    verdict = F.when(c("has_critical"), VERDICTS[1]).otherwise(exprs.level(c("ready"), *VERDICTS))
     shown = [exprs.dec_round(c(n), 1).alias(n) for n in ("scalability", "bus_factor", "test_confidence", "ci_cd_maturity", "documentation", "operational")]
     return one.withColumn("ready", ready).select("repo_id", *shown, exprs.dec_round(c("ready"), 1).alias("readiness"), verdict.alias("verdict"))
 
@@ -194,10 +199,7 @@ def diligence(about: DataFrame, findings: DataFrame) -> DataFrame:
     gaps = _if(c("tests") < 100, 1) + _if(~c("has_ci_files"), 1) + _if(c("docs") < 100, 1) + _if(c("security") < 80, 1) + _if(c("stored_files") == 0, 1)
     one = one.withColumn("risks", F.least(F.lit(10).cast("long"), c("f") + F.least(c("hotspots"), F.lit(5)))).withColumn("gaps", gaps.cast("long"))
     ready = F.when((c("cto") >= 80) & (c("risks") <= 2) & (c("gaps") <= 3), "strong").when((c("cto") >= 65) & (c("risks") <= 5), "moderate").when(c("cto") >= 50, "early").otherwise("high-risk")
-    advice = (
-        F.when((c("security") < 55) | (c("critical_risks") > 0), "do not approve without remediation").when(c("gaps") > 5, "approve only with enterprise hardening plan")
-        .when(c("cto") >= 75, "approve technical diligence with monitoring").otherwise("request remediation plan before approval")
-    )
+    advice = F.when((c("security") < 55) | (c("critical_risks") > 0), ADVICE[0]).when(c("gaps") > 5, ADVICE[1]).when(c("cto") >= 75, ADVICE[2]).otherwise(ADVICE[3])
     return one.select("repo_id", "risks", "critical_risks", "gaps", ready.alias("investment_readiness"), advice.alias("recommendation"))
 
 

@@ -14,6 +14,8 @@ from stratalith.functions import exprs, rules
 DEPENDENCY_FILES = ("requirements.txt", "pyproject.toml", "poetry.lock", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "go.mod", "go.sum", "Cargo.toml", "Cargo.lock", "pom.xml", "build.gradle", "Dockerfile", "docker-compose.yml")
 SENSITIVE = ("auth", "session", "jwt", "oauth", "password", "secret", "token", "permission", "policy", "cors", ".env", "settings", "config", "migration", "schema")
 MOST_SENSITIVE = ("auth", "secret", "token", "password")
+# Labels of release gates, the strictest first.
+GATES = ("block until staff/security approval", "staff review required", "targeted owner review", "standard review")
 
 
 def dependency_changes(changed: DataFrame) -> DataFrame:
@@ -73,10 +75,8 @@ def assessment(scores: DataFrame, changed: DataFrame, risks: DataFrame, related:
     regression = exprs.clamp(F.col("risk_score") + moved + F.col("dependency_changes") * 6 + F.col("api_changes") * 7, 0, 100).cast("long")
     effort = F.least(F.lit(100).cast("long"), F.col("risk_score") + F.col("files") * 2 + F.floor(F.col("lines") / 45) + F.col("commits") * 3)
     one = one.withColumns({"regression_score": regression, "complexity_score": effort, "deployment_level": level(F.col("deployment_score"))})
-    gate = (
-        F.when((F.col("risk_score") >= 75) | (F.col("deployment_level") == "critical"), "block until staff/security approval").when((F.col("risk_score") >= 55) | (F.col("deployment_level") == "high"), "staff review required")
-        .when(F.col("risk_score") >= 35, "targeted owner review").otherwise("standard review")
-    )
+    score, deployed = F.col("risk_score"), F.col("deployment_level")
+    gate = F.when((score >= 75) | (deployed == "critical"), GATES[0]).when((score >= 55) | (deployed == "high"), GATES[1]).when(score >= 35, GATES[2]).otherwise(GATES[3])
     return one.select("pr", "risk_score", "files", "lines", "domains", "related_tests", "dependency_changes", "api_changes", "test_confidence", "deployment_score", "deployment_level", gate.alias("release_gate"), "regression_score", level(F.col("regression_score")).alias("regression_level"), "complexity_score", level(F.col("complexity_score")).alias("complexity_level"))
 
 
