@@ -18,7 +18,6 @@ the named columns are read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
