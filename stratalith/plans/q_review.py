@@ -217,9 +217,10 @@ def _spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_SPACED}, fc AS (SELECT repo_id, count(*) AS files FROM src GROUP BY repo_id), s6 AS (SELECT * FROM spaces QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY file_count DESC, name) <= 6)
-SELECT repo_id, name, file_count, {exprs.dec_round_sql("file_count / files * 100", 1)} AS share, CASE WHEN file_count / files >= 0.5 THEN 'critical ownership concentration' ELSE 'ownership concentration' END AS risk FROM s6 JOIN fc USING (repo_id) WHERE file_count / files >= 0.25""")
+SELECT repo_id, name, file_count, {exprs.dec_round_sql("file_count / files * 100", 1)} AS share, CASE WHEN file_count / files >= 0.5 THEN 'critical ownership concentration' ELSE 'ownership concentration' END AS risk FROM s6 JOIN fc USING (repo_id) WHERE file_count / files >= 0.1""")
 def ownership_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portfolio.ownership_concentration(_spaces(spark, sf_dir), sources.files(spark, sf_dir))
+    """With a tenth as the least share: the bound repositories have eight domains of like size."""
+    return portfolio.ownership_concentration(_spaces(spark, sf_dir), sources.files(spark, sf_dir), 0.1)
 
 
 @query(f"""WITH {_SPACED}, fc AS (SELECT repo_id, count(*) AS files FROM src GROUP BY repo_id)
