@@ -35,6 +35,7 @@ WIDTH = 16
 REACH = (-2, -1, 1, 2)
 BLOCK = 4 * WIDTH  # weights that go together
 WHOLE = 5  # levels below a class whose few nodes are multiplied with all words at once
+PIECE = 1 << 17  # multiplications of a product
 RUN = 1 << 19  # bytes of text at a time
 
 
@@ -119,7 +120,7 @@ class Network:
         """(vectors of the upper nodes of a class, log odds of all of them for each word, nodes on the words' ways, bits)."""
         v, n = self.vocabulary, (1 << levels) - 1
         vectors = self.node[v.base[c] : v.base[c] + n]
-        odds = h @ vectors.T + v.lean[(1 << c) + 1 : (1 << c) + 1 + n]
+        odds = _times(h, vectors.T) + v.lean[(1 << c) + 1 : (1 << c) + 1 + n]
         place, k = (token + 1)[:, None], c - np.arange(levels)
         return vectors, odds, (place >> k) - 1, (place >> (k - 1)) & 1
 
@@ -127,7 +128,7 @@ class Network:
         """Log-probability of each word given its neighbours."""
         v, out = self.vocabulary, np.zeros(words.n)
         order, token, h = self._sorted(words)
-        z = h @ self.cluster + v.class_log.astype(h.dtype)
+        z = _times(h, self.cluster) + v.class_log.astype(h.dtype)
         part = z[np.arange(words.n), v.kind[token]] - _log_sum(z) + v.tail[token]
         for c, mine, levels in v.classes_of(token):
             _, odds, node, bit = self._upper(c, token[mine], h[mine], levels)
@@ -143,18 +144,18 @@ class Network:
         """Adds the gradients of the negative log-probabilities of all words to total."""
         v = self.vocabulary
         order, token, h = self._sorted(words)
-        z = h @ self.cluster + v.class_log.astype(h.dtype)
+        z = _times(h, self.cluster) + v.class_log.astype(h.dtype)
         z = np.exp(z - z.max(1, keepdims=True))
         z /= z.sum(1, keepdims=True)
         z[np.arange(words.n), v.kind[token]] -= 1
-        total.cluster += h.T @ z
-        back = z @ self.cluster.T
+        total.cluster += _crossed(h, z)
+        back = _times(z, self.cluster.T)
         for c, mine, levels in v.classes_of(token):
             vectors, odds, node, bit = self._upper(c, token[mine], h[mine], levels)
             g = np.zeros_like(odds)
             np.put_along_axis(g, node, (1 / (1 + np.exp(-np.take_along_axis(odds, node, 1))) - bit).astype(h.dtype), 1)
-            back[mine] += g @ vectors
-            total.node[v.base[c] : v.base[c] + len(vectors)] += g.T @ h[mine]
+            back[mine] += _times(g, vectors)
+            total.node[v.base[c] : v.base[c] + len(vectors)] += _crossed(g, h[mine])
         for m, slot, lean, bit in v.steps(token):
             vector = self.node[slot]
             g = (1 / (1 + np.exp(-(np.einsum("nd,nd->n", h[:m], vector) + lean))) - bit).astype(h.dtype)[:, None]
@@ -172,6 +173,21 @@ class Network:
             total.embed[j, v.n_inputs - 1] += every - values.sum(0)
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in pieces below the size from which the linear algebra library starts threads: tasks share the cores already."""
+    step = max(1, PIECE // (a.shape[1] * b.shape[1]))
+    out = np.empty((len(a), b.shape[1]), a.dtype)
+    for i in range(0, len(a), step):
+        np.matmul(a[i : i + step], b, out=out[i : i + step])
+    return out
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b in such pieces, summed."""
+    step = max(1, PIECE // (a.shape[1] * b.shape[1]))
+    return sum((a[i : i + step].T @ b[i : i + step] for i in range(0, len(a), step)), np.zeros((a.shape[1], b.shape[1])))
+
+
 def _added(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """target[rows] += values, for rows with equal ones side by side."""
     if len(rows):
