@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from stratalith.llm.text import Words, runs
 
 MOST_BITS = 20
-WIDTH = 16
+WIDTH = 12
 REACH = (-2, -1, 1, 2)
 BLOCK = 4 * WIDTH  # weights that go together
 WHOLE = 5  # levels below a class whose few nodes are multiplied with all words at once
@@ -42,7 +42,7 @@ RUN = 1 << 19  # bytes of text at a time
 class Vocabulary:
     """Ranks of buckets by count, and what follows from counts alone: classes, depths, log-probabilities of untrained steps."""
 
-    def __init__(self, counts: np.ndarray, support: int = 128, inputs: int = 2048):
+    def __init__(self, counts: np.ndarray, support: int = 1024, inputs: int = 2048):
         self.bits = max(1, int(len(counts) - 1).bit_length())
         order = np.lexsort((np.arange(len(counts)), -counts))
         self.rank = np.empty(len(counts), np.int32)
