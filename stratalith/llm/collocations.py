@@ -51,13 +51,17 @@ class Shard:
     """Words of a run of texts: key (with the language), piece, language (a number of names), start and end in data."""
 
     def __init__(self, names: list[str], parts: list[tuple]):
+        """Takes the parts out of the list, column by column, so that they and their union aren't held twice."""
         self.names = names
         at = np.cumsum([0, *(len(p[0]) for p in parts)])
-        self.data = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint8)
-        self.key, self.language = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in ((1, np.uint64), (2, np.int32)))
-        self.start, self.end = (np.concatenate([p[i] + a for p, a in zip(parts, at[:-1], strict=True)]) if parts else np.zeros(0, np.int64) for i in (3, 4))
-        new = np.concatenate([p[5] for p in parts]) if parts else np.zeros(0, bool)
-        self.piece = np.cumsum(new, dtype=np.int32)
+        columns = [list(c) for c in zip(*parts, strict=True)]
+        parts.clear()
+        for i in (3, 4):  # a shard has less than 2 GB of text, or is one text
+            columns[i] = [x + a for x, a in zip(columns[i], at[:-1], strict=True)]
+            columns[i] = np.concatenate(columns[i]).astype(np.int32 if at[-1] < 2**31 else np.int64)
+        self.start, self.end = columns[3], columns[4]
+        self.data, self.key, self.language = (np.concatenate(columns[i]) for i in (0, 1, 2))
+        self.piece = np.cumsum(np.concatenate(columns[5]), dtype=np.int32)
 
     def words(self) -> np.ndarray:
         """Number of words of each language."""
@@ -88,7 +92,7 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
             n += w.n
             if n >= most:
                 yield Shard(list(names), parts)
-                parts, n = [], 0
+                n = 0
     if parts:
         yield Shard(list(names), parts)
 
@@ -113,13 +117,14 @@ def levels(shard: Shard, allowed: np.ndarray | None, longest: int = LONGEST) ->
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first occurrence, count, group of each) of equal keys."""
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+    order = np.argsort(key, kind="stable").astype(np.int32 if len(key) < 2**31 else np.int64)
     new = np.ones(len(key), bool)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
+    sorted_key = key[order]
+    np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
+    del sorted_key
     begin = np.nonzero(new)[0]
-    group = np.empty(len(key), np.int64)
-    group[order] = np.cumsum(new) - 1
+    group = np.empty(len(key), np.int32)
+    group[order] = np.cumsum(new, dtype=np.int32) - 1
     return order[begin], np.diff(np.append(begin, len(key))), group
 
 
@@ -229,7 +234,7 @@ def _looked_up(cuts: DataFrame, known: DataFrame, part: str, out: str, rows: int
     return dealt_join(cuts, written(keyed.join(uses, ["language", part])), ["language", part], "__uses", ["phrase"])
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, shard_words: int = 6_000_000, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, shard_words: int = 4_000_000, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(phrases, words): (language, phrase, size, count) of all phrases of 2 to 5 words with the support; the frequent words likewise, with the language's total where phrase is null."""
     spark = docs.sparkSession
     given = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("language"), F.col(f"`{text}`").alias("text"))
@@ -277,7 +282,7 @@ def maximal(phrases: DataFrame, share: int = 100) -> DataFrame:
     return phrases.join(inner, ["language", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("count"))).select("language", "phrase")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, top: int | None = 2000, shard_words: int = 6_000_000, most: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, top: int | None = 2000, shard_words: int = 4_000_000, most: int = 2_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's `top` maximal phrases by score, count and phrase (None: all)."""
     phrases, words = frequent_phrases(docs, text, lang, support, shard_words, most)
     kept = scored(phrases, words).join(maximal(phrases), ["language", "phrase"], "left_semi")
