@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratalith.llm.text import runs
 
@@ -124,11 +125,9 @@ def rank_index(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     return given.mapInArrow(index, _with(given.drop("__text"), _INDEX))
 
 
-def _with(df: DataFrame, columns: str):
-    schema = df.schema
-    for c in columns.split(", "):
-        schema = schema.add(*c.split(" "))
-    return schema
+def _with(df: DataFrame, columns: str) -> StructType:
+    """The schema of df and further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
 
 
 def cuts(index: DataFrame, doc_id: str = "doc_id", seed: int = 7, copies: int = 1) -> DataFrame:
