@@ -48,20 +48,21 @@ def _salt(language: str) -> np.uint64:
 
 
 class Shard:
-    """Words of a run of texts: key (with the language), piece, language (a number of names), start and end in data."""
+    """Words of a run of texts: key (with the language), language (a number of names), piece; with text also data, start, end."""
 
     def __init__(self, names: list[str], parts: list[tuple]):
         """Takes the parts out of the list, column by column, so that they and their union aren't held twice."""
         self.names = names
-        at = np.cumsum([0, *(len(p[0]) for p in parts)])
-        columns = [list(c) for c in zip(*parts, strict=True)]
+        key, language, new, data, start, end = map(list, zip(*parts, strict=True))
         parts.clear()
-        for i in (3, 4):  # a shard has less than 2 GB of text, or is one text
-            columns[i] = [x + a for x, a in zip(columns[i], at[:-1], strict=True)]
-            columns[i] = np.concatenate(columns[i]).astype(np.int32 if at[-1] < 2**31 else np.int64)
-        self.start, self.end = columns[3], columns[4]
-        self.data, self.key, self.language = (np.concatenate(columns[i]) for i in (0, 1, 2))
-        self.piece = np.cumsum(np.concatenate(columns[5]), dtype=np.int32)
+        self.key, self.language = np.concatenate(key), np.concatenate(language)
+        del key, language
+        self.piece = np.cumsum(np.concatenate(new), dtype=np.int32)
+        if data[0] is not None:
+            at = np.cumsum([0, *map(len, data)])
+            kind = np.int32 if at[-1] < 2**31 else np.int64
+            self.data = np.concatenate(data)
+            self.start, self.end = (np.concatenate([x + a for x, a in zip(c, at[:-1], strict=True)]).astype(kind) for c in (start, end))
 
     def words(self) -> np.ndarray:
         """Number of words of each language."""
@@ -71,7 +72,7 @@ class Shard:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[first : first + k], self.end[first : first + k], strict=True)).decode("utf-8", "replace")
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
+def shards(batches: Iterator[pa.RecordBatch], most: int, text: bool = True) -> Iterator[Shard]:
     """Shards of whole texts (columns: language, text) that end with the text by which they reach `most` words."""
     names: dict[str, int] = {}
     parts: list[tuple] = []
@@ -88,7 +89,7 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
             ended = np.cumsum(_PIECE_END[low], dtype=np.int64)[w.start]
             new = np.ones(w.n, bool)
             new[1:] = (w.doc[1:] != w.doc[:-1]) | (ended[1:] != ended[:-1])
-            parts.append((low, mix(w.hash ^ salts[language]), language, w.start, w.end, new))
+            parts.append((mix(w.hash ^ salts[language]), language, new, *((low, w.start, w.end) if text else (None, None, None))))
             n += w.n
             if n >= most:
                 yield Shard(list(names), parts)
@@ -167,7 +168,7 @@ def mined(given: DataFrame, totals: dict[str, int], support: int, shard_words: i
     kinds, names = [pa.string(), pa.int64(), pa.int64()], ["language", "key", "over"]
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_words):
+        for shard in shards(batches, shard_words, text=False):
             words = shard.words()
             hidden = np.array([local_support(support, int(w), totals[x]) - 1 if w else 0 for w, x in zip(words, shard.names, strict=True)], np.int64)
             seen = np.nonzero(words)[0]
@@ -179,25 +180,49 @@ def mined(given: DataFrame, totals: dict[str, int], support: int, shard_words: i
                     _, key, at = steps.send(kept)
                 except StopIteration:
                     break
-                first, counts, group = grouped(key)
-                language = shard.language[at[first]]
-                good = counts > hidden[language]
-                kept = good[group]
-                for code in np.unique(language[good]):
-                    mine_ = np.nonzero(good & (language == code))[0]
-                    for lo in range(0, len(mine_), 500_000):
-                        part = mine_[lo : lo + 500_000]
-                        yield _batch([pa.repeat(shard.names[code], len(part)), signed(key[first[part]]), counts[part] - hidden[code]], kinds, names)
+                kept = np.zeros(len(key), bool)
+                for code in seen:
+                    own = np.nonzero(shard.language[at] == code)[0]
+                    known, counts = np.unique(key[own], return_counts=True)
+                    good = counts > hidden[code]
+                    known, counts = known[good], counts[good]
+                    kept[own] = held(key[own], known)
+                    for lo in range(0, len(known), 500_000):
+                        part = slice(lo, lo + 500_000)
+                        yield _batch([pa.repeat(shard.names[code], len(known[part])), signed(known[part]), counts[part] - hidden[code]], kinds, names)
 
     found = given.mapInArrow(mine, "language string, key long, over long")
     return found.groupBy("language", "key").agg(F.sum("over").alias("over"))
 
 
+class _Sums:
+    """Counts of candidates over all shards of a task, with the language and words of each that was seen."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.count, self.said = keys, np.zeros(len(keys), np.int64), {}
+
+    def add(self, shard: Shard, k: int, key: np.ndarray, at: np.ndarray) -> None:
+        first, counts, _ = grouped(key)
+        place = np.searchsorted(self.keys, key[first])
+        for i in np.nonzero(self.count[place] == 0)[0]:
+            begin = int(at[first[i]])
+            self.said[int(place[i])] = (shard.names[shard.language[begin]], shard.text(begin, k), k)
+        self.count[place] += counts
+
+    def rows(self) -> Iterator[tuple]:
+        every = sorted(self.said)
+        for lo in range(0, len(every), 100_000):
+            part = every[lo : lo + 100_000]
+            language, phrase, size = zip(*(self.said[i] for i in part), strict=True)
+            yield language, signed(self.keys[part]), phrase, size, self.count[part]
+
+
 def counted(given: DataFrame, shard_words: int, frequent, candidates) -> DataFrame:
-    """(language, key, phrase, size, count) of the candidates' occurrences in each shard; of all phrases if these are None."""
+    """(language, key, phrase, size, count) of the candidates, summed in each task; of each shard's phrases if these are None."""
     kinds, names = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()], ["language", "key", "phrase", "size", "count"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(candidates.value) if candidates else None
         for shard in shards(batches, shard_words):
             steps = levels(shard, held(shard.key, frequent.value) if frequent else None)
             kept = None
@@ -206,13 +231,19 @@ def counted(given: DataFrame, shard_words: int, frequent, candidates) -> DataFra
                     k, key, at = steps.send(kept)
                 except StopIteration:
                     break
-                kept = held(key, candidates.value) if candidates else np.ones(len(key), bool)
-                key, at = key[kept], at[kept]
+                if sums:
+                    kept = held(key, candidates.value)
+                    sums.add(shard, k, key[kept], at[kept])
+                    continue
+                kept = np.ones(len(key), bool)
                 first, counts, _ = grouped(key)
                 for lo in range(0, len(first), 100_000):
                     part = first[lo : lo + 100_000]
                     begin = at[part]
                     yield _batch([[shard.names[i] for i in shard.language[begin]], signed(key[part]), [shard.text(i, k) for i in begin], np.full(len(part), k, np.int32), counts[lo : lo + 100_000]], kinds, names)
+        if sums:
+            for columns in sums.rows():
+                yield _batch(list(columns), kinds, names)
 
     return given.mapInArrow(count, "language string, key long, phrase string, size int, count long")
 
@@ -234,21 +265,22 @@ def _looked_up(cuts: DataFrame, known: DataFrame, part: str, out: str, rows: int
     return dealt_join(cuts, written(keyed.join(uses, ["language", part])), ["language", part], "__uses", ["phrase"])
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, shard_words: int = 4_000_000, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, shard_words: int = 8_000_000, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(phrases, words): (language, phrase, size, count) of all phrases of 2 to 5 words with the support; the frequent words likewise, with the language's total where phrase is null."""
     spark = docs.sparkSession
     given = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("language"), F.col(f"`{text}`").alias("text"))
-    words = written(word_counts(given, shard_words).filter(F.col("word").isNull() | (F.col("count") >= support)))
+    words = written(word_counts(given, max(1, shard_words // 2)).filter(F.col("word").isNull() | (F.col("count") >= support)))
     totals = {r["language"]: r["count"] for r in words.filter("word IS NULL").collect()}
     frequent = _sent(words.filter("word IS NOT NULL").select("key"), most)
+    cores = spark.sparkContext.defaultParallelism
     # as few shards as memory and cores allow: the larger a shard, the higher its support
-    wanted = max(spark.sparkContext.defaultParallelism, -(-sum(totals.values()) // shard_words))
-    given = given.coalesce(wanted)
-    found = written(mined(given, totals, support, shard_words, frequent))
+    merged = given.coalesce(max(cores, -(-sum(totals.values()) // shard_words)))
+    found = written(mined(merged, totals, support, shard_words, frequent))
     hidden = found.filter("key IS NULL").select("language", F.col("over").alias("hidden"))
     keys = written(found.filter("key IS NOT NULL").join(small(hidden, len(totals)), "language").filter(F.col("over") + F.col("hidden") >= support).select("key"))
     candidates = _sent(keys, most)
-    counts = counted(given, shard_words, frequent, candidates)
+    # a task sums all its texts, so each candidate is shuffled as often as there are tasks
+    counts = counted(given.coalesce(2 * cores) if candidates else given, max(1, shard_words // 2), frequent, candidates)
     if candidates is None:
         counts = counts.join(keys.distinct(), "key", "left_semi")
     phrases = counts.groupBy("language", "phrase", "size").agg(F.sum("count").alias("count")).filter(F.col("count") >= support)
@@ -282,7 +314,7 @@ def maximal(phrases: DataFrame, share: int = 100) -> DataFrame:
     return phrases.join(inner, ["language", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("count"))).select("language", "phrase")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, top: int | None = 2000, shard_words: int = 4_000_000, most: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, top: int | None = 2000, shard_words: int = 8_000_000, most: int = 2_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's `top` maximal phrases by score, count and phrase (None: all)."""
     phrases, words = frequent_phrases(docs, text, lang, support, shard_words, most)
     kept = scored(phrases, words).join(maximal(phrases), ["language", "phrase"], "left_semi")
