@@ -9,7 +9,7 @@ from stratalith.functions import exprs, repo_rules, rules
 from stratalith.operators import code, knowledge, repository
 from stratalith.plans.register import query
 from stratalith.sources import sources
-from stratalith.sources.shared import written
+from stratalith.sources.shared import stored, written
 
 _WITH = f"WITH {sources.ALL_SQL}"
 _MODULES = r"mods AS (SELECT repo_id, regexp_replace(path, '\.[^./]*$', '') AS module, max(path) AS file FROM src GROUP BY ALL)"
@@ -41,7 +41,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.stored(spark, "symbols", sf_dir, lambda: written(code.symbols(_files(spark, sf_dir)).drop("is_async")))
+    return stored(spark, "symbols", sf_dir, lambda: written(code.symbols(_files(spark, sf_dir)).drop("is_async")))
 
 
 def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

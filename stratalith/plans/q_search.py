@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
-from stratalith.operators import retrieval, search
+from stratalith.operators import retrieval, search, vectors
 from stratalith.plans.register import query
-from stratalith.sources import bind, sources
+from stratalith.sources import bind
+from stratalith.sources.shared import stored
 
 _WORDS = f"regexp_extract_all(lower(text), '{rules.SEARCH_WORD}')"
 #: Stands for a user's question.
@@ -22,17 +23,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The stored index of the documents, made by the first question of a session."""
-    made: list[DataFrame] = []
-
-    def part(i: int):
-        def make() -> DataFrame:
-            if not made:
-                made.extend(retrieval.index(_docs(spark, sf_dir)))
-            return made[i]
-
-        return make
-
-    return tuple(sources.stored(spark, f"index {i}", sf_dir, part(i)) for i in (0, 1))
+    return stored(spark, "index", sf_dir, lambda: retrieval.index(_docs(spark, sf_dir)))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents), t AS (SELECT doc_id, len(words) AS n_terms, unnest(words) AS term FROM d), f AS (SELECT doc_id, n_terms, term, count(*) AS freq FROM t GROUP BY doc_id, n_terms, term)
@@ -80,6 +71,45 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_scores(bind.table(spark, sf_dir, "embeddings"), _ones()).orderBy(F.desc("similarity"), "vec_id").limit(72)
 
 
+def _vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The stored index of the embeddings, made by the first search of a session."""
+    table = bind.table(spark, sf_dir, "embeddings")
+    return stored(spark, "vectors", sf_dir, lambda: vectors.store(table, vectors.fit(table)))
+
+
+_DOT = exprs.dec_round_sql("list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), list_transform(e.embedding, lambda x: x::DOUBLE))", 4)
+
+
+def _neighbours_sql(where: str) -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id)::INT AS place FROM s) SELECT query_id, place, vec_id, similarity FROM r WHERE place <= 72"""
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    asked = bind.table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.search(_vector_index(spark, sf_dir), asked, 72, exact=True, where=where)
+
+
+@query(_neighbours_sql("true"))
+def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 72 nearest of every twentieth vector by the stored index, lists out of reach left unread."""
+    return _neighbours(spark, sf_dir)
+
+
+@query(_neighbours_sql("e.label <> 0"))
+def vector_neighbours_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among the vectors that a condition on the stored columns admits."""
+    return _neighbours(spark, sf_dir, "label <> 0")
+
+
+@query("SELECT label, count(*) AS vectors, min(vec_id) AS first, max(vec_id) AS last FROM embeddings WHERE vec_id % 7 <> 0 GROUP BY label UNION ALL SELECT -1, count(*), min(vec_id), max(vec_id) FROM embeddings WHERE vec_id % 7 = 0")
+def vector_store_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the store by label after every seventh vector was written again with another label."""
+    index = _vector_index(spark, sf_dir)
+    again = bind.table(spark, sf_dir, "embeddings").filter("vec_id % 7 = 0").withColumn("label", F.lit(-1))
+    return vectors.upsert(index, again).rows().groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
+
+
 _OVERLAP = exprs.dec_round_sql(f"len(list_intersect([{_Q}], coalesce({_WORDS}, []))) / {len(QUESTION)}", 4)
 
 

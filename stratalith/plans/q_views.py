@@ -11,6 +11,7 @@ from stratalith.plans import q_code
 from stratalith.plans.q_files import _taxonomy_sql
 from stratalith.plans.register import query
 from stratalith.sources import bind, sources
+from stratalith.sources.shared import stored
 
 _EXEC = "round(least(100.0, greatest(0.0, (security + debt + production + CASE WHEN container = 100 THEN cto ELSE 0 END) / (3.0::DOUBLE + CASE WHEN container = 100 THEN 1 ELSE 0 END)))::DECIMAL(38,10), 0)::BIGINT"
 
@@ -125,5 +126,5 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = q_code._files(spark, sf_dir).withColumn("doc_id", F.xxhash64("repo_id", "path"))
     chunks = files.select("doc_id", "path")
     near = files.select("doc_id", exprs.dec_round(F.pmod("doc_id", F.lit(1000)) / 1000, 4).alias("similarity"))
-    special = sources.stored(spark, "special", sf_dir, lambda: q_code.architecture_files(spark, sf_dir))
+    special = stored(spark, "special", sf_dir, lambda: q_code.architecture_files(spark, sf_dir))
     return retrieval.hybrid(chunks, near, *retrieval.index(files.select("doc_id", "text")), QUESTION, retrieval.pinned_files(QUESTION, special, files), 48)

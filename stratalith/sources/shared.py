@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: What stored() has made: tables by application, name and state of the input folder.
+_made: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,8 +39,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _state(spark: SparkSession, folder: str) -> tuple:
+    """Bytes, files and time of a folder: another state, another input."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(path)
+    return size.getLength(), size.getFileCount(), fs.getFileStatus(path).getModificationTime()
+
+
+def stored(spark: SparkSession, name: str, folder: str, make):
+    """What make() returns (tables that it writes), made once a session for each state of the input folder, until clean()."""
+    key = (spark.sparkContext.applicationId, name, folder, *_state(spark, folder))
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes what written() has put into the shared folder; results that still read from there are void then."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        del _made[key]
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalith.sources.shared import written
+from stratalith.sources.shared import stored, written
 
 #: language -> (path, text, symbols); {k} is the part's key and {s} its size. A symbol is (kind, name, owner, line, method, handler, orm).
 TEMPLATES = {
@@ -53,17 +53,6 @@ COMMON = [
 _FILE_SYMBOLS = {"shared/base.py": ("helper", 1), "tests/test_all.py": ("test_all", 1)}
 
 
-_made: dict[tuple[str, str], DataFrame] = {}
-
-
-def stored(spark: SparkSession, name: str, sf_dir: str, make) -> DataFrame:
-    """A written table that one session makes once for each folder, as a scan or an index would leave it."""
-    key = (spark.sparkContext.applicationId, f"{name} {sf_dir}")
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo_id, path, language, size, text."""
     return stored(spark, "files", sf_dir, lambda: written(_files(spark, sf_dir)))
