@@ -280,7 +280,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     keys = written(found.filter("key IS NOT NULL").join(small(hidden, len(totals)), "language").filter(F.col("over") + F.col("hidden") >= support).select("key"))
     candidates = _sent(keys, most)
     # a task sums all its texts, so each candidate is shuffled as often as there are tasks
-    counts = counted(given.coalesce(2 * cores) if candidates else given, max(1, shard_words // 2), frequent, candidates)
+    counts = counted(given.coalesce(2 * cores) if candidates else given, max(1, shard_words // 8), frequent, candidates)
     if candidates is None:
         counts = counts.join(keys.distinct(), "key", "left_semi")
     phrases = counts.groupBy("language", "phrase", "size").agg(F.sum("count").alias("count")).filter(F.col("count") >= support)
