@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,23 +31,41 @@ def rate_limited(requests: DataFrame, seconds: int, limit: int) -> DataFrame:
     """request_id, in_window (accepted requests of the client and path in the seconds before it), limited.
 
     A request is rejected if `limit` accepted ones lie in the window; rejected ones don't count later. After a pause longer
-    than the window nothing is remembered, so each busy period of a client and path is a group of its own, folded in order.
+    than the window nothing is remembered, so busy periods of a client and path are dealt and sorted apart; each is read
+    once, in order, with `limit` times in memory, however long it is.
     """
-    at = F.col("ts").cast("double")
-    order = Window.partitionBy("client", "path").orderBy("ts", "request_id")
-    new = F.coalesce((at - F.lag(at).over(order) > seconds).cast("int"), F.lit(0))
-    periods = requests.select("client", "path", "request_id", "ts", new.alias("new")).withColumn("period", F.sum("new").over(order))
-    hits = periods.groupBy("client", "path", "period").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "request_id"))).alias("hits"))
-    kind = hits.schema["hits"].dataType.elementType["request_id"].dataType.simpleString()
-    empty = F.struct(F.array().cast("array<double>").alias("log"), F.array().cast(f"array<struct<request_id:{kind},in_window:int>>").alias("out"))
-
-    def step(acc, hit):
-        log = F.filter(acc["log"], lambda t: t >= hit["at"] - seconds)
-        row = F.struct(hit["request_id"].alias("request_id"), F.size(log).alias("in_window"))
-        return F.struct(F.when(F.size(log) < limit, F.array_append(log, hit["at"])).otherwise(log).alias("log"), F.array_append(acc["out"], row).alias("out"))
-
-    rows = hits.select(F.explode(F.aggregate("hits", empty, step, lambda acc: acc["out"])).alias("x"))
-    return rows.select("x.request_id", "x.in_window", (F.col("x.in_window") >= limit).alias("limited"))
+    order = Window.partitionBy("client", "path").orderBy("at", "request_id")
+    new = F.coalesce((F.col("at") - F.lag("at").over(order) > seconds * 1_000_000).cast("int"), F.lit(0))
+    timed = requests.select("client", "path", "request_id", F.unix_micros("ts").alias("at"))
+    periods = timed.withColumn("new", new).withColumn("period", F.sum("new").over(order)).drop("new")
+    keys = ["client", "path", "period"]
+    kind = requests.select("request_id").schema["request_id"].dataType.simpleString()
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, log = None, deque()
+        for frame in frames:
+            counts = []
+            for *key, t in zip(*(frame[c] for c in (*keys, "at")), strict=True):
+                if key != last:
+                    last, log = key, deque()
+                while log and log[0] < t - seconds * 1_000_000:
+                    log.popleft()
+                counts.append(len(log))
+                if len(log) < limit:
+                    log.append(t)
+            n = pd.Series(counts, dtype="int32")
+            yield pd.DataFrame({"request_id": frame["request_id"].reset_index(drop=True), "in_window": n, "limited": n >= limit})
+
+    dealt = periods.repartition(*keys).sortWithinPartitions(*keys, "at", "request_id")
+    return dealt.mapInPandas(fold, f"request_id {kind}, in_window int, limited boolean")
+
+
+def expiries(requests: DataFrame, seconds: int) -> DataFrame:
+    """client, last, expired: each request after which nothing came from its client for so long, and when that was."""
+    following = F.lead("ts").over(Window.partitionBy("client").orderBy("ts", "request_id"))
+    rows = requests.select("client", F.col("ts").alias("last"), following.alias("following"))
+    late = F.col("last") + F.make_dt_interval(secs=F.lit(float(seconds)))
+    return rows.filter(F.col("following").isNull() | (F.col("following") > late)).select("client", "last", late.alias("expired"))
 
 
 def recent(requests: DataFrame, seconds: int) -> DataFrame:
