@@ -1,11 +1,14 @@
 """Main text of web pages by differencing with the page of the nearest URL.
 
-A page is cut into lines (blocks of text in page order); lines inside a menu, header, footer, sidebar, advert, form or
-comment section are left out. The pages of a host are put in the order of their paths; each is held against the neighbour
-with the longer common path. Their lines are aligned by a longest common subsequence, and shared lines are deleted,
-wherever they stand: what two neighbouring pages share is the site's, not the article's. A page with the same lines is a
-copy and says nothing about the site, so the next one with other lines is the neighbour; nor does a page that shares
-`copied` or more of the characters of both, a near copy, so the neighbour on the other side is taken then, if it is none.
+A page is cut into lines (blocks of text in page order), menus and all. The pages of a host are put in the order of their
+paths; each is held against the neighbour with the longer common path. Their lines are aligned by a longest common
+subsequence, and shared lines are deleted, wherever they stand: what two neighbouring pages share is the site's, not the
+article's. A page with the same lines is a copy and says nothing about the site, so the next one with other lines is the
+neighbour; nor does a page that shares `copied` or more of the characters of both outside menus and the like, a near
+copy, so the neighbour on the other side is taken then, if it is none.
+
+After that, lines inside a menu, header, footer, sidebar, advert, form or comment section go that no neighbour showed to
+be the site's: those of pages alone on their host, and those that a site makes anew for each page.
 
 Only a hash and a length of each line are shuffled to find neighbours: distinct (host, path, lines) are put into ranges of
 like size, where one pass over the sorted rows sees both neighbours. What lies at the end of a range is passed on to the
@@ -55,15 +58,15 @@ def _is_site(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(names & (_SITE - {"header", "footer"} if in_article else _SITE))
 
 
-def page_lines(html: str | None) -> list[str]:
-    """The lines of a page outside menus and the like."""
-    out: list[str] = []
+def page_blocks(html: str | None) -> list[tuple[str, bool]]:
+    """The lines of a page, each with whether it stands inside a menu or the like."""
+    out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    marked, skipped, depth, at = 0, "", 0, 0
+    marked, skipped, depth, site, open_sites, at = 0, "", 0, "", 0, 0
 
     def close() -> None:
         if text := " ".join(unescape("".join(parts)).split()):
-            out.append(text)
+            out.append((text, bool(site)))
         parts.clear()
 
     html = html or ""
@@ -75,24 +78,31 @@ def page_lines(html: str | None) -> list[str]:
         if not tag:
             continue
         tag = tag.lower()
+        single = tag in _VOID or attributes.endswith("/")
         if skipped:
-            if tag == skipped and not attributes.endswith("/"):
+            if tag == skipped and not single:
                 depth += -1 if closing else 1
                 skipped = skipped if depth else ""
             continue
-        if tag not in _INLINE:
+        if tag not in _INLINE or tag == site:
             close()
         elif tag == "br":
             parts.append(" ")
-        if closing:
-            marked = max(0, marked - (tag in _MARKED))
+        if site and tag == site and not single:
+            open_sites += -1 if closing else 1
+            site = site if open_sites else ""
+        elif closing:
+            marked = max(0, marked - (tag in _MARKED and not site))
         elif tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else len(html)
-        elif tag not in _VOID and not attributes.endswith("/"):
-            if tag in _NO_TEXT or _is_site(tag, attributes, marked > 0):
+        elif not single and tag in _NO_TEXT:
+            close()
+            skipped, depth = tag, 1
+        elif not single and not site:
+            if _is_site(tag, attributes, marked > 0):
                 close()
-                skipped, depth = tag, 1
+                site, open_sites = tag, 1
             else:
                 marked += tag in _MARKED
     if not skipped:
@@ -248,39 +258,44 @@ def deleted_lines(described: DataFrame, copied: float) -> DataFrame:
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", copied: float = 0.8) -> DataFrame:
-    """page_id, url, text, n_lines, n_deleted (shared with the neighbour) of each page."""
+    """page_id, url, text, n_lines, n_deleted (shared with the neighbour), n_listed (inside menus and the like, not shared)."""
     given = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 64):  # a few pages at a time
                 part = b.slice(i, 64)
-                texts = ["\n".join(page_lines(x)) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "lines"])
+                blocks = [page_blocks(x) for x in part.column(2).to_pylist()]
+                texts = pa.array(["\n".join(t for t, _ in x) for x in blocks], pa.string())
+                listed = pa.array([[n for n, (_, site) in enumerate(x) if site] for x in blocks], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts, listed], names=["page_id", "url", "lines", "listed"])
 
     url_part = lambda group: F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", group), F.lit(""))
-    lined = given.mapInArrow(cut, f"page_id {dict(given.dtypes)['page_id']}, url string, lines string")
-    keyed = lined.withColumns({"host": F.lower(url_part(1)), "path": url_part(2), "sig": F.md5("lines")})
+    lined = given.mapInArrow(cut, f"page_id {dict(given.dtypes)['page_id']}, url string, lines string, listed array<int>")
+    sig = F.md5(F.concat_ws("\n", "lines", F.array_join("listed", ",")))
+    keyed = lined.withColumns({"host": F.lower(url_part(1)), "path": url_part(2), "sig": sig})
     each = F.split("lines", "\n")
-    shape = [F.transform(each, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(each, F.length).alias("sizes")]
+    sizes = F.transform(each, lambda x, i: F.when(F.array_contains("listed", i), 0).otherwise(F.length(x)))
+    shape = [F.transform(each, lambda x: F.xxhash64(x)).alias("hashes"), sizes.alias("sizes")]
     shapes = keyed.filter("host <> '' AND lines <> ''").select("host", "path", "sig", *shape)
     distinct = shapes.groupBy("host", "path", "sig").agg(F.count(F.lit(1)).alias("n"), F.first("hashes").alias("hashes"), F.first("sizes").alias("sizes"))
     return _without(keyed, deleted_lines(written(distinct), copied))
 
 
 def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """The pages' texts without their deleted lines."""
+    """The pages' texts without their deleted lines, and without those inside menus and the like that the neighbour did not show."""
     joined = dealt_join(keyed, written(gone), ["host", "path", "sig"], "n", ["page_id"])
     lines = F.when(F.col("lines") == "", F.array().cast("array<string>")).otherwise(F.split("lines", "\n"))
     none = F.array().cast("array<int>")
-    cut = joined.withColumns({"gone": F.coalesce("gone", none), "lines": lines})
-    kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
-    return cut.select("page_id", "url", F.array_join(kept, "\n\n").alias("text"), (F.size("lines") - F.size("gone")).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_deleted"))
+    cut = joined.withColumns({"gone": F.coalesce("gone", none), "lines": lines}).withColumn("listed", F.array_except("listed", "gone"))
+    kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i) & ~F.array_contains("listed", i))
+    count = lambda c: F.size(c).cast("long")
+    return cut.select("page_id", "url", F.array_join(kept, "\n\n").alias("text"), count(kept).alias("n_lines"), count("gone").alias("n_deleted"), count("listed").alias("n_listed"))
 
 
 def op9_url_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_deleted")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_deleted", "n_listed")
 
 
 SQL: dict[str, str] = {}
