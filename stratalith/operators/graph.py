@@ -85,19 +85,27 @@ def dependency_traversal(edges: DataFrame, seeds: DataFrame, relations, depth: i
 def shortest_path(edges: DataFrame, start: str, end: str) -> DataFrame:
     """step, source, target of the edges of one shortest undirected path, no row without one; unweighted, of any length.
 
-    Distances are found level by level. On the way back each step takes the least neighbour that is one nearer to the
-    start, a lookup of one node in the table.
+    The search goes on from the end whose frontier has fewer rows, a level a time: one join with the edges, one with what
+    is seen. A frontier row carries its path (the least of those that lead to it), so the first node in both frontiers
+    gives the whole path; only row counts reach the driver.
     """
-    both = _both_ways(edges)
-    near = written(_reached(both, edges.sparkSession.createDataFrame([(start,)], "node string"), None, end))
-    found = near.filter(F.col("node") == end).select("distance").first()
-    steps, node = [], end
-    for d in range(found["distance"] if found else 0, 0, -1):
-        before = both.filter(F.col("a") == node).join(near.filter(F.col("distance") == d - 1), F.col("b") == F.col("node")).agg(F.min("b")).first()[0]
-        forward = not edges.filter((F.col("source") == before) & (F.col("target") == node)).isEmpty()
-        steps.append((d, before if forward else node, node if forward else before))
-        node = before
-    return edges.sparkSession.createDataFrame(steps[::-1], "step int, source string, target string")
+    both = written(_both_ways(edges).filter("a <> b").distinct())
+    session = edges.sparkSession
+    sides = [written(session.createDataFrame([(x, [x])], "node string, path array<string>")) for x in (start, end)]
+    seen, sizes = [s.select("node") for s in sides], [1, 1]
+    met = lambda: sides[0].join(sides[1].withColumnRenamed("path", "back"), "node")
+    while min(sizes) and met().isEmpty():
+        k = int(sizes[1] < sizes[0])
+        longer = sides[k].join(both, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("path").alias("path"))
+        sides[k] = written(longer.join(seen[k], "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")))
+        seen[k] = written(seen[k].unionByName(sides[k].select("node")))
+        sizes[k] = sides[k].count()
+    whole = met().select(F.concat("path", F.slice(F.reverse("back"), F.lit(2), F.size("back"))).alias("path")).agg(F.min("path").alias("path"))
+    each = whole.select("path", F.explode(F.expr("CASE WHEN size(path) > 1 THEN sequence(1, size(path) - 1) END")).alias("step"))
+    each = each.select("step", F.element_at("path", F.col("step")).alias("x"), F.element_at("path", F.col("step") + 1).alias("y"))
+    along = edges.select(F.col("source").alias("x"), F.col("target").alias("y"), F.lit(True).alias("along")).distinct()
+    turned = F.coalesce("along", F.lit(False))
+    return each.join(along, ["x", "y"], "left").select("step", F.when(turned, F.col("x")).otherwise(F.col("y")).alias("source"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("target"))
 
 
 def dependency_overlap(uses: DataFrame, most: int = 160) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalith.functions import exprs
+from stratalith.functions import exprs, rules
 from stratalith.operators.knowledge import ranked, team
 
 # Moves between the states of a job that count.
@@ -51,6 +51,25 @@ def owners(spaces: DataFrame, found: DataFrame, risks: DataFrame) -> DataFrame:
     return one.groupBy("team").agg(F.count(F.lit(1)).alias("domains"), F.sum("r").alias("routes"), F.sum("s").alias("symbols"), F.max("risk").alias("worst"))
 
 
+def service_nodes(found: DataFrame, hot: DataFrame, risks: DataFrame, most: int | None = 120) -> DataFrame:
+    """repo_id, path, domain, layer, routes, symbols, risk of the files that services (found) or hotspots name, the first by path."""
+    named = found.select("repo_id", "path").unionByName(hot.select("repo_id", "path")).distinct()
+    out = named.join(found.select("repo_id", "path", "routes", "symbols"), ["repo_id", "path"], "left").join(risks.select("repo_id", "path", "risk"), ["repo_id", "path"], "left").fillna(0, ["routes", "symbols", "risk"])
+    out = out.select("repo_id", "path", exprs.domain(F.col("path"), stem=True).alias("domain"), exprs.case_contains(F.col("path"), rules.EXPLORER_LAYERS, "Application").alias("layer"), "routes", "symbols", "risk")
+    return out if most is None else ranked(out, most, "path")
+
+
+def service_edges(links: DataFrame, nodes: DataFrame, risks: DataFrame, most: int = 240) -> DataFrame:
+    """repo_id, source, target, relation, risk (the higher of both ends) of the edges that touch a service node, the first by their ends."""
+    touched = nodes.select("repo_id", "path").distinct()
+    hit = lambda c: links.join(touched.withColumnRenamed("path", c), ["repo_id", c], "left_semi").select("repo_id", "source", "target", "relation")
+    both = hit("source").unionByName(hit("target")).distinct()
+    for c in ("source", "target"):
+        both = both.join(risks.select("repo_id", F.col("path").alias(c), F.col("risk").alias(f"{c}_risk")), ["repo_id", c], "left")
+    risk = F.greatest(F.coalesce("source_risk", F.lit(0)), F.coalesce("target_risk", F.lit(0)))
+    return ranked(both.select("repo_id", "source", "target", "relation", risk.alias("risk")), most, "source", "target", "relation")
+
+
 def job_states(moves: DataFrame) -> DataFrame:
     """job_id, state, moves, refused of events (job_id, position, wanted): moves that are not allowed change nothing.
 

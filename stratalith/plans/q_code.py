@@ -161,6 +161,15 @@ def blast_radius_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.reach(knowledge.dependency_edges(_files(spark, sf_dir), _symbols(spark, sf_dir)))
 
 
+@query(f"""{_WITH}, {_LINKS} SELECT repo_id, node, true AS forward_close, true AS backward_close FROM (SELECT repo_id, source AS node FROM links UNION SELECT repo_id, target FROM links)""")
+def reach_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sketched counts lie within five standard errors of the exact ones."""
+    links = written(knowledge.dependency_edges(_files(spark, sf_dir), _symbols(spark, sf_dir)))
+    guess = knowledge.reach_estimated(links).toDF("repo_id", "node", "f", "b")
+    near = lambda a, b: (F.abs(F.col(a) - F.col(b)) <= 1 + 0.08 * F.col(b))
+    return knowledge.reach(links).join(guess, ["repo_id", "node"], "left").select("repo_id", "node", near("f", "forward").alias("forward_close"), near("b", "backward").alias("backward_close"))
+
+
 _FRAMEWORKS = "list_filter([CASE WHEN n % 2 = 0 THEN 'FastAPI' END, CASE WHEN n % 2 = 0 THEN 'Flask' END, CASE WHEN n % 3 = 1 THEN 'Next.js' END, CASE WHEN n % 3 = 1 THEN 'React' END, CASE WHEN n % 7 = 0 THEN 'SQL/database' END], lambda x: x IS NOT NULL)"
 _MANAGERS = "list_filter([CASE WHEN n % 3 = 1 THEN 'npm' END, CASE WHEN n % 2 = 0 THEN 'pip/uv' END], lambda x: x IS NOT NULL)"
 _STACK = f"stack AS (SELECT repo_id, n, list_sort({_FRAMEWORKS}) AS frameworks, list_sort({_MANAGERS}) AS package_managers, CASE WHEN n % 3 = 0 THEN ['Docker'] ELSE [] END AS build_tools, n % 5 <> 0 AS has_ci, n % 3 = 0 AS docker FROM brands)"

@@ -10,6 +10,7 @@ from stratalith.operators import code, evidence, graph, knowledge, payloads, rep
 from stratalith.plans import q_code
 from stratalith.plans.register import query
 from stratalith.sources import bind, sources
+from stratalith.sources.shared import written
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,40 @@ def architecture_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.services(q_code._symbols(spark, sf_dir))
 
 
+_SERVED = f"""{sources.ALL_SQL}, {q_code._HOT}, c AS (SELECT repo_id, path, count(*) FILTER (kind = 'route') AS routes, count(*) FILTER (kind IN ('class', 'function', 'method')) AS symbols FROM sym GROUP BY ALL),
+sv AS (SELECT * FROM c WHERE routes > 0 OR symbols > 0 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY routes DESC, symbols DESC, path) <= 60), a AS (SELECT repo_id, path, sum({q_code._RISK}) AS a FROM found GROUP BY ALL),
+pr AS (SELECT repo_id, path, least(100, coalesce(a, 0) + coalesce(3 * connectivity, 0))::BIGINT AS risk FROM src LEFT JOIN a USING (repo_id, path) LEFT JOIN hot USING (repo_id, path)),
+sn AS (SELECT repo_id, path, {q_code._DOMAIN} AS domain, {exprs.case_contains_sql("path", rules.EXPLORER_LAYERS, "Application")} AS layer, coalesce(routes, 0) AS routes, coalesce(symbols, 0) AS symbols, coalesce(risk, 0) AS risk
+  FROM (SELECT repo_id, path FROM sv UNION SELECT repo_id, path FROM hot) LEFT JOIN sv USING (repo_id, path) LEFT JOIN pr USING (repo_id, path))"""
+
+
+def _served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, all service nodes, risks) of the made repositories."""
+    files, symbols, findings = q_code._given(spark, sf_dir)
+    links = written(knowledge.relations(files, symbols))
+    hot = knowledge.hotspots(files, links, findings)
+    risks = written(repository.path_risk(files, findings, hot, repository.debt_items(code.python_metrics(files))))
+    return links, reports.service_nodes(reports.services(symbols), hot, risks, None), risks
+
+
+@query(f"WITH {_SERVED} SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY path) <= 120")
+def service_explorer_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.ranked(_served(spark, sf_dir)[1], 120, "path")
+
+
+@query(f"""WITH {_SERVED}, se AS (SELECT DISTINCT rel.repo_id, source, target, relation FROM rel WHERE EXISTS (SELECT 1 FROM sn WHERE sn.repo_id = rel.repo_id AND sn.path IN (source, target)))
+SELECT se.repo_id, source, target, relation, greatest(coalesce(x.risk, 0), coalesce(y.risk, 0)) AS risk FROM se LEFT JOIN pr x ON x.repo_id = se.repo_id AND x.path = source LEFT JOIN pr y ON y.repo_id = se.repo_id AND y.path = target
+QUALIFY row_number() OVER (PARTITION BY se.repo_id ORDER BY source, target, relation) <= 240""")
+def service_explorer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.service_edges(*_served(spark, sf_dir))
+
+
+@query(f"WITH {_SERVED} SELECT repo_id, path, risk FROM sn QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY risk DESC, path) <= 8")
+def high_risk_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _served(spark, sf_dir)[1]
+    return knowledge.ranked(nodes, 8, F.desc("risk"), "path").select("repo_id", "path", "risk")
+
+
 @query(f"""WITH {sources.ALL_SQL}, {q_code._HOT}, {q_code._SPACES}, c AS (SELECT repo_id, path, count(*) FILTER (kind = 'route') AS routes, count(*) FILTER (kind IN ('class', 'function', 'method')) AS symbols FROM sym GROUP BY ALL), sv1 AS (SELECT * FROM c WHERE routes > 0 OR symbols > 0 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY routes DESC, symbols DESC, path) <= 60),
 i AS (SELECT repo_id, {q_code._DOMAIN} AS name, sum(routes) AS r, sum(symbols) AS s FROM sv1 GROUP BY ALL), a AS (SELECT repo_id, path, sum({q_code._RISK}) AS a FROM found GROUP BY ALL), pr AS (SELECT repo_id, path, least(100, coalesce(a, 0) + coalesce(3 * connectivity, 0)) AS risk FROM src LEFT JOIN a USING (repo_id, path) LEFT JOIN hot USING (repo_id, path)),
 w AS (SELECT repo_id, {q_code._DOMAIN} AS name, max(risk) AS risk FROM pr WHERE risk > 0 GROUP BY ALL)
