@@ -40,6 +40,8 @@ _PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _BREAK = _PIECE_END.copy()
 _BREAK[[0x20, 0x09]] = True
 LONGEST = 5
+#: Words that are looked at at once, and of shards with texts.
+_RUN, _COUNTED, _SUMMED = 1 << 20, 4_000_000, 1_000_000
 _POWER = np.array([pow(0xD6E8FEB86659FD93, i, 2**64) for i in range(LONGEST)], np.uint64)
 
 
@@ -48,7 +50,7 @@ def _salt(language: str) -> np.uint64:
 
 
 class Shard:
-    """Words of a run of texts: key (with the language), language (a number of names), piece; with text also data, start, end."""
+    """Words of a run of texts: key (with the language), language (a number of names), piece, start and end in data."""
 
     def __init__(self, names: list[str], parts: list[tuple]):
         """Takes the parts out of the list, column by column, so that they and their union aren't held twice."""
@@ -58,11 +60,10 @@ class Shard:
         self.key, self.language = np.concatenate(key), np.concatenate(language)
         del key, language
         self.piece = np.cumsum(np.concatenate(new), dtype=np.int32)
-        if data[0] is not None:
-            at = np.cumsum([0, *map(len, data)])
-            kind = np.int32 if at[-1] < 2**31 else np.int64
-            self.data = np.concatenate(data)
-            self.start, self.end = (np.concatenate([x + a for x, a in zip(c, at[:-1], strict=True)]).astype(kind) for c in (start, end))
+        at = np.cumsum([0, *map(len, data)])
+        kind = np.int32 if at[-1] < 2**31 else np.int64
+        self.data = np.concatenate(data)
+        self.start, self.end = (np.concatenate([x + a for x, a in zip(c, at[:-1], strict=True)]).astype(kind) for c in (start, end))
 
     def words(self) -> np.ndarray:
         """Number of words of each language."""
@@ -72,32 +73,108 @@ class Shard:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[first : first + k], self.end[first : first + k], strict=True)).decode("utf-8", "replace")
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int, text: bool = True) -> Iterator[Shard]:
-    """Shards of whole texts (columns: language, text) that end with the text by which they reach `most` words."""
-    names: dict[str, int] = {}
-    parts: list[tuple] = []
-    n = 0
+def _read(batches: Iterator[pa.RecordBatch], names: dict[str, int]) -> Iterator[tuple]:
+    """(key, language, new, data, start, end) of the words of each run of whole texts (columns: language, text)."""
     for b in batches:
         code = np.array([names.setdefault(x, len(names)) for x in b.column(0).to_pylist()], np.int32)
         salts = np.array([_salt(x) for x in names], np.uint64)
         for lo, hi, data, at in runs(b.column(1)):
             low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
             w = Words(low, at, space=_BREAK)
-            if not w.n:
-                continue
-            language = code[lo:hi][w.doc]
-            ended = np.cumsum(_PIECE_END[low], dtype=np.int64)[w.start]
-            new = np.ones(w.n, bool)
-            new[1:] = (w.doc[1:] != w.doc[:-1]) | (ended[1:] != ended[:-1])
-            parts.append((mix(w.hash ^ salts[language]), language, new, *((low, w.start, w.end) if text else (None, None, None))))
-            n += w.n
-            if n >= most:
-                yield Shard(list(names), parts)
-                n = 0
+            if w.n:
+                language = code[lo:hi][w.doc]
+                ended = np.cumsum(_PIECE_END[low], dtype=np.int64)[w.start]
+                new = np.ones(w.n, bool)
+                new[1:] = (w.doc[1:] != w.doc[:-1]) | (ended[1:] != ended[:-1])
+                yield mix(w.hash ^ salts[language]), language, new, low, w.start, w.end
+
+
+def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
+    """Shards of whole texts that end with the text by which they reach `most` words."""
+    names: dict[str, int] = {}
+    parts: list[tuple] = []
+    n = 0
+    for part in _read(batches, names):
+        parts.append(part)
+        n += len(part[0])
+        if n >= most:
+            yield Shard(list(names), parts)
+            n = 0
     if parts:
         yield Shard(list(names), parts)
 
 
+class Keys:
+    """A shard without its texts, for mining: 11 bytes a word, filled in place."""
+
+    def __init__(self, most: int):
+        self.n, self.names = 0, []
+        self.key, self.language, self.new = np.empty(most, np.uint64), np.empty(most, np.int32), np.empty(most, bool)
+
+    def add(self, key: np.ndarray, language: np.ndarray, new: np.ndarray) -> None:
+        if self.n + len(key) > len(self.key):
+            size = self.n + len(key)
+            self.key, self.language, self.new = (np.concatenate([x[: self.n], np.empty(size - self.n, x.dtype)]) for x in (self.key, self.language, self.new))
+        at = slice(self.n, self.n + len(key))
+        self.key[at], self.language[at], self.new[at] = key, language, new
+        self.n += len(key)
+
+    def _phrases(self, ok: np.ndarray, code: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first words, keys) of a language's phrases of k words where ok, a bounded run at a time."""
+        for lo in range(0, len(ok), _RUN):
+            at = np.nonzero(ok[lo : lo + _RUN] & (self.language[lo : lo + _RUN][: len(ok) - lo] == code))[0] + lo
+            raw = self.key[at]
+            for j in range(1, k):
+                raw += self.key[at + j] * _POWER[j]
+            yield at, mix(raw + np.uint64(k))
+
+    def frequent(self, allowed: np.ndarray | None, hidden: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(language, keys, counts) of the phrases that occur more often than hidden says for their language, level by level.
+
+        A phrase is counted only if both its parts of one word less are frequent. A run of equal sorted keys is longer than
+        `hidden` where a key equals the one `hidden` places on, so no table of all phrases is needed.
+        """
+        ok = np.ones(self.n, bool)
+        if allowed is not None:
+            for lo in range(0, self.n, _RUN):
+                ok[lo : lo + _RUN] = held(self.key[lo : min(lo + _RUN, self.n)], allowed)
+        seen = np.unique(self.language[: self.n])
+        for k in range(2, longest + 1):
+            both = ok[:-1] & ok[1:]
+            if k == 2:
+                both &= ~self.new[1 : self.n]  # longer phrases overlap in a word, so they lie in one piece if their parts do
+            ok = np.zeros(len(both), bool)
+            for code in seen:
+                parts = [key for _, key in self._phrases(both, code, k)]
+                key = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+                del parts
+                key.sort()
+                far = int(hidden[code])
+                known = np.unique(key[: len(key) - far][key[far:] == key[: len(key) - far]]) if far else np.unique(key)
+                counts = np.searchsorted(key, known, "right") - np.searchsorted(key, known, "left")
+                del key
+                if not len(known):
+                    continue
+                yield code, known, counts
+                for at, found in self._phrases(both, code, k):
+                    ok[at] = held(found, known)
+
+
+def key_shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Keys]:
+    """Shards without texts that end with the text by which they reach `most` words."""
+    names: dict[str, int] = {}
+    shard = Keys(most + _RUN)
+    for key, language, new, *_ in _read(batches, names):
+        shard.add(key, language, new)
+        if shard.n >= most:
+            shard.names = list(names)
+            yield shard
+            shard.n = 0
+    if shard.n:
+        shard.names = list(names)
+        yield shard
+
+
 def levels(shard: Shard, allowed: np.ndarray | None, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(k, key, at) for k = 2 .. longest: keys and first words of the phrases of k words whose two parts of k - 1 are kept.
 
@@ -168,28 +245,15 @@ def mined(given: DataFrame, totals: dict[str, int], support: int, shard_words: i
     kinds, names = [pa.string(), pa.int64(), pa.int64()], ["language", "key", "over"]
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, shard_words, text=False):
-            words = shard.words()
+        for shard in key_shards(batches, shard_words):
+            words = np.bincount(shard.language[: shard.n], minlength=len(shard.names))
             hidden = np.array([local_support(support, int(w), totals[x]) - 1 if w else 0 for w, x in zip(words, shard.names, strict=True)], np.int64)
             seen = np.nonzero(words)[0]
             yield _batch([[shard.names[i] for i in seen], [None] * len(seen), hidden[seen]], kinds, names)
-            steps = levels(shard, held(shard.key, frequent.value) if frequent else None)
-            kept = None
-            while True:
-                try:
-                    _, key, at = steps.send(kept)
-                except StopIteration:
-                    break
-                kept = np.zeros(len(key), bool)
-                for code in seen:
-                    own = np.nonzero(shard.language[at] == code)[0]
-                    known, counts = np.unique(key[own], return_counts=True)
-                    good = counts > hidden[code]
-                    known, counts = known[good], counts[good]
-                    kept[own] = held(key[own], known)
-                    for lo in range(0, len(known), 500_000):
-                        part = slice(lo, lo + 500_000)
-                        yield _batch([pa.repeat(shard.names[code], len(known[part])), signed(known[part]), counts[part] - hidden[code]], kinds, names)
+            for code, known, counts in shard.frequent(frequent.value if frequent else None, hidden):
+                for lo in range(0, len(known), 500_000):
+                    part = slice(lo, lo + 500_000)
+                    yield _batch([pa.repeat(shard.names[code], len(known[part])), signed(known[part]), counts[part] - hidden[code]], kinds, names)
 
     found = given.mapInArrow(mine, "language string, key long, over long")
     return found.groupBy("language", "key").agg(F.sum("over").alias("over"))
@@ -265,11 +329,11 @@ def _looked_up(cuts: DataFrame, known: DataFrame, part: str, out: str, rows: int
     return dealt_join(cuts, written(keyed.join(uses, ["language", part])), ["language", part], "__uses", ["phrase"])
 
 
-def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, shard_words: int = 8_000_000, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, shard_words: int = 20_000_000, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(phrases, words): (language, phrase, size, count) of all phrases of 2 to 5 words with the support; the frequent words likewise, with the language's total where phrase is null."""
     spark = docs.sparkSession
     given = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("language"), F.col(f"`{text}`").alias("text"))
-    words = written(word_counts(given, max(1, shard_words // 2)).filter(F.col("word").isNull() | (F.col("count") >= support)))
+    words = written(word_counts(given, min(shard_words, _COUNTED)).filter(F.col("word").isNull() | (F.col("count") >= support)))
     totals = {r["language"]: r["count"] for r in words.filter("word IS NULL").collect()}
     frequent = _sent(words.filter("word IS NOT NULL").select("key"), most)
     cores = spark.sparkContext.defaultParallelism
@@ -280,7 +344,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     keys = written(found.filter("key IS NOT NULL").join(small(hidden, len(totals)), "language").filter(F.col("over") + F.col("hidden") >= support).select("key"))
     candidates = _sent(keys, most)
     # a task sums all its texts, so each candidate is shuffled as often as there are tasks
-    counts = counted(given.coalesce(2 * cores) if candidates else given, max(1, shard_words // 8), frequent, candidates)
+    counts = counted(given.coalesce(2 * cores) if candidates else given, min(shard_words, _SUMMED), frequent, candidates)
     if candidates is None:
         counts = counts.join(keys.distinct(), "key", "left_semi")
     phrases = counts.groupBy("language", "phrase", "size").agg(F.sum("count").alias("count")).filter(F.col("count") >= support)
@@ -314,7 +378,7 @@ def maximal(phrases: DataFrame, share: int = 100) -> DataFrame:
     return phrases.join(inner, ["language", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("count"))).select("language", "phrase")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, top: int | None = 2000, shard_words: int = 8_000_000, most: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", support: int = 100, top: int | None = 2000, shard_words: int = 20_000_000, most: int = 2_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's `top` maximal phrases by score, count and phrase (None: all)."""
     phrases, words = frequent_phrases(docs, text, lang, support, shard_words, most)
     kept = scored(phrases, words).join(maximal(phrases), ["language", "phrase"], "left_semi")

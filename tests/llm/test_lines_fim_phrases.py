@@ -210,7 +210,7 @@ def texts(n=400):
     return [*rows, ("en", None), ("en", ""), ("fr", " .,; "), ("en", rows[0][1]), ("en", rows[0][1])]
 
 
-@pytest.mark.parametrize("shard_words,most", [(8_000_000, 2_000_000), (700, 2_000_000), (1, 2_000_000), (700, 0)])
+@pytest.mark.parametrize("shard_words,most", [(20_000_000, 2_000_000), (700, 2_000_000), (1, 2_000_000), (700, 0)])
 def test_phrases_against_plain_python(spark, shard_words, most):
     """Large, small and single-text shards; keys sent to the tasks, or matched by a join."""
     rows = texts()
