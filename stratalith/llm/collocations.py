@@ -149,7 +149,7 @@ class Keys:
                 key = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
                 del parts
                 key.sort()
-                far = int(hidden[code])
+                far = min(int(hidden[code]), len(key))
                 known = np.unique(key[: len(key) - far][key[far:] == key[: len(key) - far]]) if far else np.unique(key)
                 counts = np.searchsorted(key, known, "right") - np.searchsorted(key, known, "left")
                 del key

@@ -234,6 +234,13 @@ def test_wide_products_are_exact(spark):
     assert collocations.scored(phrases, words).first()["score"] == 1000 * big * (10**14 + 3) // ((big + 11) * (big + 5))
 
 
+def test_languages_with_fewer_phrases_than_the_support(spark):
+    """Short texts of many languages: a shard has fewer phrases of a language than may stay hidden."""
+    rows = [(f"l{i % 9}", "one two three " * (i % 7) + "four") for i in range(60)]
+    out = collocations.collocations(frame(spark, rows, "lang string, text string").coalesce(1), support=25)
+    assert Counter(map(tuple, out.collect())) == plain_phrases(rows, 25)
+
+
 def test_phrases_of_empty_tables(spark):
     assert collocations.collocations(frame(spark, [], "lang string, text string")).count() == 0
     assert collocations.collocations(frame(spark, [("en", None)], "lang string, text string")).count() == 0
