@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
+from stratalith.operators.containment import contained
+from stratalith.sources.shared import written
 
 # Files and words that make a change special.
 DEPENDENCY_FILES = ("requirements.txt", "pyproject.toml", "poetry.lock", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "go.mod", "go.sum", "Cargo.toml", "Cargo.lock", "pom.xml", "build.gradle", "Dockerfile", "docker-compose.yml")
@@ -40,19 +42,11 @@ def sensitive_changes(changed: DataFrame) -> DataFrame:
 
 
 def related_tests(changed: DataFrame, tests: DataFrame) -> DataFrame:
-    """pr, test: tests (path) whose path holds the stem of a changed file, in small letters.
-
-    Containment becomes equality: every stretch of a test's path that ends and begins where a letter or digit does is
-    offered, and stems are looked up among them. A stem that begins or ends inside a word is offered too, as all
-    substrings of the distinct lengths of stems are cut from the paths; stems are short and their lengths few.
-    """
+    """pr, test: tests (path) whose path holds the stem of a changed file, in small letters; one automaton looks for all stems."""
     stem = F.lower(F.split(exprs.file_name(F.col("path")), r"\.")[0])
-    stems = changed.select("pr", stem.alias("stem")).filter("stem <> ''").distinct()
-    lengths = F.broadcast(stems.agg(F.array_sort(F.collect_set(F.length("stem"))).alias("lengths")))  # one row: a path's part has 255 characters at most
-    low = tests.select(F.col("path").alias("test"), F.lower("path").alias("low")).crossJoin(lengths)
-    at = lambda n: F.when(F.length("low") >= n, F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.substring(F.col("low"), i, n))).otherwise(F.array().cast("array<string>"))
-    offered = low.select("test", F.explode(F.array_distinct(F.flatten(F.transform("lengths", at)))).alias("stem"))
-    return offered.join(stems, "stem").select("pr", "test").distinct()
+    stems = written(changed.select("pr", stem.alias("needle")).filter("needle <> ''").distinct())
+    found = contained(tests.select(F.col("path").alias("test")).distinct(), stems, "test", "needle", ["test"])
+    return found.join(stems, "needle").select("pr", "test").distinct()
 
 
 def assessment(scores: DataFrame, changed: DataFrame, risks: DataFrame, related: DataFrame, any_tests: bool, deps: DataFrame, apis: DataFrame, commits: DataFrame) -> DataFrame:

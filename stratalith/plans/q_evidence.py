@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
-from stratalith.operators import code, evidence, graph, knowledge, payloads, reports, repository, sarif
+from stratalith.operators import code, containment, evidence, graph, knowledge, payloads, reports, repository, sarif
 from stratalith.plans import q_code
 from stratalith.plans.register import query
 from stratalith.sources import bind, sources
@@ -202,3 +202,66 @@ def active_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = bind.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     last = F.broadcast(events.agg(F.max("ts").alias("now")))  # one row
     return events.crossJoin(last).filter(F.col("ts") >= F.col("now") - F.expr("INTERVAL 24 HOURS")).agg(F.countDistinct("user_id").alias("clients"), F.count(F.lit(1)).alias("requests"))
+
+
+_DESCRIBED = exprs.case_contains_sql("path", rules.SERVICE_TEXTS, "Behaviour of the application")
+_ASKED = f"""{sources.ALL_SQL}, {q_code._BAD}, {q_code._SPACES}, qs AS (SELECT p_partkey AS question_id, 'What does the Server do with ' || p_name AS text FROM part WHERE p_partkey % 10 < 4 AND p_partkey % 4 = 3),
+ck AS (SELECT p_partkey AS question_id, src.repo_id, CASE p_partkey % 3 WHEN 0 THEN path WHEN 1 THEN 'old/' || upper(path) ELSE string_split(path, '/')[-1] END AS path
+  FROM part JOIN src ON src.repo_id = p_brand AND regexp_extract(src.path, '([0-9]+)\\.[a-zA-Z]+$', 1) = p_partkey::VARCHAR AND p_partkey % 10 < 4)"""
+
+
+def _spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.domains(*q_code._given(spark, sf_dir)).withColumnRenamed("sample_files", "samples")
+
+
+@query(f"""WITH {_ASKED}, m AS (SELECT question_id, repo_id, name FROM qs, spaces WHERE contains(lower(text), lower(name))
+UNION SELECT question_id, spaces.repo_id, name FROM ck JOIN spaces ON ck.repo_id = spaces.repo_id WHERE len(list_filter(sample_files, lambda x: contains(lower(x), lower(ck.path)) OR contains(lower(ck.path), lower(x)))) > 0)
+SELECT question_id, repo_id, name AS service, role, CASE WHEN security_findings > 0 THEN 'high' WHEN routes > 0 THEN 'medium' ELSE 'low' END AS risk FROM m JOIN spaces USING (repo_id, name)
+QUALIFY row_number() OVER (PARTITION BY question_id, repo_id ORDER BY file_count DESC, name) <= 8""")
+def affected_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services that questions name, or whose files lie in the paths of what was found for them."""
+    part = bind.table(spark, sf_dir, "part").filter("p_partkey % 10 < 4")
+    questions = part.filter("p_partkey % 4 = 3").select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("What does the Server do with "), "p_name").alias("text"))
+    files = sources.files(spark, sf_dir).select("repo_id", "path", F.regexp_extract("path", r"([0-9]+)\.[a-zA-Z]+$", 1).alias("number"))
+    ends = files.join(part.select(F.col("p_partkey").alias("question_id"), F.col("p_partkey").cast("string").alias("number"), F.col("p_brand").alias("repo_id")), ["repo_id", "number"])
+    path = F.when(F.col("question_id") % 3 == 0, F.col("path")).when(F.col("question_id") % 3 == 1, F.concat(F.lit("old/"), F.upper("path"))).otherwise(exprs.file_name(F.col("path")))
+    return containment.affected_services(questions, ends.select("question_id", "repo_id", path.alias("path")), _spaces(spark, sf_dir))
+
+
+@query(f"""WITH {sources.ALL_SQL}, {q_code._BAD}, {q_code._SPACES}, c AS (SELECT repo_id, path FROM src WHERE size % 3 = 0)
+SELECT c.repo_id, name, count(DISTINCT path) AS changed_files FROM spaces JOIN c ON c.repo_id = spaces.repo_id WHERE contains(lower(path), lower(name)) OR list_contains(sample_files, path) GROUP BY ALL""")
+def impacted_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains whose name or samples a change touches."""
+    return containment.impacted(_spaces(spark, sf_dir), sources.files(spark, sf_dir).filter("size % 3 = 0").select("repo_id", "path"))
+
+
+_INTENTS = ", ".join(f"('{i}', [{', '.join(map(exprs.quoted, ts))}])" for i, ts in containment.FLOW_INTENTS.items())
+
+
+def _flow_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, symbols, _ = q_code._given(spark, sf_dir)
+    joined = lambda *c: F.concat_ws(" ", *c)
+    row = lambda df, kind, name, detail, about: df.select("repo_id", F.lit(kind).alias("kind"), "path", name.alias("name"), detail.alias("detail"), about.alias("about"))
+    routes, models = (symbols.filter(F.col("kind") == k).drop("kind") for k in ("route", "model"))
+    described = exprs.case_contains(F.col("path"), rules.SERVICE_TEXTS, "Behaviour of the application")
+    parts = row(routes, "route", joined("method", "name"), F.coalesce(F.nullif("handler", F.lit("")), "name"), joined("name", F.coalesce("handler", F.lit("")), "path"))
+    parts = parts.unionByName(row(reports.services(symbols), "service", F.col("path"), described, joined("path", described)))
+    return parts.unionByName(row(models, "model", F.col("name"), F.col("path"), joined("name", "path")))
+
+
+@query(f"""WITH {sources.ALL_SQL}, c AS (SELECT repo_id, path, count(*) FILTER (kind = 'route') AS r, count(*) FILTER (kind IN ('class', 'function', 'method')) AS s FROM sym GROUP BY ALL),
+sv AS (SELECT * FROM c WHERE r > 0 OR s > 0 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY r DESC, s DESC, path) <= 60),
+parts AS (SELECT DISTINCT repo_id, kind, path, concat_ws(' ', method, name) AS name, coalesce(nullif(handler, ''), name) AS detail, concat_ws(' ', name, coalesce(handler, ''), path) AS about FROM sym WHERE kind = 'route'
+UNION ALL SELECT repo_id, 'service', path, path, {_DESCRIBED}, path || ' ' || {_DESCRIBED} FROM sv UNION ALL SELECT DISTINCT repo_id, kind, path, name, path, name || ' ' || path FROM sym WHERE kind = 'model'),
+w(intent, ts) AS (VALUES {_INTENTS}), m AS (SELECT repo_id, intent, kind FROM parts, w WHERE len(list_filter(ts, lambda t: contains(lower(about), t))) > 0),
+st AS (SELECT repo_id, 'data_flow' AS intent, kind FROM parts WHERE kind IN ('route', 'model') AND NOT EXISTS (SELECT 1 FROM m WHERE m.repo_id = parts.repo_id AND m.kind = parts.kind AND m.intent = 'data_flow') QUALIFY row_number() OVER (PARTITION BY repo_id, kind) <= 6),
+n AS (SELECT repo_id, intent, count(*) FILTER (kind = 'route') AS routes, count(*) FILTER (kind = 'service') AS services, count(*) FILTER (kind = 'model') AS models FROM (SELECT * FROM m UNION ALL SELECT * FROM st) GROUP BY ALL)
+SELECT b.repo_id, w.intent, coalesce(routes, 0) AS routes, coalesce(services, 0) AS services, coalesce(models, 0) AS models, 0::BIGINT AS external,
+  CASE WHEN routes > 0 AND (services > 0 OR models > 0) THEN 'high' WHEN routes > 0 OR services > 0 OR models > 0 THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT DISTINCT repo_id FROM src) b CROSS JOIN w LEFT JOIN n ON n.repo_id = b.repo_id AND n.intent = w.intent""")
+def request_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What belongs to each request flow of each repository, and how sure that is."""
+    members = written(containment.flow_members(_flow_parts(spark, sf_dir)))
+    layer = exprs.case_contains(F.col("path"), rules.EXPLORER_LAYERS, "Application")
+    found = containment.request_flows(members, containment.flow_steps(members, layer), sources.files(spark, sf_dir))
+    return found.select("repo_id", "intent", "routes", "services", "models", "external", "confidence")
