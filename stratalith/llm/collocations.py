@@ -245,7 +245,7 @@ def mined(given: DataFrame, totals: dict[str, int], support: int, shard_words: i
     kinds, names = [pa.string(), pa.int64(), pa.int64()], ["language", "key", "over"]
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in key_shards(batches, shard_words):
+        for shard in key_shards(batches, shard_words + shard_words // 2):  # a task with a little more has no small rest
             words = np.bincount(shard.language[: shard.n], minlength=len(shard.names))
             hidden = np.array([local_support(support, int(w), totals[x]) - 1 if w else 0 for w, x in zip(words, shard.names, strict=True)], np.int64)
             seen = np.nonzero(words)[0]
