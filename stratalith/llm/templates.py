@@ -7,10 +7,15 @@ others stand for themselves in lower case. Windows of `window` tokens with at le
 document windows are held against the benchmark's by a hash join. Matches of one document and item on one diagonal
 (document position minus item position) are a candidate: the values in the placeholders must map one to one, number to
 number and name to name, all along the diagonal. So a question with other numbers or names is found, and a chance
-likeness with mixed values is not. A document leaks an item if at least `share` of the item's windows match.
+likeness with mixed values is not. Words put in or left out shift what follows, so a diagonal is taken together with the
+next `slack` ones, and the values must map one to one along all of them.
 
-An item that leaks matches one of the rarest of its windows (all but `share` of them), so only these make candidates:
-a phrase that many items have brings no document together with all of them.
+Beside templates the plain words are held against each other without their letters' case, in windows as long: texts in
+capitals or in small letters have no names to make templates of. A document leaks an item if, in one of the two ways,
+at least `share` of the item's windows match, or matching windows cover `cover` of what its windows cover at all.
+
+An item that leaks matches one of the rarest of its windows (all but the fewest that can be enough), so only these make
+candidates: a phrase that many items have brings no document together with all of them.
 
 The benchmark's window hashes are sent to the tasks to drop windows without a partner before any shuffle, if its windows
 take `bound` bytes at most; a larger benchmark is joined by a shuffle. Nothing else depends on its size.
@@ -53,7 +58,17 @@ _MARK = mix(np.arange(11, 14, dtype=np.uint64))
 #: Capital letters by code point, below those of four bytes.
 _CAPITAL = np.array([unicodedata.category(chr(i)) == "Lu" for i in range(0x10000)])
 _JOIN = np.array([chr(b) in ".," for b in range(256)])
-TEMPLATE, VERBATIM, WHOLE = (np.uint64(x) for x in (0x11, 0x5C6F, 0x93D1))
+TEMPLATE, VERBATIM, WHOLE, FOLDED = (np.uint64(x) for x in (0x11, 0x5C6F, 0x93D1, 0x2B57))
+#: Sizes from here on are those of windows of plain words, less this number.
+PLAIN = 1000
+
+
+def _small_letters(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the capitals of two bytes from À to Þ made small; A to Z are left to Words."""
+    out = data.copy()
+    capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[1:][capital] += 0x20
+    return out
 
 
 def _first_points(data: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -74,6 +89,7 @@ class Tokens:
             inner[at[at > 0] - 1] = False
             data = np.where(inner, np.uint8(0xB7), data)  # no text has this byte alone
         words = Words(data, at, lower=True, space=_BREAK)
+        self.word, self.word_first, self.word_doc = Words(_small_letters(data), at, lower=True, space=_BREAK).hash, words.first, words.doc
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         number = digits[words.end] > digits[words.start]
         name = _CAPITAL[_first_points(data, words.start)] if words.n else np.zeros(0, bool)
@@ -103,6 +119,12 @@ class Tokens:
         out = [(self.first[:-1][counts == n], self._at(self.plain, self.first[:-1][counts == n], n, WHOLE)) for n in range(1, below)]
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
+    def folded(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the windows of plain words."""
+        n = len(self.word)
+        begin = np.nonzero(np.arange(n) + size <= self.word_first[1:][self.word_doc])[0] if n else np.zeros(0, np.int64)
+        return begin, self._at(self.word, begin, size, FOLDED)
+
     def _grams(self, of: np.ndarray, size: int, tag: np.uint64) -> tuple[np.ndarray, np.ndarray]:
         begin = np.nonzero(np.arange(self.n) + size <= self.first[1:][self.doc])[0] if self.n else np.zeros(0, np.int64)
         return begin, self._at(of, begin, size, tag)
@@ -119,14 +141,15 @@ def window_rows(texts: DataFrame, key: str, window: int, literals: int, sizes: l
     """(key, pos, size, h, slots) of the windows of texts (key, text).
 
     Without sizes (items) a text has windows of `window` or its own length, or one exact row. With sizes (documents) it has
-    the windows of all sizes; a size below 0 is one of exact sequences, 0 stands for whole short texts. With partners only
+    the windows of all sizes; a size below 0 is one of exact sequences, 0 stands for whole short texts, one above PLAIN for
+    windows of plain words. With partners only
     rows whose hash is among them are given. slots: for each placeholder of the window a hash of its value with its kind.
     """
     sent = None if partners is None else texts.sparkSession.sparkContext.broadcast(np.sort(partners))
 
     def of_document(tokens: Tokens) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for n in sizes:
-            yield n, *(tokens.windows(n, literals) if n > 0 else tokens.verbatim(-n) if n else tokens.whole(literals))
+            yield n, *(tokens.folded(n - PLAIN) if n > PLAIN else tokens.windows(n, literals) if n > 0 else tokens.verbatim(-n) if n else tokens.whole(literals))
 
     def of_item(tokens: Tokens) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         counts = np.diff(tokens.first)
@@ -140,6 +163,7 @@ def window_rows(texts: DataFrame, key: str, window: int, literals: int, sizes: l
             begin, h = tokens.verbatim(n) if n >= literals else tokens.whole(literals)
             mine = bare[tokens.doc[begin]] & (counts[tokens.doc[begin]] == n)
             yield -n if n >= literals else 0, begin[mine], h[mine]
+        yield PLAIN + window, *tokens.folded(window)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,20 +174,20 @@ def window_rows(texts: DataFrame, key: str, window: int, literals: int, sizes: l
                         place = np.minimum(np.searchsorted(sent.value, h), len(sent.value) - 1)
                         hit = sent.value[place] == h if len(sent.value) else np.zeros(len(h), bool)
                         begin, h = begin[hit], h[hit]
-                    grid = begin[:, None] + np.arange(max(size, 0))
+                    grid = begin[:, None] + np.arange(size if 0 < size < PLAIN else 0)
                     slot = tokens.kind[grid] > 0
                     bounds = np.concatenate([[0], np.cumsum(slot.sum(1))]).astype(np.int32)
                     slots = pa.ListArray.from_arrays(pa.array(bounds), pa.array(signed(tokens.value[grid][slot])))
-                    doc = tokens.doc[begin]
-                    place = (begin - tokens.first[doc]).astype(np.int32)
+                    doc, first = (tokens.word_doc[begin], tokens.word_first) if size > PLAIN else (tokens.doc[begin], tokens.first)
+                    place = (begin - first[doc]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + lo)), pa.array(place), pa.array(np.full(len(begin), size, np.int32)), pa.array(signed(h)), slots], names=[key, "pos", "size", "h", "slots"])
 
     given = texts.select(key, "text").filter(f"{key} IS NOT NULL AND text IS NOT NULL")
     return given.mapInArrow(emit, given.select(key).schema.add("pos", "integer").add("size", "integer").add("h", "long").add("slots", ArrayType(LongType())))
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 8, literals: int = 4, share: float = 0.5, bound: int = 64_000_000) -> DataFrame:
-    """doc_id, item_id, windows, total, verbatim of each leaked item in each document: the diagonal with most windows."""
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 8, literals: int = 4, share: float = 0.5, cover: float = 0.8, slack: int = 3, bound: int = 64_000_000) -> DataFrame:
+    """doc_id, item_id, windows, total, verbatim of each leaked item in each document: the diagonal (with the next ones) with most windows."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     items = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("text"))
     item_rows = written(window_rows(items, "item_id", window, literals))
@@ -174,27 +198,45 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     hint = F.broadcast if few else lambda df: df
     found = written(window_rows(docs, "doc_id", window, literals, sizes, partners).select("doc_id", F.col("pos").alias("at"), "h", F.col("slots").alias("values")))
 
-    # of an item's windows, the rarest that one of must match if `share` of them do
+    # of an item's windows, the rarest that one of must match if as many match as can be enough
+    way = (F.col("size") > PLAIN).alias("plain")
+    item_rows = item_rows.withColumn("plain", way)
     common = item_rows.select("item_id", "h").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("items"))
-    order, whole = Window.partitionBy("item_id").orderBy("items", "h", "pos"), Window.partitionBy("item_id")
-    ranked = item_rows.select("item_id", "h", "pos").join(common, "h").withColumn("r", F.row_number().over(order)).withColumn("total", F.count(F.lit(1)).over(whole))
-    rare = ranked.filter(F.col("r") <= F.col("total") - F.ceil(F.lit(share) * F.col("total")) + 1).select("h", "item_id").distinct()
+    totals = item_rows.groupBy("item_id", "plain").agg(F.count(F.lit(1)).alias("total"), _covered().alias("reach"), F.max("size").alias("size"))
+    enough = F.least(F.ceil(F.lit(share) * F.col("total")), F.ceil(F.lit(cover) * F.col("reach") / _width()))
+    least = totals.select("item_id", "plain", "total", F.greatest(enough, F.lit(1)).alias("enough"))
+    order = Window.partitionBy("item_id", "plain").orderBy("items", "h", "pos")
+    ranked = item_rows.select("item_id", "plain", "h", "pos").join(common, "h").withColumn("r", F.row_number().over(order)).join(hint(least), ["item_id", "plain"])
+    rare = ranked.filter(F.col("r") <= F.col("total") - F.col("enough") + 1).select("h", "item_id").distinct()
     candidates = written(found.select("doc_id", "h").join(hint(rare), "h").select("doc_id", "item_id").distinct())
 
     both = candidates.join(found, "doc_id").join(hint(item_rows), ["h", "item_id"])
-    pairs = both.select("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("diagonal"), "pos", F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")).alias("zip"))
-    key = ["doc_id", "item_id", "diagonal"]
-    counts = pairs.groupBy(*key).agg(F.countDistinct("pos").alias("windows"))
+    key = ["doc_id", "item_id", "plain", "diagonal"]
+    zipped = F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")).alias("zip")
+    pairs = both.select("doc_id", "item_id", "plain", F.explode(F.sequence(F.lit(0), F.lit(slack))).alias("s"), "at", "pos", "size", zipped)
+    pairs = written(pairs.select("doc_id", "item_id", "plain", (F.col("at") - F.col("pos") - F.col("s")).alias("diagonal"), "pos", "size", "zip"))
+    counts = pairs.groupBy(*key).agg(F.countDistinct("pos").alias("windows"), _covered().alias("covered"))
     values = pairs.select(*key, F.explode("zip").alias("z")).select(*key, "z.*").toDF(*key, "a", "b").distinct()
     one = values.groupBy(*key, "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
     back = one.groupBy(*key, "b").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m"), F.max((F.col("a") != F.col("b")).cast("int")).alias("moved"))
     slots = back.groupBy(*key).agg(F.max(F.greatest("n", "m")).alias("worst"), F.max("moved").alias("moved"))
-    totals = item_rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    joined = counts.join(slots, key, "left").filter("coalesce(worst, 1) = 1").join(hint(totals), "item_id").filter(F.col("windows") >= F.lit(share) * F.col("total"))
+    joined = counts.join(slots, key, "left").filter("coalesce(worst, 1) = 1").join(hint(totals.drop("size")), ["item_id", "plain"])
+    joined = joined.filter((F.col("windows") >= F.lit(share) * F.col("total")) | (F.col("covered") >= F.lit(cover) * F.col("reach")))
     best = F.max(F.struct("windows", (F.coalesce("moved", F.lit(0)) == 0).alias("verbatim"), "total")).alias("best")
     return joined.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.windows", "best.total", "best.verbatim")
 
 
+def _width() -> F.Column:
+    """Tokens of a window of this size."""
+    return F.greatest(F.when(F.col("size") > PLAIN, F.col("size") - PLAIN).otherwise(F.abs("size")), F.lit(1))
+
+
+def _covered() -> F.Column:
+    """Tokens that windows cover: each those before the next begins; as many as an item has at most."""
+    starts, width = F.array_sort(F.collect_set("pos")), F.first(_width())
+    return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-1_000_000).alias("end")), lambda acc, p: F.struct((acc["n"] + width - F.greatest(acc["end"] - p, F.lit(0))).cast("int").alias("n"), (p + width).cast("int").alias("end")), lambda acc: acc["n"])
+
+
 def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -202,6 +244,10 @@ def op8_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UNIT_SQL = ", ".join(f"'{u}'" for u in UNITS)
 
 
+_CAPITALS = "".join(chr(c) for c in (*range(0x41, 0x5B), *(x for x in range(0xC0, 0xDF) if x != 0xD7)))
+_SMALL = "".join(chr(ord(c) + 32) for c in _CAPITALS)
+
+
 def _tokens_sql(name: str, key: str, table: str) -> str:
     """Items and documents of eight tokens or more; no item of the tables is shorter or without a usable window."""
     return rf"""
@@ -210,21 +256,26 @@ def _tokens_sql(name: str, key: str, table: str) -> str:
 {name}s AS (SELECT k, w, c, list_filter(range(1, len(w) + 1), lambda i: NOT (c[i] = 3 AND i > 1 AND coalesce(c[i - 1], 0) = 3)) AS s FROM {name}c),
 {name}t AS (SELECT k, list_transform(range(1, len(s) + 1), lambda j: array_to_string(w[s[j]:coalesce(s[j + 1], len(w) + 1) - 1], ' ')) AS w, list_transform(s, lambda i: c[i]) AS c FROM {name}s WHERE len(s) >= 8),
 {name}i AS (SELECT k, i, w[i:i + 7] AS w, c[i:i + 7] AS c FROM (SELECT k, w, c, unnest(range(1, len(w) - 6)) AS i FROM {name}t)),
-{name} AS (SELECT k, i, array_to_string(list_transform(range(1, 9), lambda j: CASE c[j] WHEN 0 THEN w[j] ELSE '<' || c[j] || '>' END), ' ') AS h,
+{name} AS (SELECT k, false AS plain, i, array_to_string(list_transform(range(1, 9), lambda j: CASE c[j] WHEN 0 THEN w[j] ELSE '<' || c[j] || '>' END), ' ') AS h,
   list_transform(list_filter(range(1, 9), lambda j: c[j] > 0), lambda j: c[j] || translate(w[j], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS s
-  FROM {name}i WHERE len(list_filter(c, lambda x: x = 0)) >= 4)"""
+  FROM {name}i WHERE len(list_filter(c, lambda x: x = 0)) >= 4
+UNION ALL SELECT k, true, i, translate(array_to_string(w[i:i + 7], ' '), '{_CAPITALS}', '{_SMALL}'), [] FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM {name}k WHERE len(w) >= 8))"""
+
+
+def _covered_sql(places: str) -> str:
+    return f"(8 + list_sum(list_transform(range(2, len({places}) + 1), lambda j: least(8, {places}[j] - {places}[j - 1])))::BIGINT)"
 
 
 SQL = {
     "op8_template_leaks": f"""
 WITH {_tokens_sql("d", "doc_id", "documents")}, {_tokens_sql("b", "item_id", "benchmark")},
-p AS (SELECT d.k AS doc_id, b.k AS item_id, d.i - b.i AS diagonal, b.i AS pos, b.s AS a, d.s AS z FROM d JOIN b USING (h)),
-n AS (SELECT doc_id, item_id, diagonal, count(DISTINCT pos) AS windows FROM p GROUP BY ALL),
-v AS (SELECT DISTINCT doc_id, item_id, diagonal, unnest(a) AS a, unnest(z) AS z FROM p),
-s AS (SELECT doc_id, item_id, diagonal, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT z) AS fit, bool_and(a = z) AS same FROM v GROUP BY ALL),
-t AS (SELECT k AS item_id, count(*) AS total FROM b GROUP BY k),
-r AS (SELECT n.doc_id, n.item_id, windows, total, coalesce(same, true) AS verbatim FROM n LEFT JOIN s USING (doc_id, item_id, diagonal) JOIN t USING (item_id)
-  WHERE coalesce(fit, true) AND windows >= 0.5 * total)
-SELECT doc_id, item_id, (max((windows, verbatim)))[1] AS windows, any_value(total) AS total, (max((windows, verbatim)))[2] AS verbatim FROM r GROUP BY doc_id, item_id"""
+p AS (SELECT d.k AS doc_id, b.k AS item_id, b.plain, d.i - b.i - z AS diagonal, b.i AS pos, b.s AS a, d.s AS z FROM d JOIN b ON d.h = b.h AND d.plain = b.plain, range(0, 4) AS y(z)),
+n AS (SELECT doc_id, item_id, plain, diagonal, count(DISTINCT pos) AS windows, list_sort(list_distinct(list(pos))) AS places FROM p GROUP BY ALL),
+v AS (SELECT DISTINCT doc_id, item_id, plain, diagonal, unnest(a) AS a, unnest(z) AS z FROM p),
+s AS (SELECT doc_id, item_id, plain, diagonal, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT z) AS fit, bool_and(a = z) AS same FROM v GROUP BY ALL),
+t AS (SELECT k AS item_id, plain, count(*) AS total, list_sort(list(i)) AS places FROM b GROUP BY ALL),
+r AS (SELECT n.doc_id, n.item_id, windows, total, coalesce(same, true) AS verbatim FROM n LEFT JOIN s USING (doc_id, item_id, plain, diagonal) JOIN t USING (item_id, plain)
+  WHERE coalesce(fit, true) AND (windows >= 0.5 * total OR coalesce({_covered_sql("n.places")}, 8) >= 0.8 * coalesce({_covered_sql("t.places")}, 8)))
+SELECT doc_id, item_id, (max((windows, verbatim, total)))[1] AS windows, (max((windows, verbatim, total)))[3] AS total, (max((windows, verbatim, total)))[2] AS verbatim FROM r GROUP BY doc_id, item_id"""
 }
 QUERIES = {"op8_template_leaks": op8_template_leaks}

@@ -78,7 +78,7 @@ def test_leaks_of_all_forms(spark):
     want = {(1, 1, False), (2, 1, False), (3, 2, True), (4, 3, True), (6, 4, True), (7, 5, True), (9, 1, True)}
     for bound in (64_000_000, 0):
         out = {(r["doc_id"], r["item_id"], r["verbatim"]) for r in templates.leaks(*given, bound=bound).collect()}
-        assert {r for r in out if r[0] != 11} == want
+        assert out == want | {(11, 1, True)}  # a word changed, a name in small letters
 
 
 def test_page_cases(spark):
