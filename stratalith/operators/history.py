@@ -117,3 +117,22 @@ def impacted_domains(domains: DataFrame, paths: DataFrame) -> DataFrame:
 def ranked_within(df: DataFrame, group: str, *order, most: int) -> DataFrame:
     """The first `most` rows of each group with their rank r."""
     return df.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("r") <= most)
+
+
+def as_of(points: DataFrame, snapshots: DataFrame, columns: list[str], key: str = "repo_id", at: str = "at", width: str = "month") -> DataFrame:
+    """points (key, at) with the last non-null value of each column in snapshots (key, at, columns) at or before them.
+
+    A key's time is split in ranges of `width`: within one, values are carried by a window; what the ranges before it leave
+    comes from one row a range. So a key with very many rows is sorted in many tasks. Of snapshots at one time the greatest
+    value counts.
+    """
+    part = F.date_trunc(width, F.col(at))
+    one = snapshots.groupBy(key, at).agg(*(F.max(c).alias(c) for c in columns))
+    both = points.select(key, at).distinct().withColumn("__asked", F.lit(True)).unionByName(one.withColumn("__asked", F.lit(False)), allowMissingColumns=True).withColumn("__part", part)
+    inside = Window.partitionBy(key, "__part").orderBy(at, "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    local = both.withColumns({c: F.last(c, True).over(inside) for c in columns}).filter("__asked").drop("__asked")
+    ends = one.withColumn("__part", part).groupBy(key, "__part").agg(*(F.max(F.when(F.col(c).isNotNull(), F.struct(at, c)))[c].alias(c) for c in columns))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = both.select(key, "__part").distinct().join(ends, [key, "__part"], "left")
+    carried = ranges.select(key, "__part", *(F.last(c, True).over(before).alias(f"__{c}") for c in columns))
+    return local.join(carried, [key, "__part"]).select(key, at, *(F.coalesce(c, f"__{c}").alias(c) for c in columns))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from stratalith.operators import code, containment, evidence, graph, knowledge,
 from stratalith.plans import q_code
 from stratalith.plans.register import query
 from stratalith.sources import bind, sources
-from stratalith.sources.shared import written
+from stratalith.sources.shared import shared_dir, written
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,3 +267,11 @@ def request_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = exprs.case_contains(F.col("path"), rules.EXPLORER_LAYERS, "Application")
     found = containment.request_flows(members, containment.flow_steps(members, layer), sources.files(spark, sf_dir))
     return found.select("repo_id", "intent", "routes", "services", "models", "external", "confidence")
+
+
+@query(f"""WITH {sources.ALL_SQL} SELECT repo_id, rule_id, CASE lower(severity) WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' WHEN 'low' THEN 'note' ELSE 'warning' END AS level, message, path, greatest(1, line) AS line FROM found""")
+def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings as read back from one document for each repository."""
+    folder = f"{shared_dir(spark)}/sarif-{uuid.uuid4().hex}"
+    sarif.write_documents(sources.findings(spark, sf_dir), folder)
+    return sarif.read_documents(spark, folder)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
-from stratalith.operators import history
+from stratalith.operators import history, merge
 from stratalith.plans.register import query
 from stratalith.sources import bind
 
@@ -191,3 +191,37 @@ def weighted_mean_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = sum((F.coalesce(F.sum(n), F.lit(0)).cast("double") * w for n, (_, w) in parts.items()), F.lit(0.0))
     weights = sum((F.count(n) * F.lit(w) for n, (_, w) in parts.items()), F.lit(0.0))
     return rows.groupBy("source").agg(exprs.dec_round(sums / weights, 4).alias("weighted"))
+
+
+_DIMENSIONS = {"click": "architecture", "view": "security", "purchase": "ownership", "error": "debt", "signup": "production"}
+_DIM_SQL = f"""pt AS (SELECT repo_id, day FROM (SELECT DISTINCT user_id % 12 AS repo_id FROM events), (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-02', INTERVAL 1 DAY)) AS day)),
+""" + ",\n".join(f"s_{d} AS (SELECT user_id % 12 AS repo_id, ts, max(value) AS {d} FROM events WHERE event_type = '{t}' AND value IS NOT NULL GROUP BY ALL)" for t, d in _DIMENSIONS.items())
+
+
+@query(f"WITH {_DIM_SQL} SELECT pt.repo_id, epoch_us(day) AS day, {', '.join(_DIMENSIONS.values())} FROM pt " + " ".join(f"ASOF LEFT JOIN s_{d} ON s_{d}.repo_id = pt.repo_id AND s_{d}.ts <= pt.day" for d in _DIMENSIONS.values()))
+def dimension_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five dimensions of each repository as they stood at the begin of every day."""
+    value = lambda t: F.when(F.col("event_type") == t, F.col("value"))
+    events = bind.table(spark, sf_dir, "events").withColumns({"repo_id": F.col("user_id") % 12, "at": F.col("ts").cast("timestamp")})
+    snapshots = events.select("repo_id", "at", *(value(t).alias(d) for t, d in _DIMENSIONS.items()))
+    days = F.explode(F.sequence(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-02").cast("timestamp"), F.expr("INTERVAL 1 DAY")))
+    points = events.select("repo_id").distinct().withColumn("at", days)
+    return history.as_of(points, snapshots, list(_DIMENSIONS.values()), width="week").select("repo_id", F.unix_micros("at").alias("day"), *_DIMENSIONS.values())
+
+
+@query("""WITH a AS (SELECT 'c' || c_custkey AS id, c_name AS label, c_nationkey AS home, 1 AS seen, false AS gone FROM customer UNION ALL SELECT 'c' || c_custkey, upper(c_name), c_nationkey, 3, false FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT 's' || s_suppkey, s_name, s_nationkey, 2, false FROM supplier UNION ALL SELECT 'c' || c_custkey, 'late', NULL, 0, false FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT 'c' || c_custkey, NULL, NULL, 4, true FROM customer WHERE c_custkey % 7 = 0)
+SELECT id, label, home, seen FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY seen DESC) = 1) WHERE NOT gone""")
+def graph_node_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes after five merges, late and repeated ones and removals among them."""
+    c, s = bind.table(spark, sf_dir, "customer"), bind.table(spark, sf_dir, "supplier")
+    node = lambda df, kind, key, label, home, at, gone=False: df.select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("id"), label.alias("label"), home.cast("int").alias("home"), F.lit(at).alias("seen"), F.lit(gone).alias("gone"))
+    null = F.lit(None)
+    batches = [
+        node(c, "c", "c_custkey", F.col("c_name"), F.col("c_nationkey"), 1), node(c.filter("c_custkey % 3 = 0"), "c", "c_custkey", F.upper("c_name"), F.col("c_nationkey"), 3),
+        node(s, "s", "s_suppkey", F.col("s_name"), F.col("s_nationkey"), 2), node(c.filter("c_custkey % 5 = 0"), "c", "c_custkey", F.lit("late"), null, 0), node(c.filter("c_custkey % 7 = 0"), "c", "c_custkey", null.cast("string"), null, 4, True),
+    ]
+    table = merge.created(spark, ["id"], "seen", buckets=16)
+    for batch in [*batches, batches[0]]:
+        table = merge.merged(table, batch)
+    return table.rows().select("id", "label", "home", "seen")
