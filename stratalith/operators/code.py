@@ -1,7 +1,7 @@
 """Symbols of source files: imports, exports, classes, functions, methods, routes, data models, variables of the environment, notes.
 
-Files are read in Arrow batches, a text at a time: Python by its own parser, other languages by the patterns of a rule
-table. Everything ends in one long table, (repo_id, path, kind, name, owner, line, method, handler, orm, is_async), a row
+Files are read in Arrow batches, a text at a time: Python by its own parser, other languages by patterns composed from
+their grammars. Everything ends in one long table, (repo_id, path, kind, name, owner, line, method, handler, orm, is_async), a row
 for each symbol, so graphs, scores and chunks are joins and aggregates over it. Lines count from 1.
 
 Defined cases: null and empty texts give no rows; a Python file that does not parse is read by line patterns; unknown
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.functions import code_rules as rules
+from stratalith.functions import grammars
 
 FOUND = "array<struct<at:int,end:int,line:int>>"
 SYMBOL = "kind string, name string, owner string, line int, method string, handler string, orm string, is_async boolean"
@@ -64,7 +65,7 @@ def _is_model(language: str, text: str, name: str, line: int, at: int) -> bool:
     if language == "Java":
         return has("\n".join(text.splitlines()[max(0, line - 6) : line + 2]), rules.JAVA_MODEL_MARKS)
     if language == "Go":
-        body = re.search(rf"(?s)type\s+{name}\s+struct\s*\{{(.*?)\}}", text)
+        body = re.search(rf"(?s)type\s+{name}\s*(?:\[[^\]]*\])?\s*struct\s*\{{(.*?)\}}", text)
         return bool(body) and has(body[1].lower(), rules.GO_MODEL_MARKS)
     if language == "JavaScript":
         return has(text[at:].lower(), rules.JS_MODEL_MARKS) or name.lower().endswith(("model", "schema", "entity"))
@@ -76,56 +77,54 @@ def _is_model(language: str, text: str, name: str, line: int, at: int) -> bool:
     return bool(re.search(f"(?s)(?:{before}).*?{name}|{name}.*?(?:{after})", text))
 
 
+def _imported(language: str, text: str) -> set[str]:
+    if language == "Go":
+        return grammars.go_imports(text)
+    pattern = grammars.JS_IMPORT if language == "JavaScript" else grammars.GRAMMARS[language].import_pattern()
+    return {m["name"].strip() for m in pattern.finditer(text)}
+
+
+def _declared(language: str, text: str) -> tuple[list, list]:
+    """(types, functions) as matches with a name, in the order of the text; a type is (match, text of its word)."""
+    grammar = grammars.GRAMMARS[language]
+    types = grammars.GO_TYPE if language == "Go" else grammar.type_pattern()
+    functions = list(grammar.function_pattern().finditer(text))
+    if language == "JavaScript":
+        functions = sorted([*functions, *grammars.JS_VALUE.finditer(text)], key=lambda m: m.start())
+    return list(types.finditer(text)), [m for m in functions if m["name"] not in rules.NO_FUNCTION]
+
+
 def _pattern_symbols(language: str, text: str, path: str) -> list[tuple]:
-    """Symbols of a text of a language that patterns can read."""
+    """Symbols of a text of a language that has a grammar; comments are masked first."""
+    whole, text = text, grammars.GRAMMARS[language].masked(text)
     breaks = [m.start() for m in re.finditer("\n", text)]
     line = lambda at: bisect_left(breaks, at) + 1
-    found = lambda pattern: list(re.finditer(pattern, text))
-    imported = {m[1].strip() for p in rules.IMPORTS[language] for m in found(p)}
-    if language == "Go":
-        imported |= {x for block in found(rules.GO_IMPORT_BLOCK) for x in re.findall(rules.GO_IMPORTED, block[1])}
-    out = [_row("import", x) for x in sorted(imported)]
     word, reach = rules.ASYNC.get(language, (None, 0))
     waits = lambda at: word is not None and word in text[max(0, at - reach) : at]
-    classes, functions = [], []
-    if language == "Rust":
-        for m in found(rules.RUST_ITEM):
-            (functions if m[1] == "fn" else classes).append((m[2], m.start(), waits(m.start())))
-    else:
-        pattern, group = rules.CLASSES[language]
-        classes = [(m[group], m.start(), False) for m in found(pattern)]
-    if language == "Go":
-        for m in found(rules.GO_FUNCTION):
-            owner = (m[1] or "").replace("*", " ").split()
-            out.append(_row("method", m[2], line(m.start()), owner=owner[-1], is_async=False) if owner else _row("function", m[2], line(m.start()), is_async=False))
-    elif language != "Rust":
-        pattern, group = rules.FUNCTIONS[language]
-        for m in found(pattern):
-            name = m[group] or m[2]
-            if name not in rules.NO_FUNCTION:
-                functions.append((name, m.start(), "async" in m[0] if language == "JavaScript" else waits(m.start())))
+    types, functions = _declared(language, text)
+    out = [_row("import", x) for x in sorted(_imported(language, text))]
     if language == "JavaScript":
-        out += [_row("export", x) for x in sorted({m[1] for m in found(rules.JS_EXPORT)})]
-        out += [_row("route", route_path(path), line(at), method=name, handler=name) for name, at, _ in functions if name in rules.VERBS]
-    out += [_row("function", name, line(at), is_async=a) for name, at, a in functions]
-    out += [_row("class", name, line(at)) for name, at, _ in classes]
-    out += [_row("model", name, line(at), orm=rules.ORMS[language]) for name, at, _ in classes if _is_model(language, text, name, line(at), at)]
-    return out + _routes(language, text, line)
-
-
-def _routes(language: str, text: str, line) -> list[tuple]:
+        out += [_row("export", x) for x in sorted({m["name"] for m in grammars.JS_EXPORT.finditer(text)})]
+        out += [_row("route", route_path(path), line(m.start()), method=m["name"], handler=m["name"]) for m in functions if m["name"] in rules.VERBS]
+    for m in functions:
+        owner = (m["receiver"] or "").replace("*", " ").split() if language == "Go" else []
+        is_async = "async" in m[0] if language == "JavaScript" else language != "Go" and waits(m.start())
+        out.append(_row("method" if owner else "function", m["name"], line(m.start()), owner=owner[-1] if owner else None, is_async=is_async))
+    out += [_row("class", m["name"], line(m.start())) for m in types]
+    out += [_row("model", m["name"], line(m.start()), orm=rules.ORMS[language]) for m in types if _is_model(language, whole, m["name"], line(m.start()), m.start())]
+    return out + _routes(language, text, line, functions)
+
+
+def _routes(language: str, text: str, line, functions: list) -> list[tuple]:
     """Routes with the function that follows each: both are sorted by place, so the nearest one is found by bisection."""
-    pattern, verbs, paths, arguments = rules.ROUTES[language]
-    following = [(m.start(), m[1]) for m in re.finditer(rules.HANDLERS[language], text)] if language in rules.HANDLERS else []
-    starts, out = [at for at, _ in following], {}
-    for m in re.finditer(pattern, text):
-        verb = re.sub("Mapping$|^Http", "", next((m[g] for g in verbs if m[g]), "")).upper()
-        verb = "ROUTE" if verb in rules.PLAIN_ROUTES and not (language == "Kotlin" and verb == "REQUEST") else verb
-        quoted = re.search(rules.QUOTED_PATH, next((m[g] for g in arguments if m[g]), ""))
-        where = next((m[g] for g in paths if m[g]), None) or (quoted[1] if quoted else "/")
-        nearest = bisect_left(starts, m.end())
-        handler = f"{m[1]}.{m[2]}" if language == "JavaScript" else following[nearest][1] if nearest < len(following) else ""
-        out.setdefault((verb, where, line(m.start())), _row("route", where, line(m.start()), method=verb, handler=handler))
+    found = [(at, end, verb, path, None) for at, end, verb, path in grammars.annotated_routes(text, *rules.ANNOTATIONS[language])] if language in rules.ANNOTATIONS else []
+    for before, names, quotes in rules.CALLS.get(language, ()):
+        found += [(at, end, verb, path, text[at : text.index("(", at)].strip()) for at, end, verb, path in grammars.called_routes(text, before, names, quotes)]
+    starts, out = [m.start("name") for m in functions], {}
+    for at, end, verb, path, call in sorted(found, key=lambda x: x[0]):
+        nearest = bisect_left(starts, end)
+        handler = call if language == "JavaScript" else functions[nearest]["name"] if language in rules.HANDLED and nearest < len(functions) else ""
+        out.setdefault((verb, path, line(at)), _row("route", path, line(at), method=verb, handler=handler))
     return list(out.values())
 
 
@@ -188,7 +187,7 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def env_variables(files: DataFrame) -> DataFrame:
     """repo_id, path, name of each variable of the environment that a file reads, once."""
-    found = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(rules.ENV_VARIABLES), F.lit(g)) for g in (1, 2, 3, 4))))
+    found = F.flatten(F.array(*(F.regexp_extract_all("text", F.lit(rules.ENV_VARIABLES), F.lit(g)) for g in (1, 2))))
     return files.select("repo_id", "path", F.explode(F.array_distinct(F.filter(found, lambda x: x != ""))).alias("name"))
 
 

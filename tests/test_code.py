@@ -73,3 +73,53 @@ def test_python_metrics(files):
 
 def test_empty_table(spark, files):
     assert code.symbols(files.limit(0)).count() == 0 and code.notes(files.limit(0)).count() == 0
+
+
+#: Other texts of each language: comments, modifiers in any order, generics, blocks of imports, names that only look like routes.
+MORE = {
+    "Java": (
+        '/* class Hidden {} */\nimport static a.B.c;\n// import x.Y;\n@Table\nprivate static final class Row<T> {\n  String url = "http://x"; // class No\n  protected synchronized <T> List<T> all(int a) { return get(a); }\n  @RequestMapping(value = "/a(b)", method = GET) public void one() {}\n}\ninterface Api {}\n',
+        {("import", "a.B.c"), ("class", "Row"), ("class", "Api"), ("function", "all"), ("function", "one"), ("route", "/a(b)"), ("model", "Row")},
+    ),
+    "C#": (
+        'global using A.B;\n/* using C; */\npublic sealed partial class Users {\n  [Route("/u")]\n  internal static async Task<List<int>> Get(int x) => await Load(x);\n  protected override int[] Load(int y) { if (y > 1) return new int[1]; return Other(y); }\n}\n',
+        {("import", "A.B"), ("class", "Users"), ("function", "Get"), ("function", "Load"), ("route", "/u")},
+    ),
+    "Go": (
+        'package a\nimport (\n\t"fmt"\n\tx "net/http"\n)\n// func hidden() {}\ntype Set[T any] struct { A int `json:"id"` }\ntype Do interface { Run() }\nfunc Map[K any](x K) {}\nfunc (s Set) Len() int { return 1 }\nr.HandleFunc("/h", f)\n',
+        {("import", "fmt"), ("import", "net/http"), ("class", "Set"), ("class", "Do"), ("function", "Map"), ("method", "Len"), ("route", "/h"), ("model", "Set")},
+    ),
+    "Rust": (
+        'pub use a::b;\n/* fn hidden() {} */\npub(crate) enum Kind { A }\n    pub const unsafe fn one() {}\ntrait T { fn two(&self); }\n#[post("/p")]\npub async fn three() {}\n',
+        {("import", "a::b"), ("class", "Kind"), ("class", "T"), ("function", "one"), ("function", "three"), ("route", "/p")},
+    ),
+    "Kotlin": (
+        'import a.b.*\n// class No\nenum class Color { RED }\ninternal data class P(val a: Int)\nprivate inline fun <T> List<T>.pick(a: T) {}\noverride suspend fun load() {}\n@GetMapping("/k") fun k() {}\nwidget("/no")\n',
+        {("import", "a.b.*"), ("class", "Color"), ("class", "P"), ("function", "pick"), ("function", "load"), ("route", "/k")},
+    ),
+    "PHP": (
+        '<?php\nuse A\\\\B;\n/* function no() {} */\nfinal readonly class C {}\ntrait D {}\nabstract class E {\n  final public static function run() {}\n  protected function &ref() {}\n}\n$app->post("/x", f);\n#[Route("/attr")]\nfunction g() {}\n'.replace("\\\\", "\\"),
+        {("import", "A\\B"), ("class", "C"), ("class", "D"), ("class", "E"), ("function", "run"), ("function", "ref"), ("function", "g"), ("route", "/x"), ("route", "/attr")},
+    ),
+    "TypeScript": (
+        "import type { A } from './a';\nimport './side';\n// export class No {}\nexport default abstract class Base {}\nexport const load = async <T>(x) => x;\nlet run = function () {};\nvar n = 1;\nexport async function* gen() {}\nconst s = '// no comment'; \nfunction $late() {}\nrouter.users.get(`/u`, f)\n",
+        {("import", "./a"), ("import", "./side"), ("class", "Base"), ("export", "Base"), ("export", "load"), ("export", "gen"), ("function", "run"), ("function", "gen"), ("function", "$late"), ("route", "/u")},
+    ),
+}
+
+
+@pytest.mark.parametrize("language", sorted(MORE))
+def test_more_texts_of_each_language(language):
+    text, want = MORE[language]
+    rows = code._pattern_symbols("JavaScript" if language == "TypeScript" else language, text, "x/y")
+    got = {(r[0], r[1]) for r in rows}
+    assert got >= want and not {n for _, n in got} & {"Hidden", "hidden", "No", "no", "x.Y", "C" if language == "C#" else "/no"}, got ^ want
+
+
+def test_masks_keep_strings_and_lines():
+    from stratalith.functions import grammars
+
+    text = 'a = "http://x"; // note\n/* two\nlines */ b = \'/*\' c\n'
+    masked = grammars.GRAMMARS["Java"].masked(text)
+    assert len(masked) == len(text) and masked.count("\n") == text.count("\n")
+    assert '"http://x"' in masked and "note" not in masked and "two" not in masked and "b = '/*' c" in masked
