@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,14 +13,28 @@ from stratalith.functions import exprs, rules
 from stratalith.sources.shared import small, written
 
 
+def pieces(text: str, size: int, overlap: int) -> Iterator[tuple[int, str, int, int]]:
+    """(start, piece, first line, last line) of overlapping pieces; a text is gone through once, however long."""
+    line, counted, step = 1, 0, size - overlap
+    for start in range(0, max(0, -(-(len(text) - size) // step)) * step + 1 if text else 0, step):
+        line += text.count("\n", counted, start)
+        counted = start
+        piece = text[start : start + size]
+        yield start, piece, line, line + piece.count("\n")
+
+
 def chunks(files: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
     """path, start, text, line_start, line_end of overlapping pieces; the last ends where the text ends."""
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)) * step
-    rows = files.filter(F.length("text") > 0).select("path", "text", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(step).cast("long"))).alias("start"))
-    piece, before = F.substring(F.col("text"), F.col("start").cast("int") + 1, F.lit(size)), F.substring(F.col("text"), F.lit(1), F.col("start").cast("int"))
-    ends = lambda c: F.regexp_count(c, F.lit("\n"))
-    return rows.select("path", "start", piece.alias("text"), (ends(before) + 1).alias("line_start"), (ends(before) + ends(piece) + 1).alias("line_end"))
+    given = files.filter(F.length("text") > 0).select("path", "text")
+    schema = given.select("path", F.lit(0).cast("long").alias("start"), "text", F.lit(0).alias("line_start"), F.lit(0).alias("line_end")).schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *p) for i, text in enumerate(b.column(1).to_pylist()) for p in pieces(text, size, overlap)]
+            row, start, text, first, last = map(list, zip(*found, strict=True)) if found else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(text, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=schema.names)
+
+    return given.mapInArrow(cut, schema)
 
 
 def terms(docs: DataFrame, wanted=None) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
 from stratalith.operators.knowledge import ranked
-from stratalith.operators.search import chunks
+from stratalith.operators.search import chunks, pieces
 
 # Levels of an executive score, and labels of nodes by kind.
 RISK_STEPS = ((85, "low"), (70, "moderate"), (50, "elevated"))
@@ -74,21 +77,37 @@ def safe_name(text: Column) -> Column:
     return F.when(out == "", "repository").otherwise(out)
 
 
-def symbol_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
+def symbol_chunks(files: DataFrame, symbols: DataFrame, most: int | None = None) -> DataFrame:
     """path, line_start, line_end, kind, symbol, text: from each class or function to the next one; files without any in pieces of fixed size.
 
-    symbols are those of operators.code; lines before the first symbol belong to no chunk of a symbol.
+    symbols are those of operators.code; lines before the first symbol belong to no chunk of a symbol. A file is split into
+    lines once for all its symbols. With `most`, a symbol of more characters comes in overlapping pieces of that size.
     """
     starts = symbols.filter("kind IN ('class', 'function') AND owner IS NULL").groupBy("repo_id", "path", "line").agg(F.min("name").alias("symbol"))
-    order = Window.partitionBy("repo_id", "path").orderBy("line")
-    bounded = starts.withColumn("next", F.lead("line").over(order))
-    own = files.join(bounded, ["repo_id", "path"]).withColumn("lines", F.split("text", "\n"))
-    last = F.coalesce(F.col("next") - 1, F.size("lines"))
-    body = F.array_join(F.slice("lines", F.col("line"), F.greatest(last - F.col("line") + 1, F.lit(0))), "\n")
-    cut = own.select("repo_id", "path", F.col("line").alias("line_start"), last.cast("int").alias("line_end"), F.lit("symbol").alias("kind"), "symbol", F.regexp_replace(body, r"^\n+|\n+$", "").alias("text")).filter("text <> ''")
+    bounds = starts.groupBy("repo_id", "path").agg(F.array_sort(F.collect_list(F.struct("line", "symbol"))).alias("bounds"))  # of one file
+    own = files.select("repo_id", "path", "text").join(bounds, ["repo_id", "path"])
+    schema = own.select("repo_id", "path", F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.lit("").alias("symbol"), "text").schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, (text, bound) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                lines = (text or "").split("\n")
+                for this, following in zip(bound, [*bound[1:], None], strict=True):
+                    first, last = this["line"], following["line"] - 1 if following else len(lines)
+                    body = "\n".join(lines[first - 1 : last]).strip("\n")
+                    if body and most and len(body) > most:
+                        out += [(i, first + a - 1, first + z - 1, this["symbol"], piece) for _, piece, a, z in pieces(body, most, most // 8)]
+                    elif body:
+                        out.append((i, first, last, this["symbol"], body))
+            row, first, last, symbol, text = map(list, zip(*out, strict=True)) if out else ([], [], [], [], [])
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(symbol, pa.string()), pa.array(text, pa.string())], names=schema.names)
+
+    found = own.mapInArrow(cut, schema).select("repo_id", "path", "line_start", "line_end", F.lit("symbol").alias("kind"), "symbol", "text")
     rest = files.join(starts.select("repo_id", "path").distinct(), ["repo_id", "path"], "left_anti")
     plain = chunks(rest.select(F.struct("repo_id", "path").alias("path"), "text"))
-    return cut.unionByName(plain.select("path.repo_id", "path.path", "line_start", "line_end", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("symbol"), "text"))
+    return found.unionByName(plain.select("path.repo_id", "path.path", "line_start", "line_end", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("symbol"), "text"))
 
 
 def series_by_date(*series: tuple[str, DataFrame]) -> DataFrame:

@@ -118,3 +118,27 @@ def test_sarif(spark, tmp_path):
     assert [r["message"] for r in sarif.rules_of(rows).collect()] == ["m2"]
     sarif.export(rows, f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == 2
+
+
+def test_pieces_of_any_text():
+    """Lines of pieces by plain counting, for texts around the sizes; and symbols too large for one piece."""
+    from stratalith.operators.search import pieces
+
+    for n in (0, 1, 9, 10, 11, 18, 26, 27, 300):
+        text = "".join("\n" if i % 7 == 3 else "é" for i in range(n))
+        got = list(pieces(text, 10, 2))
+        starts = [] if not n else list(range(0, max(0, -(-(n - 10) // 8)) * 8 + 1, 8))
+        assert got == [(s, text[s : s + 10], text[:s].count("\n") + 1, text[: s + 10].count("\n") + 1) for s in starts]
+
+
+def test_large_symbols_come_in_pieces(spark):
+    from stratalith.operators import views
+
+    text = "import x\n" + "def a():\n" + "    y = 1\n" * 50 + "def b():\n    pass\n"
+    files = spark.createDataFrame([("r", "m.py", "Python", text), ("r", "n.txt", "Text", "plain")], "repo_id string, path string, language string, text string")
+    symbols = spark.createDataFrame([("r", "m.py", "function", "a", None, 2), ("r", "m.py", "function", "b", None, 53)], "repo_id string, path string, kind string, name string, owner string, line int")
+    whole = {r["symbol"]: r for r in views.symbol_chunks(files, symbols).collect()}
+    assert (whole["a"]["line_start"], whole["a"]["line_end"], whole["b"]["line_start"]) == (2, 52, 53) and whole[None]["text"] == "plain"
+    cut = [r for r in views.symbol_chunks(files, symbols, 100).collect() if r["symbol"] == "a"]
+    lines = text.split("\n")
+    assert len(cut) > 4 and all(len(r["text"]) <= 100 and r["text"].split("\n")[-1] in lines[r["line_end"] - 1] for r in cut)
