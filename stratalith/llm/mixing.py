@@ -92,10 +92,31 @@ def range_sorted(mixed: DataFrame) -> DataFrame:
     return rows.repartitionByRange("at", "doc_id", "copy").sortWithinPartitions("at", "doc_id", "copy")
 
 
+#: Training time is counted in millionths; so many of them are one range of the sort.
+TICKS, RANGE = 1_000_000, 250
+
+
+def placed(mixed: DataFrame) -> DataFrame:
+    """mixed with first_at_millionths and first_rank: when, and at which place (from 1), training first takes a document.
+
+    Copies are sorted by time, id, size and copy: in ranges of time, each sorted by itself, with the number of copies in
+    the ranges before it; the one window over ranges has as many rows as there are ranges.
+    """
+    mixed = written(mixed)
+    copies = mixed.filter("copies > 0").select("*", F.posexplode("position").alias("copy", "at")).withColumn("first_at_millionths", F.floor(F.col("at") * TICKS).cast("long"))
+    copies = copies.withColumn("__range", F.floor(F.col("first_at_millionths") / RANGE))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = copies.groupBy("__range").count().select("__range", before.alias("__before"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy("first_at_millionths", "doc_id", "size", "copy"))
+    ranked = copies.join(F.broadcast(offsets), "__range").withColumn("first_rank", place).filter("copy = 0")  # TICKS / RANGE rows at most
+    made = [*mixed.columns, "first_at_millionths", "first_rank"]
+    none = F.lit(None).cast("long")
+    return ranked.select(made).unionByName(mixed.filter("copies = 0").withColumns({"first_at_millionths": none, "first_rank": none}))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = F.floor(F.get("position", F.lit(0)) * 1_000_000).cast("long").alias("first_at_millionths")
-    return assigned(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", first)
+    return placed(assigned(docs)).select("doc_id", "size", "source_size", "target", "taken", "copies", "first_at_millionths", "first_rank")
 
 
 SQL = {
@@ -112,10 +133,12 @@ t AS (SELECT source, source_size, least(w * coalesce((SELECT lev FROM f), ratio)
 c AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM d),
 j AS (
   SELECT doc_id, size, source_size, target, a, b, begins, (size > 0 AND begins * 2 + size <= target * 2)::INT + (size > 0 AND (begins + source_size) * 2 + size <= target * 2)::INT AS copies
-  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, size * copies AS taken, copies,
-  CASE WHEN copies > 0 THEN floor((CASE WHEN a = b THEN (begins * 2 + size)::DOUBLE / (target * 2)
-    ELSE (sqrt(a * a + (b * b - a * a) * ((begins * 2 + size)::DOUBLE / (target * 2))) - a) / (b - a) END) * 1000000)::BIGINT END AS first_at_millionths
-FROM j"""
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
+x AS (
+  SELECT doc_id, size, z AS copy, floor((CASE WHEN a = b THEN ((begins + z * source_size) * 2 + size)::DOUBLE / (target * 2)
+    ELSE (sqrt(a * a + (b * b - a * a) * (((begins + z * source_size) * 2 + size)::DOUBLE / (target * 2))) - a) / (b - a) END) * 1000000)::BIGINT AS tick
+  FROM j, range(0, 2) AS y(z) WHERE z < copies),
+o AS (SELECT doc_id, copy, tick, row_number() OVER (ORDER BY tick, doc_id NULLS FIRST, size, copy) AS place FROM x)
+SELECT j.doc_id, size, source_size, target, size * copies AS taken, copies, tick AS first_at_millionths, place AS first_rank FROM j LEFT JOIN o ON o.doc_id = j.doc_id AND o.copy = 0"""
 }
 QUERIES = {"op10_curriculum_mix": op10_curriculum_mix}
