@@ -41,7 +41,7 @@ _BREAK = _PIECE_END.copy()
 _BREAK[[0x20, 0x09]] = True
 LONGEST = 5
 #: Words that are looked at at once, and of shards with texts.
-_RUN, _COUNTED, _SUMMED = 1 << 20, 4_000_000, 1_000_000
+_RUN, _COUNTED, _SUMMED = 1 << 20, 1_500_000, 1_000_000
 _POWER = np.array([pow(0xD6E8FEB86659FD93, i, 2**64) for i in range(LONGEST)], np.uint64)
 
 
