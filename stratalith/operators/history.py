@@ -81,9 +81,11 @@ def drift_score(counts: DataFrame, weights: dict[str, int] = rules.DRIFT_WEIGHTS
 def review_risk(changed: DataFrame, hotspots: DataFrame, findings: DataFrame) -> DataFrame:
     """pr, path, layer, language, risk of each changed file: three left joins and an additive score.
 
-    hotspots has path and risk_score, findings has path (a row for each serious finding).
+    hotspots has path and risk_score, findings has path (a row for each serious finding); where they and changed have
+    repo_id too, paths are those of one repository.
     """
-    serious = findings.select("path").distinct().withColumn("__finding", F.lit(True))
+    keys = lambda df: [c for c in ("repo_id", "path") if c in df.columns and c in changed.columns]
+    serious = findings.select(keys(findings)).distinct().withColumn("__finding", F.lit(True))
     path, layer = F.col("path"), F.col("layer")
     score = (
         F.least(F.lit(30), F.coalesce("risk_score", F.lit(0))) + F.when(F.col("__finding"), 25).otherwise(0)
@@ -92,7 +94,7 @@ def review_risk(changed: DataFrame, hotspots: DataFrame, findings: DataFrame) ->
         - F.when(F.lower(path).contains("test") | F.lower(path).contains("spec"), 10).otherwise(0)
     )
     rows = changed.withColumns({"layer": exprs.case_contains(path, rules.REVIEW_LAYERS, "application"), "language": exprs.language(path)})
-    rows = rows.join(hotspots.select("path", "risk_score"), "path", "left").join(serious, "path", "left")
+    rows = rows.join(hotspots.select(*keys(hotspots), "risk_score"), keys(hotspots), "left").join(serious, keys(findings), "left")
     return rows.select("pr", "path", "layer", "language", F.greatest(F.lit(0), score).cast("long").alias("risk"))
 
 

@@ -111,23 +111,26 @@ def pr_related_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TWO = "CASE WHEN len(string_split(path, '/')) > 2 AND string_split(path, '/')[1] IN ('src', 'app', 'backend', 'frontend') THEN string_split(path, '/')[1] || '/' || string_split(path, '/')[2] ELSE string_split(path, '/')[1] END"
-_FILE_RISK = f"""fr AS (SELECT pr, path, {_LAYER} AS layer, greatest(0, CASE WHEN path IN (SELECT path FROM found WHERE severity IN ('critical', 'high', 'medium')) THEN 25 ELSE 0 END + CASE WHEN {_LAYER} IN ('interface', 'data', 'security') THEN 16 ELSE 0 END
-  + CASE WHEN ends_with(lower(path), '.yml') OR ends_with(lower(path), '.json') OR {_NAME} = 'Dockerfile' THEN 12 ELSE 0 END - CASE WHEN contains(lower(path), 'test') OR contains(lower(path), 'spec') THEN 10 ELSE 0 END)::BIGINT AS risk FROM ch),
-sc AS (SELECT pr, least(100, 15 + sum(risk) + count(DISTINCT {_TWO}) * 8)::BIGINT AS risk_score FROM fr GROUP BY pr)"""
+_FILE_RISK = f"""{q_code._HOT}, fr AS (SELECT pr, path, {_LAYER} AS layer, greatest(0, least(30, coalesce(risk_score, 0)) + CASE WHEN (pr, path) IN (SELECT (repo_id, path) FROM bad) THEN 25 ELSE 0 END + CASE WHEN {_LAYER} IN ('interface', 'data', 'security') THEN 16 ELSE 0 END
+  + CASE WHEN ends_with(lower(path), '.yml') OR ends_with(lower(path), '.json') OR {_NAME} = 'Dockerfile' THEN 12 ELSE 0 END - CASE WHEN contains(lower(path), 'test') OR contains(lower(path), 'spec') THEN 10 ELSE 0 END)::BIGINT AS risk
+  FROM ch LEFT JOIN (SELECT repo_id AS pr, path, risk_score FROM hot) USING (pr, path)),
+sc AS (SELECT pr, least(100, 15 + sum(risk) + count(DISTINCT {_TWO}) * 8)::BIGINT AS risk_score FROM fr GROUP BY pr), cm AS (SELECT p_brand AS pr, count(DISTINCT p_size % 4) AS commits FROM part GROUP BY p_brand)"""
 _lev = lambda c: exprs.level_sql(c, rules.REVIEW_LEVELS, "low")
 
 
 @query(f"""WITH {_CHANGED}, {_DEPS}, {_APIS}, {_TESTS}, {_FILE_RISK}, z AS (SELECT pr, count(*) AS files, sum(additions + deletions)::BIGINT AS lines, count(DISTINCT {_TWO}) AS domains FROM ch GROUP BY pr),
-q AS (SELECT z.*, risk_score, (SELECT count(*) FROM rt WHERE rt.pr = z.pr) AS related_tests, (SELECT count(*) FROM dp WHERE dp.pr = z.pr) AS dependency_changes, (SELECT count(*) FROM ap WHERE ap.pr = z.pr) AS api_changes, (SELECT bool_or(layer IN ('security', 'data')) FROM fr WHERE fr.pr = z.pr) AS deep FROM z JOIN sc USING (pr)),
+q AS (SELECT z.*, risk_score, (SELECT count(*) FROM rt WHERE rt.pr = z.pr) AS related_tests, (SELECT count(*) FROM dp WHERE dp.pr = z.pr) AS dependency_changes, (SELECT count(*) FROM ap WHERE ap.pr = z.pr) AS api_changes, (SELECT bool_or(layer IN ('security', 'data')) FROM fr WHERE fr.pr = z.pr) AS deep, commits FROM z JOIN sc USING (pr) JOIN cm USING (pr)),
 w AS (SELECT *, CASE WHEN related_tests > 0 THEN 'high' ELSE 'medium' END AS test_confidence, least(100, risk_score + CASE WHEN deep THEN 12 ELSE 0 END + CASE WHEN domains >= 3 THEN 10 ELSE 0 END)::BIGINT AS deployment_score FROM q),
-x AS (SELECT *, {_lev("deployment_score")} AS deployment_level, least(100, greatest(0, risk_score + CASE test_confidence WHEN 'high' THEN -10 ELSE 0 END + dependency_changes * 6 + api_changes * 7))::BIGINT AS regression_score, least(100, risk_score + files * 2 + lines // 45 + 6)::BIGINT AS complexity_score FROM w)
+x AS (SELECT *, {_lev("deployment_score")} AS deployment_level, least(100, greatest(0, risk_score + CASE test_confidence WHEN 'high' THEN -10 ELSE 0 END + dependency_changes * 6 + api_changes * 7))::BIGINT AS regression_score, least(100, risk_score + files * 2 + lines // 45 + commits * 3)::BIGINT AS complexity_score FROM w)
 SELECT pr, risk_score, files, lines, domains, related_tests, dependency_changes, api_changes, test_confidence, deployment_score, deployment_level, CASE WHEN risk_score >= 75 OR deployment_level = 'critical' THEN 'block until staff/security approval' WHEN risk_score >= 55 OR deployment_level = 'high' THEN 'staff review required' WHEN risk_score >= 35 THEN 'targeted owner review' ELSE 'standard review' END AS release_gate,
 regression_score, {_lev("regression_score")} AS regression_level, complexity_score, {_lev("complexity_score")} AS complexity_level FROM x""")
 def pr_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = _changed(spark, sf_dir)
-    serious = sources.findings(spark, sf_dir).filter("severity IN ('critical', 'high', 'medium')").select("path")
-    risks = history.review_risk(changed.select("pr", "path"), spark.createDataFrame([], "path string, risk_score long"), serious)
-    commits = changed.select("pr").distinct().withColumn("commits", F.lit(2))
+    files, symbols, findings = q_code._given(spark, sf_dir)
+    serious = findings.filter("severity IN ('critical', 'high', 'medium')").select("repo_id", "path")
+    hot = knowledge.hotspots(files, knowledge.relations(files, symbols), findings)
+    risks = history.review_risk(changed.select("pr", F.col("pr").alias("repo_id"), "path"), hot, serious)
+    commits = bind.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("pr")).agg(F.countDistinct(F.col("p_size") % 4).alias("commits"))
     related = reviews.related_tests(changed, _tests(spark, sf_dir))
     return reviews.assessment(history.review_score(risks), changed, risks, related, True, reviews.dependency_changes(changed), reviews.api_changes(changed, _routed(spark, sf_dir)), commits)
 
