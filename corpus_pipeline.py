@@ -13,6 +13,7 @@ those with a name of the mix's columns in the last stage.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,9 +65,17 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with __row, which stays when it is read again: the place in its file, or for other tables a number that is written."""
+    try:
+        return docs.withColumn("__row", F.struct("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:  # not read from Parquet
+        return written(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row with text and all for each copy that training takes, in the order of its position."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    numbered = _numbered(docs)
     mixed = mixing.assigned(numbered, keep=("__row",))
     rest = numbered.drop(*(c for c in docs.columns if c.lower() in {*mixed.columns, "copy", "at"}))
     return mixing.range_sorted(mixed.filter("copies > 0").join(rest, "__row").drop("__row"))
