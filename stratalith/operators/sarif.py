@@ -55,10 +55,12 @@ def document_lines(findings: DataFrame, tool: str = "stratalith", version: str =
 def write_documents(findings: DataFrame, folder: str) -> None:
     """One document for each repository, folder/repo_id=NAME/part-*: sorted lines are written one by one, whatever their number.
 
-    Tasks commit their files, the driver the folder; a task that is lost is run again.
+    Tasks commit their files, the driver the folder; a task that is lost is run again. Lines are dealt by a hash of the
+    name: dealt by the name itself, as the parts of their union are, Spark takes this step for done and leaves it out, and
+    the parts of a document end in several files once they are large enough not to be put into one task.
     """
-    lines = document_lines(findings).repartition("repo_id").sortWithinPartitions("repo_id", "part", "place")
-    lines.select("repo_id", "line").write.partitionBy("repo_id").mode("overwrite").text(folder)
+    lines = document_lines(findings).repartition(F.xxhash64("repo_id")).sortWithinPartitions("repo_id", "part", "place")
+    lines.select("repo_id", "line").write.option("maxRecordsPerFile", 0).partitionBy("repo_id").mode("overwrite").text(folder)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -132,6 +132,22 @@ def test_sarif_documents(spark, tmp_path):
     sarif.write_documents(found.limit(0), f"{tmp_path}/none")
 
 
+def test_sarif_documents_of_many_tasks(spark, tmp_path):
+    """A document stays one file when its lines are too many to be put into one task."""
+    found = spark.range(4000).selectExpr("concat('r', id % 5) AS repo_id", "concat('rule', id % 7) AS rule_id", "'high' AS severity", "'m' AS message", "concat('f', id) AS path", "cast(id % 90 + 1 AS int) AS line")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1"}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        sarif.write_documents(found, f"{tmp_path}/out")
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert len(list(tmp_path.glob("out/repo_id=*/part-*"))) == 5
+    got = sarif.read_documents(spark, f"{tmp_path}/out").select("repo_id", "rule_id", "path", "line")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, found.select("repo_id", "rule_id", "path", "line").collect()))
+
+
 def test_as_of(spark):
     rng = random.Random(7)
     day = datetime(2024, 1, 1)
