@@ -120,7 +120,7 @@ def _served(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     files, symbols, findings = q_code._given(spark, sf_dir)
     links = written(knowledge.relations(files, symbols))
     hot = knowledge.hotspots(files, links, findings)
-    risks = written(repository.path_risk(files, findings, hot, repository.debt_items(code.python_metrics(files))))
+    risks = written(repository.path_risk(files, findings, hot, repository.debt_items(q_code._metrics(spark, sf_dir))))
     return links, reports.service_nodes(reports.services(symbols), hot, risks, None), risks
 
 
@@ -149,7 +149,7 @@ SELECT {exprs.case_contains_sql("name", rules.OWNERS, "Core Engineering")} AS te
 def ownership_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, symbols, findings = q_code._given(spark, sf_dir)
     hot = knowledge.hotspots(files, knowledge.relations(files, symbols), findings)
-    risks = repository.path_risk(files, findings, hot, repository.debt_items(code.python_metrics(files)))
+    risks = repository.path_risk(files, findings, hot, repository.debt_items(q_code._metrics(spark, sf_dir)))
     return reports.owners(knowledge.domains(files, symbols, findings), reports.services(symbols), risks)
 
 
