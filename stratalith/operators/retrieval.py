@@ -6,13 +6,16 @@ An index is written once; a question reads only the row groups that hold its ter
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalith.functions import exprs, rules
-from stratalith.sources.shared import written
+from stratalith.sources.shared import small, written
 
 # Words that widen a question, and what paths weigh for it.
 EXPANSIONS = [
@@ -79,11 +82,39 @@ def quality_boost(path: Column, terms: list[str]) -> Column:
     return reduce(lambda a, p: a + F.when(_holds(F.lower(path), p[0], p[1]), p[2]).otherwise(0.0), QUALITY, F.lit(0.0))
 
 
+def _counted(words: DataFrame) -> DataFrame:
+    """doc_id, n_terms, term, freq: the distinct words of each row, counted inside its task; a row without words has a null term."""
+    schema = words.select("doc_id", F.lit(0).cast("long").alias("n_terms"), F.lit("").alias("term"), F.lit(0).cast("long").alias("freq")).schema
+    schema["term"].nullable = True
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                ids, lists = b.column(0).slice(lo, 256), b.column(1).slice(lo, 256)
+                n = pc.list_value_length(lists)
+                empty = pc.indices_nonzero(pc.equal(n, 0)).cast(pa.int64())
+                each = pa.table({"row": pc.list_parent_indices(lists).cast(pa.int64()), "term": pc.list_flatten(lists).cast(pa.string())}).group_by(["row", "term"]).aggregate([([], "count_all")])
+                row = pa.concat_arrays([each["row"].combine_chunks(), empty])
+                term = pa.concat_arrays([each["term"].combine_chunks(), pa.nulls(len(empty), pa.string())])
+                freq = pa.concat_arrays([each["count_all"].combine_chunks(), pa.array([1] * len(empty), pa.int64())])
+                yield pa.RecordBatch.from_arrays([ids.take(row), n.take(row).cast(pa.int64()), term, freq], names=schema.names)
+
+    return words.mapInArrow(count, schema)
+
+
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, statistics) of docs (doc_id, text), written: (term, doc_id, freq, n_terms) sorted by term; one row (docs, mean)."""
+    """(postings, statistics) of docs (doc_id, text), written: (term, doc_id, freq, n_terms) sorted by term; one row (docs, mean).
+
+    Postings are counted in each row's own task and shuffled once, to their place in the order; only those of ids with
+    several rows are added up before that. They are written first, as the order's bounds are found by a reading of their own.
+    """
     words = docs.filter("text IS NOT NULL").select("doc_id", exprs.search_terms(F.col("text")).alias("words"))
-    sized = words.select("doc_id", F.size("words").cast("long").alias("n_terms"), F.explode_outer("words").alias("term"))
-    counted = sized.groupBy("doc_id", "n_terms", "term").agg(F.count(F.lit(1)).alias("freq"))
+    again = written(docs.filter("text IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", F.lit(True).alias("again")))
+    sent = small(again, again.count())
+    each = written(_counted(words))
+    marked = each.join(sent, each["doc_id"].eqNullSafe(again["doc_id"]), "left").select(each["*"], "again")
+    several = marked.filter("again").groupBy("doc_id", "n_terms", "term").agg(F.sum("freq").alias("freq"))
+    counted = marked.filter("again IS NULL").select(several.columns).unionByName(several)
     postings = written(counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").select("term", "doc_id", "freq", "n_terms"))
     statistics = postings.filter("term IS NOT NULL").groupBy().agg(F.sum("freq").alias("words"))
     number = words.agg(F.count(F.lit(1)).alias("docs"))

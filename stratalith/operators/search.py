@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from stratalith.functions import exprs, rules
 from stratalith.sources.shared import small, written
 
+#: Characters of pieces that a task holds before it hands them on.
+HELD = 1 << 21
+
 
 def pieces(text: str, size: int, overlap: int) -> Iterator[tuple[int, str, int, int]]:
     """(start, piece, first line, last line) of overlapping pieces; a text is gone through once, however long."""
@@ -30,9 +33,20 @@ def chunks(files: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, *p) for i, text in enumerate(b.column(1).to_pylist()) for p in pieces(text, size, overlap)]
-            row, start, text, first, last = map(list, zip(*found, strict=True)) if found else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(text, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=schema.names)
+            found, held = [], 0  # a bounded number of pieces is held at once, however many rows and pieces a batch has
+            for i in range(b.num_rows):
+                for p in pieces(b.column(1)[i].as_py(), size, overlap):
+                    found.append((i, *p))
+                    held += len(p[1])
+                    if held >= HELD:
+                        yield made(b.column(0), found)
+                        found, held = [], 0
+            if found:
+                yield made(b.column(0), found)
+
+    def made(path: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        row, start, text, first, last = map(list, zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([path.take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(text, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=schema.names)
 
     return given.mapInArrow(cut, schema)
 

@@ -132,3 +132,33 @@ def test_sinks(spark, tmp_path):
     for i in (1, 2):
         sinks.append_events(spark.createDataFrame([(i, 7)], "batch int, run_id long").withColumn("ts", F.lit("2024-01-01").cast("timestamp")), f"{tmp_path}/e")
     assert {r["batch"] for r in sinks.done_batches(spark.read.json(f"{tmp_path}/e"), 1).collect()} == {1, 2}
+
+
+def test_chunks_are_handed_on_in_bounded_batches(spark, monkeypatch):
+    """Pieces don't gather in a task, whatever the rows of a batch; the rows stay the same."""
+    from stratalith.operators import search
+
+    docs = spark.createDataFrame([(f"p{i}", ("word\n" * 300 + "end") * (i % 4)) for i in range(40)], "path string, text string").coalesce(1)
+    every = sorted(map(tuple, search.chunks(docs).collect()))
+    monkeypatch.setattr(search, "HELD", 2000)
+    assert sorted(map(tuple, search.chunks(docs).collect())) == every
+    assert len({r[0] for r in every}) == 30
+
+
+def test_postings_are_counted_in_their_row(spark):
+    """Only ids with several rows are added up by a shuffle before the order's own; rows without words stay."""
+    from collections import Counter
+
+    from stratalith.operators import retrieval
+
+    rows = [(1, "alpha beta alpha"), (1, "alpha gamma beta"), (1, "alpha"), (2, "beta"), (None, "alpha beta"), (None, "beta alpha"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = retrieval._counted(docs.filter("text IS NOT NULL").selectExpr("doc_id", "filter(split(text, ' '), x -> x <> '') AS words"))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    want = Counter()
+    for i, t in rows:
+        for w in (t or "").split():
+            want[i, w, len(t.split())] += 1
+    got = {(r["doc_id"], r["term"], r["n_terms"]): r["freq"] for r in retrieval.index(docs)[0].filter("term IS NOT NULL").collect()}
+    assert got == dict(want)
+    assert retrieval.index(docs)[0].filter("term IS NULL").count() == 1
