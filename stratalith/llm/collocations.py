@@ -7,14 +7,15 @@
 3. The union of these, less those that can't reach the support even with the most that silent shards may hide, are the
    candidates; a second pass counts all of them in all texts exactly, and joins give the counts of their parts.
 
+With `support` fixed while the corpus grows, the support of a shard falls to one, and every shard would name all its
+phrases of frequent words. So where there is more than one shard, all texts are first counted into hashed buckets, pairs
+before longer phrases: a phrase has the support only if its bucket has, so only phrases of such buckets are mined. The
+buckets grow with the words up to 2 ** 27, a byte each in a task; a bit each of them reaches the driver (16 MB).
+
 Shards come from the input's splits; a shard that is full ends and the next begins, each with the support of its own
 share, so neither memory nor completeness depends on how the input is split. Inside a shard phrases are told apart by
 64-bit keys, across shards by their words.
 
-With `support` fixed while the corpus grows, the support of a shard falls to one and every shard names all its phrases of
-frequent words; the result stays the same, the candidate table grows to the order of the text. Raise the support with
-the corpus, or shard_words with the memory, to avoid that.
-
 Defined cases: a null or empty text has no words; a null language is `und`; repeated rows count each; an empty table
 gives an empty result; ids and other columns aren't read. A total for each language and, if they are within `most`, the
 64-bit keys of frequent words and of candidates reach the driver; beyond that words aren't used to prune, and candidates
@@ -104,6 +105,20 @@ def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
         yield Shard(list(names), parts)
 
 
+class Buckets:
+    """A bit for each hashed bucket of phrases, by number of words: whether the bucket has the support."""
+
+    def __init__(self, bits: dict[int, np.ndarray], log: int):
+        self.bits, self.log = bits, log
+
+    def hold(self, k: int, key: np.ndarray) -> np.ndarray:
+        """Which phrases of k words may have the support; all, if none were counted."""
+        if k not in self.bits:
+            return np.ones(len(key), bool)
+        at = (key >> np.uint64(64 - self.log)).astype(np.int64)
+        return (self.bits[k][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 class Keys:
     """A shard without its texts, for mining: 11 bytes a word, filled in place."""
 
@@ -119,16 +134,20 @@ class Keys:
         self.key[at], self.language[at], self.new[at] = key, language, new
         self.n += len(key)
 
-    def _phrases(self, ok: np.ndarray, code: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(first words, keys) of a language's phrases of k words where ok, a bounded run at a time."""
+    def _phrases(self, ok: np.ndarray, code: int, k: int, likely: Buckets | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first words, keys) of a language's phrases of k words where ok and in a likely bucket, a bounded run at a time."""
         for lo in range(0, len(ok), _RUN):
             at = np.nonzero(ok[lo : lo + _RUN] & (self.language[lo : lo + _RUN][: len(ok) - lo] == code))[0] + lo
             raw = self.key[at]
             for j in range(1, k):
                 raw += self.key[at + j] * _POWER[j]
-            yield at, mix(raw + np.uint64(k))
+            key = mix(raw + np.uint64(k))
+            if likely:
+                kept = likely.hold(k, key)
+                at, key = at[kept], key[kept]
+            yield at, key
 
-    def frequent(self, allowed: np.ndarray | None, hidden: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def frequent(self, allowed: np.ndarray | None, hidden: np.ndarray, longest: int = LONGEST, likely: Buckets | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(language, keys, counts) of the phrases that occur more often than hidden says for their language, level by level.
 
         A phrase is counted only if both its parts of one word less are frequent. A run of equal sorted keys is longer than
@@ -145,7 +164,7 @@ class Keys:
                 both &= ~self.new[1 : self.n]  # longer phrases overlap in a word, so they lie in one piece if their parts do
             ok = np.zeros(len(both), bool)
             for code in seen:
-                parts = [key for _, key in self._phrases(both, code, k)]
+                parts = [key for _, key in self._phrases(both, code, k, likely)]
                 key = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
                 del parts
                 key.sort()
@@ -156,7 +175,7 @@ class Keys:
                 if not len(known):
                     continue
                 yield code, known, counts
-                for at, found in self._phrases(both, code, k):
+                for at, found in self._phrases(both, code, k, likely):
                     ok[at] = held(found, known)
 
 
@@ -240,7 +259,47 @@ def word_counts(given: DataFrame, shard_words: int) -> DataFrame:
     return found.groupBy("language", "word", "key").agg(F.sum("count").alias("count"))
 
 
-def mined(given: DataFrame, totals: dict[str, int], support: int, shard_words: int, frequent) -> DataFrame:
+def bucketed(given: DataFrame, sizes: range, support: int, frequent, before: Buckets) -> Buckets:
+    """before with the buckets of the phrases of these sizes: all words counted, in sums that stop at the support."""
+    kind, log = (np.uint8 if support < 256 else np.int64), before.log
+    width = 1 << min(log, 16)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << log, kind)
+        for key, _, new, *_ in _read(batches, {}):
+            ok = np.ones(len(key), bool) if frequent is None else held(key, frequent.value)
+            for k in range(2, sizes.stop):
+                both = ok[:-1] & ok[1:]
+                if k == 2:
+                    both &= ~new[1:]
+                at = np.nonzero(both)[0]
+                raw = key[at]
+                for j in range(1, k):
+                    raw += key[at + j] * _POWER[j]
+                phrase = mix(raw + np.uint64(k))
+                kept = before.hold(k, phrase)
+                ok = np.zeros(len(both), bool)
+                ok[at[kept]] = True
+                if k in sizes:
+                    place, counts = np.unique(phrase[kept] >> np.uint64(64 - log), return_counts=True)
+                    place = place.astype(np.int64)
+                    total[place] = np.minimum(total[place] + counts, support).astype(kind)
+        for lo in range(0, len(total), width):
+            if total[lo : lo + width].any():
+                yield _batch([[lo // width], [total[lo : lo + width].tobytes()]], [pa.int32(), pa.binary()], ["block", "sums"])
+
+    def enough(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, kind).astype(np.int64) for x in table["sums"].to_pylist())
+        return pa.table({"block": pa.array(table["block"].to_pylist()[:1], pa.int32()), "bits": pa.array([np.packbits(total >= support, bitorder="little").tobytes()], pa.binary())})
+
+    bits = np.zeros(1 << log - 3, np.uint8)
+    found = given.mapInArrow(count, "block int, sums binary").groupBy("block").applyInArrow(enough, "block int, bits binary")
+    for row in found.toLocalIterator():
+        bits[row["block"] * width // 8 : (row["block"] + 1) * width // 8] = np.frombuffer(row["bits"], np.uint8)
+    return Buckets(before.bits | dict.fromkeys(sizes, bits), log)
+
+
+def mined(given: DataFrame, totals: dict[str, int], support: int, shard_words: int, frequent, likely=None) -> DataFrame:
     """(language, key, over): how much each locally frequent phrase exceeds what a silent shard may hide; that, for a null key."""
     kinds, names = [pa.string(), pa.int64(), pa.int64()], ["language", "key", "over"]
 
@@ -250,7 +309,7 @@ def mined(given: DataFrame, totals: dict[str, int], support: int, shard_words: i
             hidden = np.array([local_support(support, int(w), totals[x]) - 1 if w else 0 for w, x in zip(words, shard.names, strict=True)], np.int64)
             seen = np.nonzero(words)[0]
             yield _batch([[shard.names[i] for i in seen], [None] * len(seen), hidden[seen]], kinds, names)
-            for code, known, counts in shard.frequent(frequent.value if frequent else None, hidden):
+            for code, known, counts in shard.frequent(frequent.value if frequent else None, hidden, likely=likely.value if likely else None):
                 for lo in range(0, len(known), 500_000):
                     part = slice(lo, lo + 500_000)
                     yield _batch([pa.repeat(shard.names[code], len(known[part])), signed(known[part]), counts[part] - hidden[code]], kinds, names)
@@ -281,8 +340,8 @@ class _Sums:
             yield language, signed(self.keys[part]), phrase, size, self.count[part]
 
 
-def counted(given: DataFrame, shard_words: int, frequent, candidates) -> DataFrame:
-    """(language, key, phrase, size, count) of the candidates, summed in each task; of each shard's phrases if these are None."""
+def counted(given: DataFrame, shard_words: int, frequent, candidates, likely=None) -> DataFrame:
+    """(language, key, phrase, size, count) of the candidates, summed in each task; of each shard's likely phrases if these are None."""
     kinds, names = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64()], ["language", "key", "phrase", "size", "count"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +358,8 @@ def counted(given: DataFrame, shard_words: int, frequent, candidates) -> DataFra
                     kept = held(key, candidates.value)
                     sums.add(shard, k, key[kept], at[kept])
                     continue
-                kept = np.ones(len(key), bool)
+                kept = likely.value.hold(k, key) if likely else np.ones(len(key), bool)
+                key, at = key[kept], at[kept]
                 first, counts, _ = grouped(key)
                 for lo in range(0, len(first), 100_000):
                     part = first[lo : lo + 100_000]
@@ -338,13 +398,20 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     frequent = _sent(words.filter("word IS NOT NULL").select("key"), most)
     cores = spark.sparkContext.defaultParallelism
     # as few shards as memory and cores allow: the larger a shard, the higher its support
-    merged = given.coalesce(max(cores, -(-sum(totals.values()) // shard_words)))
-    found = written(mined(merged, totals, support, shard_words, frequent))
+    n = sum(totals.values())
+    merged = given.coalesce(max(cores, -(-n // shard_words)))
+    likely = None
+    if n > shard_words:
+        buckets = Buckets({}, min(27, max(16, (n // 4).bit_length())))
+        for sizes in (range(2, 3), range(3, LONGEST + 1)):
+            buckets = bucketed(given.coalesce(cores), sizes, support, frequent, buckets)
+        likely = spark.sparkContext.broadcast(buckets)
+    found = written(mined(merged, totals, support, shard_words, frequent, likely))
     hidden = found.filter("key IS NULL").select("language", F.col("over").alias("hidden"))
     keys = written(found.filter("key IS NOT NULL").join(small(hidden, len(totals)), "language").filter(F.col("over") + F.col("hidden") >= support).select("key"))
     candidates = _sent(keys, most)
     # a task sums all its texts, so each candidate is shuffled as often as there are tasks
-    counts = counted(given.coalesce(2 * cores) if candidates else given, min(shard_words, _SUMMED), frequent, candidates)
+    counts = counted(given.coalesce(2 * cores) if candidates else given, min(shard_words, _SUMMED), frequent, candidates, likely)
     if candidates is None:
         counts = counts.join(keys.distinct(), "key", "left_semi")
     phrases = counts.groupBy("language", "phrase", "size").agg(F.sum("count").alias("count")).filter(F.col("count") >= support)

@@ -250,3 +250,18 @@ def test_phrases_of_empty_tables(spark):
 def test_phrases_of_a_larger_table(spark):
     """sf0.1: many phrases pass the support, in several shards."""
     assert hold(registry.QUERIES["op13_son_collocations"](spark, f"{DATA}/sf0.1"), registry.SQL["op13_son_collocations"], "sf0.1") > 1000
+
+
+def test_buckets_keep_what_has_the_support(spark):
+    """Where the support of a shard is one, only phrases whose bucket has the support overall are named."""
+    rows = [(x or "und", t) for x, t in texts()]
+    given = frame(spark, rows, "language string, text string").repartition(4)
+    words = collocations.word_counts(given, 700)
+    totals = {r["language"]: r["count"] for r in words.filter("word IS NULL").collect()}
+    buckets = collocations.Buckets({}, 20)
+    for sizes in (range(2, 3), range(3, 6)):
+        buckets = collocations.bucketed(given, sizes, 20, None, buckets)
+    sent = spark.sparkContext.broadcast(buckets)
+    named = {likely: {r["key"] for r in collocations.mined(given, totals, 20, 1, None, sent if likely else None).filter("key IS NOT NULL").select("key").collect()} for likely in (False, True)}
+    phrases = collocations.frequent_phrases(frame(spark, rows, "lang string, text string"), support=20)[0].count()
+    assert named[True] < named[False] and phrases <= len(named[True]) < 1.1 * phrases < len(named[False])
