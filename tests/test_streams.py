@@ -143,3 +143,52 @@ def test_exported_lines(spark):
         'requests_total{path="/a\\"b\\\\c"} 3', 'request_failures_total{path="/a\\"b\\\\c"} 1', 'requests_total{path="/d"} 2', 'request_failures_total{path="/d"} 0',
         'request_duration_ms{path="/d",quantile="0.5"} 4.5', 'request_duration_ms{path="/d",quantile="0.95"} 9.0',
     }
+
+
+def test_jobs_of_one_group_are_told_apart(spark, tmp_path, monkeypatch):
+    """A call of Python takes many keys; each has its own state, and null is one of them."""
+    monkeypatch.setattr(stateful, "BUCKETS", 2)
+    wishes = ("running", "complete", "failed", "cancelled")
+    moves = [(job, p, wishes[(j + p * p) % 4]) for j, job in enumerate([*range(300), None]) for p in (2, 1, 3)]
+    spark.createDataFrame(moves, "job_id long, position int, wanted string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("job_id long, position int, wanted string").parquet(f"{tmp_path}/in")
+    expected = set()
+    for j, job in enumerate([*range(300), None]):
+        state, n = "queued", 0
+        for p in (1, 2, 3):
+            wanted = wishes[(j + p * p) % 4]
+            if wanted in stateful.MOVES.get(state, ()):
+                state, n = wanted, n + 1
+            expected.add((job, p, state, n, p - n))
+    run = stateful.job_states(stream)
+    with stateful.rocksdb(spark):
+        query = run.writeStream.format("memory").queryName("grouped_jobs").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = spark.table("grouped_jobs")
+    assert {(r["job_id"], r["position"], r["state"], r["moves"], r["refused"]) for r in got.collect()} == expected and got.count() == len(moves)
+    assert len({k for k in spark.range(300).select(stateful._bucket("id")).toPandas()["bucket"]}) == 2
+
+
+def test_a_silent_job_is_forgotten_beside_busy_ones():
+    """keep_ms counts for each job, though jobs of one group are kept together."""
+    import pandas as pd
+
+    class State(list):
+        get = lambda self: iter(list(self))
+        put = lambda self, rows: self.__setitem__(slice(None), rows)
+
+    class Handle:
+        timers: list = []
+        getListState = lambda self, *_: State()
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    class At:
+        def __init__(self, now):
+            self.getCurrentProcessingTimeInMs = lambda: now
+
+    jobs = stateful._Jobs(100)
+    jobs.init(Handle())
+    send = lambda job, wanted, now: next(jobs.handleInputRows((0,), iter([pd.DataFrame({"job_id": [job], "position": [1], "wanted": [wanted]})]), At(now)))["state"][0]
+    assert [send("a", "running", 0), send("b", "running", 60), send("b", "complete", 120), send("a", "complete", 130)] == ["running", "running", "complete", "queued"]
+    list(jobs.handleExpiredTimer((0,), At(225), None))
+    assert [r[0] for r in jobs.jobs] == ["a"] and 100 in Handle.timers
