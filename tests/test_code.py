@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalith.operators import code
+from stratalith.operators import code, knowledge
 
 SOURCES = {
     ("main.py", "Python"): (
@@ -137,3 +137,19 @@ def test_sources_are_dealt(spark):
     assert languages.filter("rows >= 100 AND n < 8").isEmpty()
     parts = dealt(made, "repo_id", "path", rows=50).groupBy(F.spark_partition_id()).count()
     assert made.count() == 2000 and parts.agg(F.max("count")).first()[0] <= 150
+
+
+def test_imports_of_one_module_are_dealt(spark):
+    """Most files of a repository import one file: its edges come from several tasks."""
+    files = spark.range(9000).selectExpr("'r' AS repo_id", "concat('a', id, '.py') AS path").union(spark.sql("SELECT 'r', 'shared/base.py'"))
+    symbols = files.selectExpr("repo_id", "path", "'import' AS kind", "'shared.base' AS name", "CAST(NULL AS string) AS owner", "1 AS line", "CAST(NULL AS string) AS method", "CAST(NULL AS string) AS handler", "CAST(NULL AS string) AS orm")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        rows = knowledge._drafts(files, symbols).withColumn("task", F.spark_partition_id()).groupBy("task", "target").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["target"] for r in rows} == {"shared/base.py"} and sum(r["count"] for r in rows) == 9001
+    assert max(r["count"] for r in rows) < 7500
