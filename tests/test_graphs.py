@@ -1,12 +1,13 @@
 """Path, reach and service operators against brute force on small graphs, cyclic ones too."""
 
 import random
+from collections import Counter
 from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
 
-from stratalith.operators import graph, knowledge, reports
+from stratalith.operators import graph, history, knowledge, reports
 
 LINK = "repo_id string, source string, target string"
 
@@ -133,3 +134,13 @@ def test_service_graph(spark):
     assert [(r["path"], r["routes"], r["symbols"], r["risk"]) for r in nodes.orderBy("path").collect()] == [("src/api/a.py", 2, 1, 0), ("src/db/c.py", 0, 0, 70), ("web/b.ts", 0, 4, 0)]
     assert {tuple(r) for r in reports.service_edges(edges, nodes, risks).collect()} == {("r", "x", "web/b.ts", "imports", 5), ("r", "src/db/c.py", "z", "defines", 70)}
     assert reports.service_nodes(found.limit(0), hot.limit(0), risks).count() == 0
+
+
+def test_coupling_pairs_files_inside_a_commit(spark):
+    """No join of commits with themselves; commits with one file, more than 40, or no name don't count."""
+    sizes = {1: 2, 2: 1, 3: 40, 4: 41, 5: 3, None: 4}
+    rows = [(sha, f, f"d{f % 3}") for sha, n in sizes.items() for f in range(n) for _ in range(2)]
+    expected = Counter((a, b) for n in (2, 40, 3) for a in range(n) for b in range(a + 1, n) if a % 3 != b % 3)
+    out = history.coupling(spark.createDataFrame(rows, "sha long, file long, domain string"), 2000)
+    assert {(r["source"], r["target"]): r["co_changes"] for r in out.collect()} == expected
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
