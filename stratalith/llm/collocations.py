@@ -8,7 +8,7 @@
    candidates; a second pass counts all of them in all texts exactly, and joins give the counts of their parts.
 
 With `support` fixed while the corpus grows, the support of a shard falls to one, and every shard would name all its
-phrases of frequent words. So where there is more than one shard, all texts are first counted into hashed buckets, pairs
+phrases of frequent words. So from eight times shard_words on, all texts are first counted into hashed buckets, pairs
 before longer phrases: a phrase has the support only if its bucket has, so only phrases of such buckets are mined. The
 buckets grow with the words up to 2 ** 27, a byte each in a task; a bit each of them reaches the driver (16 MB).
 
@@ -397,16 +397,17 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", su
     totals = {r["language"]: r["count"] for r in words.filter("word IS NULL").collect()}
     frequent = _sent(words.filter("word IS NOT NULL").select("key"), most)
     cores = spark.sparkContext.defaultParallelism
-    # as few shards as memory and cores allow: the larger a shard, the higher its support
+    # without buckets as few shards as memory and cores allow: the larger a shard, the higher its support
     n = sum(totals.values())
-    merged = given.coalesce(max(cores, -(-n // shard_words)))
-    likely = None
-    if n > shard_words:
+    size, likely = shard_words, None
+    if n > 8 * shard_words:  # a shard has less than an eighth of the support
         buckets = Buckets({}, min(27, max(16, (n // 4).bit_length())))
         for sizes in (range(2, 3), range(3, LONGEST + 1)):
             buckets = bucketed(given.coalesce(cores), sizes, support, frequent, buckets)
         likely = spark.sparkContext.broadcast(buckets)
-    found = written(mined(merged, totals, support, shard_words, frequent, likely))
+        size = max(1, shard_words // 2)  # low supports name few phrases now, so memory can be saved
+    merged = given.coalesce(max(cores, -(-n // size)))
+    found = written(mined(merged, totals, support, size, frequent, likely))
     hidden = found.filter("key IS NULL").select("language", F.col("over").alias("hidden"))
     keys = written(found.filter("key IS NOT NULL").join(small(hidden, len(totals)), "language").filter(F.col("over") + F.col("hidden") >= support).select("key"))
     candidates = _sent(keys, most)
