@@ -114,3 +114,13 @@ def test_edge_cases(spark):
     index = vectors.store(table(spark, data), vectors.fit(table(spark, data)))
     out = got(vectors.search(index, spark.createDataFrame([(7, [6.0, 8.0]), (8, None), (None, [1.0, 1.0]), (7, [6.0, 8.0])], "query_id long, embedding array<float>"), 5, exact=True))
     assert out == {7: [(-1.0, 2), (0.0, 1)]}
+
+
+def test_tasks_grow_with_the_rows_compared():
+    """A task takes TASK_ROWS rows, copies for parts and blocks included, however many there are; ties go to the first."""
+    asked, rows = {i: 20_000 for i in range(100)}, {i: 60_000 for i in range(100)}
+    assert vectors.compare_tasks(asked, rows, 200) == (100 * (2 * 20_000 + 3 * 60_000)) // vectors.TASK_ROWS
+    assert vectors.compare_tasks({0: 5}, {0: 10}, 8) == 8
+    value = np.random.default_rng(1).integers(-3, 4, (50, 40)).astype(float)
+    for k in (1, 7, 40, 60):
+        assert (vectors._first(value, k) == np.argsort(-value, axis=1, kind="stable")[:, :k]).all()
