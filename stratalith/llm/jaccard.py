@@ -9,8 +9,10 @@ made, so that a set with no more than `spare` empty groups need not emit them, a
 
 Exact copies share a set fingerprint and are one node. A bucket of nodes with one signature never makes all its pairs:
 first each node is held against the bucket's smallest, and verified links are contracted to components. Only buckets
-that still hold several components are searched further, across components, by parity sketches whose distance is a
-lower bound of the sets' difference, in blocks; what passes is verified against the sets. So no link is lost.
+whose other nodes are still of several components are searched further, across components, by parity sketches whose
+distance is a lower bound of the sets' difference, in blocks. What passes is held against longer sketches, with four bits
+for each element, and then verified against the sets, which are made again from the texts of those pairs alone. So
+no link is lost.
 
 Defined cases: a null or empty text has an empty set and links with nothing; a text with fewer words than n has its
 whole sequence as one element; repeated rows share a component; a null id keeps its row and takes the smallest other
@@ -33,6 +35,7 @@ from stratalith.llm.text import Words, mix, runs, signed
 
 PARTS = 3
 SKETCH_BITS = 1024
+FINE, FINE_BITS = 4, 1 << 22
 BLOCK = 512
 
 
@@ -127,8 +130,18 @@ def sketches(element: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(bool).reshape(-1, SKETCH_BITS), axis=1).view(np.uint64)
 
 
-def _binary(rows: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+def fine_sketch(element: np.ndarray) -> bytes | None:
+    """Parity of a large set's elements on a power of two of bits, FINE for each element or more, up to FINE_BITS; None if its sketch has two for each."""
+    if 2 * len(element) <= SKETCH_BITS:
+        return None
+    bits = min(FINE_BITS, 1 << (FINE * len(element) - 1).bit_length())
+    odd = np.bincount((mix(element ^ np.uint64(0x589965CC75374CC3)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def folded(x: np.ndarray, n: int) -> np.ndarray:
+    """The sketch of the same set with n words, no more than x has: bits that are equal modulo n words add up."""
+    return np.bitwise_xor.reduce(x.reshape(-1, n))
 
 
 def described(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
@@ -166,48 +179,62 @@ def signature_rows(docs: DataFrame, text: str, n: int, num: int, den: int) -> Da
     return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(emit, "sig long, node long")
 
 
-def set_rows(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """(node, elements, sketch) of every document's set, once for each task."""
+def node_rows(docs: DataFrame, text: str, n: int, wanted: DataFrame, texts: bool) -> DataFrame:
+    """(node, t) or (node, sketch, fine, n) of the wanted nodes, once each; sets are made again from texts, which take fewer bytes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for _, _, data, at in runs(b.column(0)):
+            for lo, hi, data, at in runs(b.column(0)):
                 element, bounds = shingle_sets(data, at, n)
-                node = nodes_of(element, bounds)
-                fresh = np.array([not (x in seen or seen.add(x)) for x in node.tolist()], bool) & (np.diff(bounds) > 0)
-                batch = pa.RecordBatch.from_arrays([pa.array(signed(node)), _binary(element, bounds), _binary(sketches(element, bounds), np.arange(len(bounds)) * (SKETCH_BITS // 64))], names=["node", "elements", "sketch"])
+                node, size = nodes_of(element, bounds), np.diff(bounds)
+                fresh = np.array([not (x in seen or seen.add(x)) for x in node.tolist()], bool) & (size > 0)
+                if texts:
+                    batch = pa.RecordBatch.from_arrays([pa.array(signed(node)), b.column(0).slice(lo, hi - lo)], names=["node", "t"])
+                else:
+                    bits = pa.array([x.tobytes() for x in sketches(element, bounds)], pa.binary())
+                    fine = pa.array([fine_sketch(element[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                    batch = pa.RecordBatch.from_arrays([pa.array(signed(node)), bits, fine, pa.array(size)], names=["node", "sketch", "fine", "n"])
                 yield batch.filter(pa.array(fresh))
 
-    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(emit, "node long, elements binary, sketch binary")
+    rows = docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(emit, "node long, t string" if texts else "node long, sketch binary, fine binary, n long")
+    return rows.join(small(wanted, wanted.count()), "node", "left_semi").dropDuplicates(["node"])
 
 
-def linked(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The edges (a, b) whose sets reach the threshold: first by sketch, what is left by the elements."""
+def linked(edges: DataFrame, outlines: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
+    """The edges (a, b) whose sets reach the threshold: first by sketch, then by longer sketches, what is left by the sets of their texts."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (2, 3))
-                s, t = (np.asarray(b.column(i)) for i in (4, 5))
-                least = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-                keep = _may_link(s, t, least, num, den)
-                yield b.select([0, 1]).filter(pa.array(keep))
+            least = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                words = min(len(p), len(q))
+                least.append(int(np.bitwise_count(folded(p, words) ^ folded(q, words)).sum()))
+            keep = _may_link(np.asarray(b.column(4)), np.asarray(b.column(5)), np.array(least, np.int64), num, den)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sets(column: pa.Array) -> Iterator[np.ndarray]:
+            for _, _, data, at in runs(column):
+                element, bounds = shingle_sets(data, at, n)
+                yield from (element[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True))
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for p, q in zip(sets(b.column(2)), sets(b.column(3)), strict=True):
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    slim = sets.select("node", "sketch", F.expr("octet_length(elements) div 8").alias("n"))
-    a, b = slim.toDF("a", "x", "n_a"), slim.toDF("b", "y", "n_b")
-    close = edges.join(a, "a").join(b, "b").select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(near, "a long, b long")
-    full = sets.select("node", "elements")
-    return written(close).join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
+    close = edges
+    for bits in (F.col("sketch"), F.coalesce("fine", "sketch")):
+        slim = outlines.select("node", bits, "n")
+        a, b = slim.toDF("a", "x", "n_a"), slim.toDF("b", "y", "n_b")
+        close = written(close.join(a, "a").join(b, "b").select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(near, "a long, b long"))
+    ends = written(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    full = node_rows(docs, text, n, ends, texts=True)
+    return close.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(same, "a long, b long")
 
 
 def _may_link(s: np.ndarray, t: np.ndarray, least: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -260,6 +287,13 @@ def across(members: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, label) of the buckets that hold several components beside their smallest node, which was held against all others."""
+    known = members.filter("node <> pivot").select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+    mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
+    return known.join(mixed, "sig", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each document: components of links at a Jaccard of num / den or more."""
     every = written(described(docs, doc_id, text, n))
@@ -267,15 +301,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     whole = "PARTITION BY sig ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
     members = by_sig.select("sig", "node", F.expr(f"min(node) OVER ({whole})").alias("pivot"), F.expr(f"max(node) OVER ({whole})").alias("last"))
     members = written(members.filter("pivot <> last").drop("last").distinct())
-    wanted = written(members.select("node").distinct())
-    sets = written(set_rows(docs, text, n).join(small(wanted, wanted.count()), "node", "left_semi").dropDuplicates(["node"]))
+    outlines = written(node_rows(docs, text, n, written(members.select("node").distinct()), texts=False))
     stars = members.select(F.col("pivot").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
-    links = written(linked(stars, sets, num, den))
+    links = written(linked(stars, outlines, docs, text, n, num, den))
     labels = components(links)
-    known = members.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    mixed = known.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    left = known.join(mixed, "sig", "left_semi").join(sets.select("node", "sketch", F.expr("octet_length(elements) div 8").alias("n")), "node")
-    more = written(linked(written(across(written(left), num, den)), sets, num, den))
+    left = apart(members, labels).join(outlines.drop("fine"), "node")
+    more = written(linked(written(across(written(left), num, den)), outlines, docs, text, n, num, den))
     if not more.isEmpty():
         labels = components(links.union(more))
     return _named(every, labels)
